@@ -1,0 +1,6 @@
+"""Empty on purpose: the work rebuilt here is batch only, without a streaming operator.
+
+The row-level operators (``operators.clean``, ``operators.pairs``,
+``operators.scoring``) are plain projections and filters, so they also accept a
+DataFrame from ``spark.readStream``.
+"""
