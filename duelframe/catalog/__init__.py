@@ -1,0 +1,4 @@
+from duelframe.catalog import preparation  # noqa: F401
+from duelframe.catalog.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from duelframe.functions import r6
 from duelframe.layout import Layout
 
 LAYOUT = Layout(
@@ -57,6 +58,53 @@ def bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def drawn(df: DataFrame) -> DataFrame:
+    """Equal quantities count as a draw."""
+    return df.withColumn("winner", F.when(F.col("red_qty") == F.col("blue_qty"), "Draw").otherwise(F.col("winner")))
+
+
+def gappy(df: DataFrame) -> DataFrame:
+    """Zero discounts and taxes are missing, one flag is unknown, and ``red_rare`` is nearly always missing."""
+    return df.withColumns(
+        {
+            **{f"{p}_{n}": F.nullif(F.col(f"{p}_{n}"), F.lit(0.0)) for p in ("red", "blue") for n in ("disc", "tax")},
+            "red_flag": F.nullif(F.col("red_flag"), F.lit("R")),
+            "red_rare": F.when(F.col("red_qty") > 45, F.col("red_qty")),
+        }
+    )
+
+
+def past(df: DataFrame) -> DataFrame:
+    return df.filter(F.col("bout_date") < F.lit(UPCOMING_FROM).cast("timestamp_ntz"))
+
+
+def upcoming(df: DataFrame) -> DataFrame:
+    """Bouts still to come: no outcome yet."""
+    later = df.filter(F.col("bout_date") >= F.lit(UPCOMING_FROM).cast("timestamp_ntz"))
+    return later.withColumn("winner", F.lit(None).cast("string"))
+
+
+def scored(df: DataFrame) -> DataFrame:
+    """Two fixed models, published with six decimals."""
+    quantity = 1 / (1 + F.exp(-(F.col("red_qty") - F.col("blue_qty")) / 10))
+    tax = 1 / (1 + F.exp(-(F.round(F.col("red_tax") * 100) - F.round(F.col("blue_tax") * 100)) / 5))
+    return df.withColumns({"prob_a": r6(quantity), "prob_b": r6(tax)})
+
+
+NAMED = Layout(red="red_", blue="blue_", entity="name", date="bout_date", outcome="winner", key="bout_id")
+
+
+def named_bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bouts with supplier names, and ``peak``, a stat many suppliers never have."""
+    names = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    out = bouts(spark, sf_dir)
+    for p in ("red", "blue"):
+        side = names.select(F.col("s_suppkey").alias(f"{p}_id"), F.col("s_name").alias(f"{p}_name"))
+        peak = F.when((F.col(f"{p}_qty") == 50) & (F.col(f"{p}_disc") == 0), F.col(f"{p}_tax"))
+        out = out.join(side, f"{p}_id").withColumn(f"{p}_peak", peak)
+    return out.drop("red_id", "blue_id")
+
+
 BOUTS_SQL = """n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
   l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS rn FROM lineitem),
 bouts AS (SELECT r.l_orderkey * 1000 + r.rn AS bout_id, o.o_orderdate AS bout_date,
@@ -69,3 +117,17 @@ bouts AS (SELECT r.l_orderkey * 1000 + r.rn AS bout_id, o.o_orderdate AS bout_da
  FROM n r JOIN n u ON r.l_orderkey = u.l_orderkey AND u.rn = r.rn + 1 AND r.rn % 2 = 1
  JOIN orders o ON o.o_orderkey = r.l_orderkey
  WHERE r.l_suppkey <> u.l_suppkey)"""
+
+DRAWN_SQL = """drawn AS (SELECT * REPLACE (CASE WHEN red_qty = blue_qty THEN 'Draw' ELSE winner END AS winner) FROM bouts)"""
+
+GAPPY_SQL = """gappy AS (SELECT * REPLACE (nullif(red_disc, 0) AS red_disc, nullif(blue_disc, 0) AS blue_disc,
+  nullif(red_tax, 0) AS red_tax, nullif(blue_tax, 0) AS blue_tax, nullif(red_flag, 'R') AS red_flag),
+  CASE WHEN red_qty > 45 THEN red_qty END AS red_rare FROM bouts)"""
+
+SCORED_SQL = """scored AS (SELECT *, floor(1 / (1 + exp(-(red_qty - blue_qty) / 10)) * 1e6 + 0.5) / 1e6 AS prob_a,
+  floor(1 / (1 + exp(-(round(red_tax * 100) - round(blue_tax * 100)) / 5)) * 1e6 + 0.5) / 1e6 AS prob_b FROM bouts)"""
+
+NAMED_SQL = """named AS (SELECT b.*, r.s_name AS red_name, u.s_name AS blue_name,
+  CASE WHEN red_qty = 50 AND red_disc = 0 THEN red_tax END AS red_peak,
+  CASE WHEN blue_qty = 50 AND blue_disc = 0 THEN blue_tax END AS blue_peak
+ FROM bouts b JOIN supplier r ON r.s_suppkey = b.red_id JOIN supplier u ON u.s_suppkey = b.blue_id)"""

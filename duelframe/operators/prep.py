@@ -234,8 +234,8 @@ class Preprocessor:
         """Add ``features``. Missing training columns count as null; other columns pass through."""
         extra = [n for n in df.columns if n not in self.schema.names]
         aligned = align_schema(df, StructType([*self.schema.fields, *[df.schema[n] for n in extra]]))
-        scratch = [n for n in self.model.transform(aligned.limit(0)).columns if n.startswith("_f_")]
-        return self.model.transform(aligned).drop(*scratch)
+        out = self.model.transform(aligned)
+        return out.drop(*[n for n in out.columns if n.startswith("_f_")])
 
     def check(self, num_features: int) -> None:
         check_width(len(self.names), num_features)
