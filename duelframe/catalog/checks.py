@@ -45,6 +45,10 @@ def compare(spark, con, sf_dir: str, name: str) -> tuple[str, float]:
     ours = canonical(pd.DataFrame([[r[n] for n in df.columns] for r in rows], columns=df.columns, dtype=object))
     rel = con.execute(ORACLES[name])
     names = [d[0] for d in rel.description]
+    kinds = {d[0]: str(d[1]).lower() for d in rel.description}
+    alike = {"bigint": "bigint", "integer": "int", "double": "double", "varchar": "string", "boolean": "boolean",
+             "date": "date", "timestamp": "timestamp_ntz"}
+    odd = {n: (t, kinds.get(n)) for n, t in df.dtypes if alike.get(kinds.get(n)) != t}
     theirs = canonical(pd.DataFrame(rel.fetchall(), columns=names, dtype=object))
     if ours_cols != sorted(names):
         return f"COLUMNS {set(ours_cols) ^ set(names)}", took
@@ -52,7 +56,7 @@ def compare(spark, con, sf_dir: str, name: str) -> tuple[str, float]:
         a, b = set(ours[1]), set(theirs[1])
         left, right = sorted(a - b)[:3], sorted(b - a)[:3]
         return f"DIFF rows {len(ours[1])}/{len(theirs[1])} only-spark {len(a - b)}: {ours[0]}\n   {left}\n   {right}", took
-    return f"ok rows={len(ours[1])}", took
+    return f"ok rows={len(ours[1])}{f' types {odd}' if odd else ''}", took
 
 
 def main(sf: str = "0.01", *names: str) -> None:
