@@ -1,4 +1,4 @@
-from duelframe.catalog import preparation, histories  # noqa: F401
+from duelframe.catalog import preparation, histories, modelling  # noqa: F401
 from duelframe.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -303,13 +303,17 @@ def fit_preprocessor(
     if text:
         indexed = [f"_f_i{i}" for i in range(len(text))]
         encoded = [f"_f_o{i}" for i in range(len(text))]
-        indexer = StringIndexerModel.from_arrays_of_labels(
-            [words[n] for n in text], inputCols=filled, outputCols=indexed, handleInvalid="keep"
+        # One indexer per column: vocabularies differ in length.
+        indexers = PipelineModel(
+            [
+                StringIndexerModel.from_labels(words[n], inputCol=f, outputCol=i, handleInvalid="keep")
+                for n, f, i in zip(text, filled, indexed)
+            ]
         )
         # The unknown slot comes last and is the one dropped.
         encoder = OneHotEncoder(inputCols=indexed, outputCols=encoded, dropLast=True)
-        probe = indexer.transform(stages[0].transform(df.limit(0)))
-        stages += [indexer, encoder.fit(probe)]
+        probe = indexers.transform(stages[0].transform(df.limit(0)))
+        stages += [indexers, encoder.fit(probe)]
     else:
         encoded = []
     stages.append(VectorAssembler(inputCols=[*scaled, *encoded], outputCol="features"))
