@@ -103,6 +103,7 @@ def prepared(df: DataFrame, preprocessor: Preprocessor, layout: Layout) -> DataF
 def evaluate(model: PipelineModel, features: DataFrame) -> tuple[float, float, DataFrame]:
     """Accuracy, ROC-AUC and the classification report on a hold-out."""
     scored = positive_probability(model.transform(features)).select("target", "prob_red_win", "prediction")
+    scored = materialised(scored)
     acc = M.accuracy(scored).first()["accuracy"]
     auc = M.roc_auc(scored).first()["roc_auc"]
     return acc, auc, M.classification_report(scored)
