@@ -30,30 +30,26 @@ def bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
         "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
     )
-    line = F.struct(
-        F.col("l_suppkey").alias("id"),
-        F.col("l_extendedprice").alias("price"),
-        F.col("l_quantity").alias("qty"),
-        F.col("l_discount").alias("disc"),
-        F.col("l_tax").alias("tax"),
-        F.col("l_returnflag").alias("flag"),
-    )
-    paired = (
-        lines.select("l_orderkey", F.row_number().over(w).alias("rn"), line.alias("r"), F.lead(line).over(w).alias("u"))
-        .filter((F.col("rn") % 2 == 1) & F.col("u").isNotNull() & (F.col("r.id") != F.col("u.id")))
-    )
+    names = {"id": "l_suppkey", "price": "l_extendedprice", "qty": "l_quantity", "disc": "l_discount", "tax": "l_tax",
+             "flag": "l_returnflag"}
+    paired = lines.select(
+        "l_orderkey",
+        F.row_number().over(w).alias("rn"),
+        *[F.col(source).alias(f"red_{n}") for n, source in names.items()],
+        *[F.lead(source).over(w).alias(f"blue_{n}") for n, source in names.items()],
+    ).filter((F.col("rn") % 2 == 1) & (F.col("red_id") != F.col("blue_id")))
     winner = (
-        F.when(F.col("r.price") > F.col("u.price"), "Red")
-        .when(F.col("r.price") < F.col("u.price"), "Blue")
+        F.when(F.col("red_price") > F.col("blue_price"), "Red")
+        .when(F.col("red_price") < F.col("blue_price"), "Blue")
         .otherwise("Draw")
     )
     return paired.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         (F.col("l_orderkey") * 1000 + F.col("rn")).alias("bout_id"),
         F.col("o_orderdate").alias("bout_date"),
-        F.col("r.id").alias("red_id"),
-        F.col("u.id").alias("blue_id"),
+        "red_id",
+        "blue_id",
         winner.alias("winner"),
-        *[F.col(f"{s}.{n}").alias(f"{p}_{n}") for n in ("qty", "disc", "tax", "flag") for s, p in (("r", "red"), ("u", "blue"))],
+        *[f"{p}_{n}" for n in ("qty", "disc", "tax", "flag") for p in ("red", "blue")],
         F.col("o_orderpriority").alias("grp"),
     )
 

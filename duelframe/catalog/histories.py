@@ -8,6 +8,7 @@ from duelframe.catalog.fixtures import BOUTS_SQL, DRAWN_SQL, GAPPY_SQL, LAYOUT,
 from duelframe.catalog.registry import dated, query, r6_sql, rounded, with_sql
 from duelframe.operators import history as H
 from duelframe.plans import engineer as engineer_plan
+from duelframe.session import materialised
 
 ALPHA = "(2.0e0 / 11)"
 MOMENTUM = ("win_streak", "last3_win_rate")
@@ -72,8 +73,10 @@ def paired_sql(source: str, columns, diffs: bool, key: str = "key", raw=()) -> s
     return f"SELECT {', '.join(out)} FROM {source} GROUP BY key"
 
 
-def _sided(df: DataFrame) -> DataFrame:
-    return df.select("bout_id", "bout_date", "red_id", "blue_id", "winner", *[f"{p}_{s}" for s in STATS for p in ("red", "blue")])
+def _sided(df: DataFrame, stats=STATS) -> DataFrame:
+    """The columns histories need, written out once: histories read their input more than once."""
+    names = ["bout_id", "bout_date", "red_id", "blue_id", "winner", *[f"{p}_{s}" for s in stats for p in ("red", "blue")]]
+    return materialised(df.select(names))
 
 
 _DRAWN = (BOUTS_SQL, DRAWN_SQL, long_sql("drawn"))
@@ -90,17 +93,17 @@ def entity_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_sql(paired_sql("mom", ["win_streak"], False, raw=MOMENTUM), *_DRAWN, MOMENTUM_SQL))
 def win_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.win_streak(drawn(bouts(spark, sf_dir)), LAYOUT)
+    return H.win_streak(_sided(drawn(bouts(spark, sf_dir)), ()), LAYOUT)
 
 
 @query(with_sql(paired_sql("mom", ["last3_win_rate"], False), *_DRAWN, MOMENTUM_SQL))
 def last3_win_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(H.last_win_rate(drawn(bouts(spark, sf_dir)), LAYOUT))
+    return rounded(H.last_win_rate(_sided(drawn(bouts(spark, sf_dir)), ()), LAYOUT))
 
 
 @query(with_sql(paired_sql("mom", MOMENTUM, True, raw=("win_streak",)), *_DRAWN, MOMENTUM_SQL))
 def momentum_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(H.momentum_features(drawn(bouts(spark, sf_dir)), LAYOUT))
+    return rounded(H.momentum_features(_sided(drawn(bouts(spark, sf_dir)), ()), LAYOUT))
 
 
 _PLAIN = (BOUTS_SQL, long_sql("bouts"))
@@ -154,7 +157,7 @@ _MOMENTUM_FORM = [f"{m}_{k}" for k in ("roll5", "ewm10") for m in MOMENTUM]
     )
 )
 def momentum_form(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(H.history_features(drawn(bouts(spark, sf_dir)), LAYOUT, []))
+    return rounded(H.history_features(_sided(drawn(bouts(spark, sf_dir)), ()), LAYOUT, []))
 
 
 # --------------------------------------------------------------------------- one-call features

@@ -129,7 +129,7 @@ def matchup_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gappy_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gappy(bouts(spark, sf_dir)).select("bout_id", "red_disc", "blue_tax", "red_qty", "red_rare")
+    return materialised(gappy(bouts(spark, sf_dir)).select("bout_id", "red_disc", "blue_tax", "red_qty", "red_rare"))
 
 
 _NUMBERS = ("red_disc", "blue_tax", "red_qty", "red_rare")
@@ -216,7 +216,8 @@ _FEATURES = ("red_disc", "blue_tax", "red_qty")
 
 def _feature_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = gappy(bouts(spark, sf_dir)).withColumn("target", (F.col("winner") == "Red").cast("int"))
-    return df.select("bout_id", "bout_date", "target", "grp", "red_flag", *_FEATURES, (F.col("red_qty") > 25).alias("big"))
+    big = (F.col("red_qty") > 25).alias("big")
+    return materialised(df.select("bout_id", "bout_date", "target", "grp", "red_flag", *_FEATURES, big))
 
 
 def _feature_sql(fitted_on: str, applied_to: str) -> str:
@@ -265,7 +266,8 @@ _CODE = "md5(concat(CAST(bout_id AS VARCHAR), '-42'))"
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drawn(bouts(spark, sf_dir)).select("bout_id", (F.col("winner") == "Red").cast("int").alias("target"))
+    df = drawn(bouts(spark, sf_dir)).select("bout_id", (F.col("winner") == "Red").cast("int").alias("target"))
+    return materialised(df)
 
 
 @query(
@@ -305,14 +307,14 @@ def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = scored(bouts(spark, sf_dir))
-    return df.select(
+    df = scored(bouts(spark, sf_dir)).select(
         "bout_id",
         (F.col("winner") == "Red").cast("int").alias("target"),
         "prob_a",
         "prob_b",
         (F.col("prob_a") >= 0.5).cast("int").alias("prediction"),
     )
+    return materialised(df)
 
 
 _JUDGED = (
@@ -406,7 +408,7 @@ def _engineered(df: DataFrame, history: DataFrame | None = None) -> DataFrame:
 
 
 def _training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _engineered(C.create_target(past(drawn(bouts(spark, sf_dir))), LAYOUT))
+    return _engineered(C.create_target(materialised(past(drawn(bouts(spark, sf_dir)))), LAYOUT))
 
 
 _SKIP = ["bout_id", "winner"]

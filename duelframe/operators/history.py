@@ -280,7 +280,7 @@ def add_ewma(h: History, stats: Sequence[str], span: int = EWMA_SPAN, scope: str
         for i, s in numbered:
             df = _blocked_average(df, by, w, s, i, gain(i), t)
     df = df.withColumns(
-        {f"{s}_ewm{span}": F.last(t("y", i), ignorenulls=True).over(_before(w)) for i, s in numbered}
+        {f"{s}_ewm{span}": F.lag(t("y", i)).over(w) for i, s in numbered}
     )
     if h.hot:
         df = _carry_averages(df, by, w, stats, span, step, rate, t)

@@ -7,6 +7,8 @@ the result is an ordinary ``PipelineModel``.
 
 from __future__ import annotations
 
+import json
+import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -44,7 +46,9 @@ def _rank_values(df: DataFrame, picks: Mapping[str, tuple[float | None, float |
     return {name: (row[f"a{i}"], row[f"b{i}"]) for i, name in enumerate(picks)}
 
 
-def exact_medians(df: DataFrame, columns: Sequence[str], sorted_rows: int = _SORTED_ROWS) -> dict[str, float | None]:
+def exact_medians(
+    df: DataFrame, columns: Sequence[str], sorted_rows: int = _SORTED_ROWS, sizes: Mapping[str, int] | None = None
+) -> dict[str, float | None]:
     """Median per column, the mean of the middle two for an even count; null for an all-null column.
 
     ``F.median`` keeps every distinct value of a column in one task. Here an
@@ -52,16 +56,18 @@ def exact_medians(df: DataFrame, columns: Sequence[str], sorted_rows: int = _SOR
     bracket, and it is narrowed until few enough rows are left to sort. Each
     round keeps under a thousandth of the rows, and repeated values at either end
     of a bracket are resolved by counting, so a few passes over the table suffice.
+    ``sizes`` spares the pass that counts non-null values when they are known.
     """
     columns = list(columns)
     if not columns:
         return {}
-    counts = df.agg(*[F.count(c(n)).alias(f"n{i}") for i, n in enumerate(columns)]).first()
-    sizes = {n: counts[f"n{i}"] for i, n in enumerate(columns)}
+    if sizes is None:
+        counts = df.agg(*[F.count(c(n)).alias(f"n{i}") for i, n in enumerate(columns)]).first()
+        sizes = {n: counts[f"n{i}"] for i, n in enumerate(columns)}
     medians: dict[str, float | None] = {n: None for n in columns if not sizes[n]}
     small, wide = {}, {}
-    for n, size in sizes.items():
-        if size:
+    for n in columns:
+        if size := sizes[n]:
             state = (None, None, (size - 1) // 2, size // 2)
             (small if size <= sorted_rows else wide)[n] = state
     # ``wide``: open interval (None = everything), ranks inside it, rows inside it.
@@ -154,14 +160,19 @@ def impute_medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 # --------------------------------------------------------------------------- modes, vocabularies, scales
 
 
+def category_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column_name, n_distinct, top`` of each text column that has a value; the smallest value wins a tie."""
+    return category_counts(df, columns).groupBy("column_name").agg(
+        F.count(F.lit(1)).alias("n_distinct"),
+        F.min(F.struct((-F.col("n")).alias("n"), F.col("value")))["value"].alias("top"),
+    )
+
+
 def most_frequent(df: DataFrame, columns: Sequence[str]) -> dict[str, str | None]:
     """Most frequent value per text column, the smallest on a tie."""
     if not columns:
         return {}
-    best = category_counts(df, columns).groupBy("column_name").agg(
-        F.min(F.struct((-F.col("n")).alias("n"), F.col("value"))).alias("top")
-    )
-    found = {r["column_name"]: r["top"]["value"] for r in best.collect()}
+    found = {r["column_name"]: r["top"] for r in category_summary(df, columns).collect()}
     return {n: found.get(n) for n in columns}
 
 
@@ -171,19 +182,10 @@ def impute_modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({n: F.coalesce(c(n), F.lit(m)) for n, m in modes.items() if m is not None}).drop(*dead)
 
 
-def category_sizes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``column_name, n_distinct, kept`` for the cardinality filter."""
-    sizes = category_counts(df, columns).groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
-    return sizes.withColumn("kept", F.col("n_distinct") <= MAX_CATEGORIES)
-
-
-def low_cardinality(df: DataFrame, columns: Sequence[str], limit: int = MAX_CATEGORIES) -> tuple[list[str], list[str]]:
-    """Text columns within the limit, and those left out. Exact, because the limit is a threshold."""
-    if not columns:
-        return [], []
-    sizes = {r["column_name"]: r["n_distinct"] for r in category_sizes(df, columns).collect()}
-    kept = [n for n in columns if sizes.get(n, 0) <= limit]
-    return kept, [n for n in columns if n not in kept]
+def category_sizes(df: DataFrame, columns: Sequence[str], limit: int = MAX_CATEGORIES) -> DataFrame:
+    """``column_name, n_distinct, kept`` for the cardinality filter; exact, because the limit is a threshold."""
+    sizes = category_summary(df, columns).select("column_name", "n_distinct")
+    return sizes.withColumn("kept", F.col("n_distinct") <= limit)
 
 
 def vocabularies(df: DataFrame, columns: Sequence[str], limit: int = MAX_VOCABULARY) -> dict[str, list[str]]:
@@ -200,21 +202,40 @@ def vocabularies(df: DataFrame, columns: Sequence[str], limit: int = MAX_VOCABUL
     return {n: sorted(v) for n, v in out.items()}
 
 
-def moments(df: DataFrame, columns: Sequence[str], center: bool = True) -> dict[str, tuple[float, float]]:
-    """``(shift, scale)`` per column: mean and population deviation; a constant column keeps scale 1."""
+@dataclass(frozen=True)
+class Moments:
+    """Rows, non-null values, their mean and population variance."""
+
+    rows: int
+    values: int
+    mean: float | None
+    variance: float | None
+
+    def scaling(self, center: bool = True, fill: float | None = None) -> tuple[float, float]:
+        """``(shift, scale)``, with the missing rows counted as ``fill``; a constant column keeps scale 1."""
+        mean, variance = self.mean, self.variance
+        if fill is not None and self.rows > self.values:
+            # Pooling the values with a constant block of the missing rows.
+            share = self.values / self.rows
+            mean = share * self.mean + (1 - share) * fill
+            variance = share * self.variance + share * (1 - share) * (self.mean - fill) ** 2
+        return (mean if center else 0.0, math.sqrt(variance) or 1.0)
+
+
+def moments(df: DataFrame, columns: Sequence[str]) -> dict[str, Moments]:
+    """All columns in one pass."""
     if not columns:
         return {}
-    exprs = [f(c(n)).alias(f"{k}{i}") for i, n in enumerate(columns) for k, f in (("m", F.avg), ("s", F.stddev_pop))]
+    exprs = [F.count(F.lit(1)).alias("rows")]
+    for i, n in enumerate(columns):
+        x = c(n).cast("double")
+        exprs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.var_pop(x).alias(f"v{i}")]
     row = df.agg(*exprs).first()
-    return {
-        n: (row[f"m{i}"] if center else 0.0, row[f"s{i}"] or 1.0)
-        for i, n in enumerate(columns)
-        if row[f"m{i}"] is not None
-    }
+    return {n: Moments(row["rows"], row[f"n{i}"], row[f"m{i}"], row[f"v{i}"]) for i, n in enumerate(columns)}
 
 
 def standardise(df: DataFrame, columns: Sequence[str], center: bool = True) -> DataFrame:
-    scales = moments(df, columns, center)
+    scales = {n: m.scaling(center) for n, m in moments(df, columns).items() if m.values}
     return df.withColumns({n: (c(n) - F.lit(m)) / F.lit(s) for n, (m, s) in scales.items()})
 
 
@@ -249,8 +270,6 @@ class Preprocessor:
 
     @staticmethod
     def load(path: str, spark: SparkSession) -> Preprocessor:
-        import json
-
         row = spark.read.parquet(f"{path}/meta").first()
         schema = StructType.fromJson(json.loads(row["schema"]))
         return Preprocessor(PipelineModel.load(f"{path}/stages"), schema, list(row["names"]), list(row["dropped"]))
@@ -274,16 +293,15 @@ def fit_preprocessor(
     skip = {label, *exclude}
     numeric = [n for n in numeric_columns(df) if n not in skip]
     text = sorted(n for n in string_columns(df) if n not in skip)
-    dropped: list[str] = []
-    if max_categories is not None:
-        text, dropped = low_cardinality(df, text, max_categories)
-    medians = exact_medians(df, numeric)
-    modes = most_frequent(df, text)
-    dropped += [n for n in [*numeric, *text] if (medians | modes)[n] is None]
+    spread = moments(df, numeric)
+    medians = exact_medians(df, numeric, sizes={n: m.values for n, m in spread.items()})
+    summary = {r["column_name"]: r for r in category_summary(df, text).collect()} if text else {}
+    wide = [n for n, r in summary.items() if max_categories is not None and r["n_distinct"] > max_categories]
+    dropped = [n for n in numeric if medians[n] is None] + [n for n in text if n not in summary or n in wide]
     numeric = [n for n in numeric if n not in dropped]
     text = [n for n in text if n not in dropped]
-    imputed = df.select([F.coalesce(c(n).cast("double"), F.lit(medians[n])).alias(n) for n in numeric])
-    scales = moments(imputed, numeric, center)
+    modes = {n: summary[n]["top"] for n in text}
+    scales = {n: spread[n].scaling(center, fill=medians[n]) for n in numeric}
     words = vocabularies(df, text)
 
     def literal(value: float) -> str:
