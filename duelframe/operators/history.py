@@ -8,14 +8,14 @@ one task. Such histories are cut along time into slices of bounded size, each of
 which is a window group of its own; what a slice must know about the past (the
 streak it starts with, the last few rows, the decayed average) is computed from
 one summary row per slice and handed in. Slicing changes the physical layout, not
-the result. Competitors below the limit stay in slice 0, and rows without a
+the result; only the rows of cut histories pay for it. Competitors below the limit stay in slice 0, and rows without a
 competitor name form a slice each, so a flood of unnamed rows is no hot key.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -23,6 +23,7 @@ from pyspark.sql.window import WindowSpec
 
 from duelframe.layout import DEFAULT, Layout, c
 from duelframe.operators.pairs import shared_bases
+from duelframe.session import materialised
 
 # Defaults of the momentum and form features.
 RECENT_BOUTS = 3
@@ -124,10 +125,26 @@ def slice_histories(long: DataFrame, hot_rows: int = HOT_ROWS) -> History:
     )
     share = (F.col("key").cast("double") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1)
     part = F.least(F.floor(share * F.col("parts")), F.col("parts") - 1)
-    placed = long.join(days, ["entity", "_day"], "left").withColumn(
-        "_slice", F.coalesce(unnamed, F.col("base") * _PARTS + part, F.lit(0).cast("long"))
+    placed = long.join(days, ["entity", "_day"], "left").withColumns(
+        {
+            "_slice": F.coalesce(unnamed, F.col("base") * _PARTS + part, F.lit(0).cast("long")),
+            "_hot": F.col("base").isNotNull(),
+        }
     )
-    return History(placed.select(*long.drop("_day").columns, "_slice"), largest, True)
+    return History(materialised(placed.select(*long.drop("_day").columns, "_slice", "_hot")), largest, True)
+
+
+def _per_heat(h: History, step: Callable[[History], History]) -> History:
+    """Run a step on whole histories and on sliced ones separately, so that only the latter pay for slices.
+
+    The result is written out: a step on slices reads its input more than once,
+    and the next step must not repeat this one.
+    """
+    if not h.hot:
+        return step(h)
+    whole = step(replace(h, frame=h.frame.filter(~F.col("_hot")), hot=False))
+    sliced = step(replace(h, frame=h.frame.filter("_hot")))
+    return replace(h, frame=materialised(whole.frame.unionByName(sliced.frame)))
 
 
 def _group(scope: str) -> list[str]:
@@ -155,14 +172,13 @@ def _with_halo(h: History, by: Sequence[str], depth: int, columns: Sequence[str]
     frame = h.frame.withColumn("_halo", F.lit(False))
     if not h.hot:
         return frame
-    sliced = h.frame.filter(F.col("entity").isNotNull())
     latest = Window.partitionBy(*by, "_slice").orderBy(
         F.col("date").desc_nulls_first(), F.col("key").desc(), F.col("side")
     )
     names = list(dict.fromkeys([*_ORDER, *columns]))
     names = [n for n in names if n not in by]
     tails = (
-        sliced.withColumn("_back", F.row_number().over(latest))
+        h.frame.withColumn("_back", F.row_number().over(latest))
         .filter(F.col("_back") <= depth)
         .groupBy(*by, "_slice")
         .agg(F.sort_array(F.collect_list(F.struct(-F.col("_back"), *[c(n) for n in names]))).alias("_tail"))
@@ -181,6 +197,10 @@ def _with_halo(h: History, by: Sequence[str], depth: int, columns: Sequence[str]
 
 def add_momentum(h: History, recent: int = RECENT_BOUTS) -> History:
     """``win_streak`` and ``last<recent>_win_rate`` before each bout, over both sides."""
+    return _per_heat(h, lambda part: _momentum(part, recent))
+
+
+def _momentum(h: History, recent: int) -> History:
     w = _in_slice(["entity"])
     own_win = F.when(~F.col("_halo"), F.col("is_win"))
     counted = _with_halo(h, ["entity"], recent, ["is_win"]).withColumn(
@@ -207,10 +227,8 @@ def add_momentum(h: History, recent: int = RECENT_BOUTS) -> History:
 
 def _streak_carry(counted: DataFrame) -> DataFrame:
     """Streak each slice starts with, from the wins and the last non-win of the slices before it."""
-    slices = (
-        counted.filter(F.col("entity").isNotNull())
-        .groupBy("entity", "_slice")
-        .agg(F.sum("is_win").alias("_n"), F.max(F.when(F.col("is_win") == 0, F.col("_wins"))).alias("_at"))
+    slices = counted.groupBy("entity", "_slice").agg(
+        F.sum("is_win").alias("_n"), F.max(F.when(F.col("is_win") == 0, F.col("_wins"))).alias("_at")
     )
     w = Window.partitionBy("entity").orderBy("_slice")
     summed = slices.withColumn("_start", F.coalesce(F.sum("_n").over(_before(w)), F.lit(0)))
@@ -224,6 +242,10 @@ def _streak_carry(counted: DataFrame) -> DataFrame:
 def add_rolling(h: History, stats: Sequence[str], window: int = ROLLING_WINDOW, scope: str = "side") -> History:
     """``<stat>_roll<window>``: mean of the previous ``window`` bouts, nulls skipped."""
     by = _group(scope)
+    return _per_heat(h, lambda part: _rolling(part, stats, window, by))
+
+
+def _rolling(h: History, stats: Sequence[str], window: int, by: list[str]) -> History:
     frame = _in_slice(by).rowsBetween(-window, -1)
     rolled = _with_halo(h, by, window, stats).withColumns(
         {f"{s}_roll{window}": F.avg(c(s)).over(frame) for s in stats}
@@ -242,6 +264,10 @@ def add_ewma(h: History, stats: Sequence[str], span: int = EWMA_SPAN, scope: str
     whatever the length of the history.
     """
     by = _group(scope)
+    return _per_heat(h, lambda part: _ewma(part, stats, span, by))
+
+
+def _ewma(h: History, stats: Sequence[str], span: int, by: list[str]) -> History:
     w = _in_slice(by)
     alpha = 2.0 / (span + 1.0)
     rate = min(-math.log1p(-alpha), _MAX_LOG) if alpha < 1 else _MAX_LOG
@@ -277,8 +303,7 @@ def add_ewma(h: History, stats: Sequence[str], span: int = EWMA_SPAN, scope: str
         )
         df = df.withColumns({t("y", i): F.exp(-F.col(t("log", i))) * F.col(t("sum", i)) for i, _ in numbered})
     else:
-        for i, s in numbered:
-            df = _blocked_average(df, by, w, s, i, gain(i), t)
+        df = _blocked_averages(df, by, {i: gain(i) * c(s) for i, s in numbered}, t)
     df = df.withColumns(
         {f"{s}_ewm{span}": F.lag(t("y", i)).over(w) for i, s in numbered}
     )
@@ -287,26 +312,34 @@ def add_ewma(h: History, stats: Sequence[str], span: int = EWMA_SPAN, scope: str
     return replace(h, frame=df.select(*h.frame.columns, *[f"{s}_ewm{span}" for s in stats]))
 
 
-def _blocked_average(df, by, w, stat, i, gain, t) -> DataFrame:
-    """Weighted sum per block of summed log decay, so that weights stay inside a double.
+def _blocked_averages(df: DataFrame, by: Sequence[str], gains: Mapping[int, Column], t) -> DataFrame:
+    """Weighted sums per block of summed log decay, so that weights stay inside a double.
 
     A value is weighted relative to its own block and the previous block's final
     sum is handed on; anything older has decayed below double precision.
     """
-    log, y = F.col(t("log", i)), t("y", i)
-    df = df.withColumn("_blk", F.floor(log / _BLOCK_LOG))
-    inside = Window.partitionBy(*by, "_slice", "_blk").orderBy("_pos")
-    weight = F.exp(log - F.col("_blk") * _BLOCK_LOG)
-    df = df.withColumn("_s", F.sum(gain * c(stat) * weight).over(_upto(inside)))
+    for i, gained in gains.items():
+        blk = t("blk", i)
+        df = df.withColumn(blk, F.floor(F.col(t("log", i)) / _BLOCK_LOG))
+        inside = Window.partitionBy(*by, "_slice", blk).orderBy("_pos")
+        weight = F.exp(F.col(t("log", i)) - F.col(blk) * _BLOCK_LOG)
+        df = df.withColumn(t("sum", i), F.sum(gained * weight).over(_upto(inside)))
     ordered = Window.partitionBy(*by, "_slice").orderBy("_pos")
-    df = df.withColumns({"_pblk": F.lag("_blk").over(ordered), "_ps": F.lag("_s").over(ordered)})
-    handed = F.when(
-        F.col("_blk") != F.col("_pblk"),
-        F.when(F.col("_blk") == F.col("_pblk") + 1, F.col("_ps") * math.exp(-_BLOCK_LOG)).otherwise(0.0),
-    )
-    df = df.withColumn("_h", F.last(handed, ignorenulls=True).over(_upto(ordered)))
-    df = df.withColumn(y, (F.col("_s") + F.coalesce("_h", F.lit(0.0))) * F.exp(F.col("_blk") * _BLOCK_LOG - log))
-    return df.drop("_blk", "_s", "_pblk", "_ps", "_h")
+    before = {t(f"last{kind}", i): F.lag(t(kind, i)).over(ordered) for i in gains for kind in ("blk", "sum")}
+    df = df.withColumns(before)
+
+    def handed(i: int) -> Column:
+        blk, prior = F.col(t("blk", i)), F.col(t("lastblk", i))
+        adjacent = F.when(blk == prior + 1, F.col(t("lastsum", i)) * math.exp(-_BLOCK_LOG)).otherwise(0.0)
+        return F.last(F.when(blk != prior, adjacent), ignorenulls=True).over(_upto(ordered))
+
+    df = df.withColumns({t("handed", i): handed(i) for i in gains})
+    averages = {
+        t("y", i): (F.col(t("sum", i)) + F.coalesce(t("handed", i), F.lit(0.0)))
+        * F.exp(F.col(t("blk", i)) * _BLOCK_LOG - F.col(t("log", i)))
+        for i in gains
+    }
+    return df.withColumns(averages)
 
 
 def _carry_averages(df, by, w, stats, span, step, rate, t) -> DataFrame:
@@ -320,8 +353,7 @@ def _carry_averages(df, by, w, stats, span, step, rate, t) -> DataFrame:
     numbered = list(enumerate(stats))
     has = {i: c(s).isNotNull() for i, s in numbered}
     slices = (
-        df.filter(F.col("entity").isNotNull())
-        .groupBy(*by, "_slice")
+        df.groupBy(*by, "_slice")
         .agg(
             F.max("_pos").cast("long").alias("_n"),
             *[
@@ -338,6 +370,8 @@ def _carry_averages(df, by, w, stats, span, step, rate, t) -> DataFrame:
         )
     )
     per_slice = Window.partitionBy(*by).orderBy("_slice")
+    # A small table that is used twice below.
+    slices = materialised(slices)
     slices = slices.withColumn("_offset", F.coalesce(F.sum("_n").over(_before(per_slice)), F.lit(0)))
     tall = slices.select(
         *by, "_slice", "_offset", F.inline(F.array(*[F.col(t("sum", i)) for i, _ in numbered]))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
 from duelframe.layout import DEFAULT, Layout
@@ -73,27 +73,26 @@ def cross_validated_logreg(
     folds: int = FOLDS,
     seed: int = SEED,
     parallelism: int = 4,
-):
-    """Grid over ``C`` scored by ROC-AUC on stratified folds, refitted on all rows.
+) -> tuple[PipelineModel, float, list[tuple[float, int, float]]]:
+    """Grid over ``C`` scored by ROC-AUC on stratified folds, refitted on all rows with the best.
 
-    Returns the fitted ``CrossValidatorModel``. The folds are written out once, so
-    all candidates train on the same rows even when tasks are retried.
+    Returns the model, its ``C`` and ``(C, fold, roc_auc)`` of every fit. The folds
+    are written out once, so all fits see the same rows even when tasks are
+    retried, and selecting a fold is a filter on the scan.
     """
-    weighted = with_class_weights(stratified_folds(features, key=key, folds=folds, seed=seed))
-    weighted = materialised(weighted)
-    rows = float(weighted.count()) * (folds - 1) / folds
-    estimator = logistic_regression(rows)
-    grid = ParamGridBuilder().addGrid(estimator.regParam, [1.0 / (p * rows) for p in penalties]).build()
-    search = CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=grid,
-        evaluator=BinaryClassificationEvaluator(labelCol="target", metricName="areaUnderROC", numBins=0),
-        numFolds=folds,
-        foldCol="fold",
-        parallelism=parallelism,
-        collectSubModels=False,
-    )
-    return search.fit(weighted)
+    folded = materialised(stratified_folds(features, key=key, folds=folds, seed=seed))
+    evaluator = BinaryClassificationEvaluator(labelCol="target", metricName="areaUnderROC", numBins=0)
+
+    def fit_one(candidate: tuple[float, int]) -> tuple[float, int, float]:
+        penalty, fold = candidate
+        model = fit_logreg(folded.filter(F.col("fold") != fold), penalty)
+        return penalty, fold, evaluator.evaluate(model.transform(folded.filter(F.col("fold") == fold)))
+
+    with ThreadPool(parallelism) as pool:
+        scores = pool.map(fit_one, [(p, f) for p in penalties for f in range(folds)])
+    means = {p: sum(s for q, _, s in scores if q == p) / folds for p in penalties}
+    best = max(penalties, key=means.get)
+    return fit_logreg(features, best), best, scores
 
 
 def prepared(df: DataFrame, preprocessor: Preprocessor, layout: Layout) -> DataFrame:

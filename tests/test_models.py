@@ -64,8 +64,9 @@ def test_boosting_is_reproducible(features):
 
 def test_cross_validation_tries_every_penalty(features):
     data, _ = features
-    search = cross_validated_logreg(data, penalties=(1e-4, 1.0), folds=3)
-    assert len(search.avgMetrics) == 2 and min(search.avgMetrics) > 0.5
+    model, best, scores = cross_validated_logreg(data, penalties=(1e-4, 1.0), folds=3)
+    assert best in (1e-4, 1.0) and len(scores) == 6 and min(s for _, _, s in scores) > 0.5
+    assert M.roc_auc(R.positive_probability(model.transform(data))).first()[0] > 0.6
 
 
 @pytest.mark.parametrize("seed", range(3))
