@@ -120,8 +120,8 @@ GAPPY_SQL = """gappy AS (SELECT * REPLACE (nullif(red_disc, 0) AS red_disc, null
   nullif(red_tax, 0) AS red_tax, nullif(blue_tax, 0) AS blue_tax, nullif(red_flag, 'R') AS red_flag),
   CASE WHEN red_qty > 45 THEN red_qty END AS red_rare FROM bouts)"""
 
-SCORED_SQL = """scored AS (SELECT *, floor(1 / (1 + exp(-(red_qty - blue_qty) / 10)) * 1e6 + 0.5) / 1e6 AS prob_a,
-  floor(1 / (1 + exp(-(round(red_tax * 100) - round(blue_tax * 100)) / 5)) * 1e6 + 0.5) / 1e6 AS prob_b FROM bouts)"""
+SCORED_SQL = """scored AS (SELECT *, floor(1 / (1 + exp(-(red_qty - blue_qty) / 10)) * 1e6 + 0.5001) / 1e6 AS prob_a,
+  floor(1 / (1 + exp(-(round(red_tax * 100) - round(blue_tax * 100)) / 5)) * 1e6 + 0.5001) / 1e6 AS prob_b FROM bouts)"""
 
 NAMED_SQL = """named AS (SELECT b.*, r.s_name AS red_name, u.s_name AS blue_name,
   CASE WHEN red_qty = 50 AND red_disc = 0 THEN red_tax END AS red_peak,

@@ -32,7 +32,7 @@ def with_sql(body: str, *ctes: str) -> str:
 
 
 def r6_sql(x: str) -> str:
-    return f"floor(({x}) * 1e6 + 0.5) / 1e6"
+    return f"floor(({x}) * 1e6 + 0.5001) / 1e6"
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
