@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
@@ -143,8 +144,8 @@ def train(
     if champion is not None:
         try:
             best = M.roc_auc(champion.score(holdout).select("target", "prob_red_win")).first()["roc_auc"]
-        except ValueError:
-            best = -1.0
+        except Exception as err:  # a champion that cannot be judged does not block its successor
+            warnings.warn(f"the champion could not be evaluated: {err}")
     promoted = auc >= best
     if promoted and promote_to:
         ModelBundle(prep, fitted).save(promote_to, spark)

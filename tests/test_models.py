@@ -109,6 +109,9 @@ def test_training_run_saves_and_promotes(spark, tmp_path):
     best = first_loadable([str(tmp_path / "absent"), str(tmp_path / "best")], spark)
     again = train(df, model_type="logreg", exclude=SKIP, champion=best)
     assert again.promoted  # equal is good enough
+    broken = ModelBundle(best.preprocessor, first.bundle.preprocessor.model)
+    with pytest.warns(UserWarning, match="champion"):
+        assert train(df, model_type="logreg", exclude=SKIP, champion=broken).promoted
     with pytest.raises(ValueError):
         train(df, model_type="forest")
     with pytest.raises(FileNotFoundError):

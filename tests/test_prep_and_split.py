@@ -5,7 +5,6 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 
 from duelframe.operators import prep as T, split as S
-from duelframe.sources import ModelBundle  # noqa: F401
 
 
 @pytest.mark.parametrize("limit", [5, 60, 10**6])
