@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from duelframe.llm import quality
-from duelframe.llm.texts import SPACE, documents
+from duelframe.llm import quality, toxicity
+from duelframe.llm.texts import SPACE, documents, remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,3 +48,25 @@ SELECT *, (failures & {quality.mask(quality.BASE)}) <> 0 AS base_failed,
 @query(QUALITY_SQL)
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.apply_policy(quality.quality_ledger(documents(spark, sf_dir)))
+
+
+# --------------------------------------------------------------------------- 8: toxicity
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
+    """Fitted on all labelled documents that are not held out."""
+    train = toxicity.training_texts(documents(spark, sf_dir), table(spark, sf_dir, "labels"), remainder("_k", 4) != 2)
+    return toxicity.fit_toxicity(train)
+
+
+@query()
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.toxicity_scores(documents(spark, sf_dir), toxicity_model(spark, sf_dir))
+    return scored.select(
+        "doc_id",
+        (remainder("doc_id", 4) == 2).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= toxicity.THRESHOLD, 1).otherwise(0).alias("predicted"),
+        "n_passages",
+        "worst_p",
+    )
