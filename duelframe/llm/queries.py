@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from duelframe.llm import quality, toxicity
+from duelframe.llm import packing, quality, toxicity
 from duelframe.llm.texts import SPACE, documents, remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,3 +71,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_passages",
         "worst_p",
     )
+
+
+# --------------------------------------------------------------------------- 10: packing
+
+
+@query()
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
