@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from duelframe.llm import packing, quality, toxicity
+from duelframe.llm import packing, quality, toxicity, urlfilter
 from duelframe.llm.texts import SPACE, documents, remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -79,3 +79,36 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+# --------------------------------------------------------------------------- 9: url filters
+
+#: The rules the query applies.
+URL_RULES = (
+    urlfilter.Rule("allow", "org", "/"),
+    urlfilter.Rule("block", "example.org", "/es/"),
+    urlfilter.Rule("block", "example.org", "/en/1"),
+    urlfilter.Rule("allow", "com", "/fr/"),
+    urlfilter.Rule("block", "com", "/de/"),
+)
+
+_RULE_ROWS = ", ".join(f"('{r.action}', '{r.host}', '{r.path}')" for r in URL_RULES)
+
+URL_SQL = f"""
+WITH rules(action, rhost, rpath) AS (VALUES {_RULE_ROWS}),
+p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)([^?#]*)', 1),
+          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+f AS (SELECT page_id, rhost || rpath AS rule, action,
+        row_number() OVER (PARTITION BY page_id ORDER BY length(rhost || rpath) DESC) AS place
+      FROM p JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)),
+j AS (SELECT p.page_id, host, path, rule, action FROM p LEFT JOIN f ON f.page_id = p.page_id AND place = 1),
+h AS (SELECT host, sum(CASE action WHEN 'block' THEN 1 WHEN 'allow' THEN -1 ELSE 0 END) > 0 AS listed FROM j GROUP BY host)
+SELECT page_id, j.host, path, rule, coalesce(action, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict
+FROM j JOIN h ON h.host = j.host
+"""
+
+
+@query(URL_SQL)
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
