@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from duelframe.llm import packing, quality, toxicity, urlfilter
+from duelframe.llm import langid, packing, quality, toxicity, urlfilter
 from duelframe.llm.texts import SPACE, documents, remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,3 +112,14 @@ FROM j JOIN h ON h.host = j.host
 @query(URL_SQL)
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+# --------------------------------------------------------------------------- 4: language
+
+
+@query()
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.fit_languages(langid.training_sample(docs, remainder("doc_id", 5) != 0))
+    held_out = (remainder("doc_id", 5) == 0).alias("held_out")
+    return langid.identify(docs, model).select("doc_id", held_out, "lang_pred", "score", "rejected")
