@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from duelframe.llm import langid, packing, quality, toxicity, urlfilter
+from duelframe.llm import fingerprint, langid, packing, quality, toxicity, urlfilter
 from duelframe.llm.texts import SPACE, documents, remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,3 +123,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit_languages(langid.training_sample(docs, remainder("doc_id", 5) != 0))
     held_out = (remainder("doc_id", 5) == 0).alias("held_out")
     return langid.identify(docs, model).select("doc_id", held_out, "lang_pred", "score", "rejected")
+
+
+# --------------------------------------------------------------------------- 5: fingerprints
+
+
+@query()
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_edited(documents(spark, sf_dir))
