@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from duelframe.llm import fingerprint, langid, packing, quality, toxicity, urlfilter
+from duelframe.llm import bpe, fingerprint, langid, packing, quality, toxicity, urlfilter
 from duelframe.llm.texts import SPACE, documents, remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -131,3 +131,17 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_edited(documents(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------- 7: byte pair encoding
+
+
+@query()
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encoded(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select(
+        "doc_id",
+        bpe.n_ids(F.col("ids")).alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
