@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from duelframe.llm import bpe, fingerprint, langid, packing, quality, toxicity, urlfilter
+from duelframe.llm import bpe, fingerprint, langid, lm, packing, quality, toxicity, urlfilter
 from duelframe.llm.texts import SPACE, documents, remainder, table
+from duelframe.session import materialised
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -145,3 +146,15 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
     )
+
+
+# --------------------------------------------------------------------------- 6: language-model scores
+
+
+@query()
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    train = docs.where(remainder("doc_id", 7) != 2)
+    counts = materialised(lm.token_counts(train))
+    scored = lm.lm_scores(docs, lm.fit_automaton(train, counts), counts)
+    return scored.withColumn("held_out", remainder("doc_id", 7) == 2)
