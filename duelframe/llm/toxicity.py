@@ -25,10 +25,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from duelframe.llm.texts import boxed, unboxed, whole
 from duelframe.layout import c
+from duelframe.session import materialised
 
 STEM = 4
 #: At most so many labelled texts of either class are learned from; above it a hash of the key picks them.
-MAX_TRAIN = 40_000
+MAX_TRAIN = 20_000
 #: The model keeps at most so many stems and tokens, those with the most evidence.
 MAX_MODEL = 100_000
 #: Prior weight of the stem for a token, of the corpus for a stem.
@@ -107,14 +108,18 @@ def _calibrated(model: ToxicityModel, evidence: float) -> float:
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, chosen: Column, key: str = "doc_id", text: str = "text", label: str = "toxic", max_train: int = MAX_TRAIN) -> DataFrame:
-    """(text, toxic) of labelled documents, thinned by a hash of the key to about ``max_train`` a class."""
+    """(text, toxic) of labelled documents, thinned by a hash of the key to about ``max_train`` a class.
+
+    The chosen keys are bounded by that, so they are broadcast; the sample is written once.
+    """
     marked = labels.where(c(label).isin(0, 1) & c(key).isNotNull()).groupBy(c(key).alias("_k")).agg(F.max(c(label)).alias("_y"))
     marked = marked.where(chosen)
     sizes = {r["_y"]: r["n"] for r in marked.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     keep = F.lit(False)
     for y, n in sizes.items():
         keep = keep | ((F.col("_y") == y) & (F.pmod(F.xxhash64(F.col("_k")), F.lit(1_000_000)) < int(min(1.0, max_train / n) * 1_000_000)))
-    return docs.select(c(key).alias("_k"), whole(text).alias("_text")).join(marked.where(keep), "_k").select("_text", "_y")
+    texts = docs.select(c(key).alias("_k"), whole(text).alias("_text"))
+    return materialised(texts.join(F.broadcast(marked.where(keep)), "_k").select("_text", "_y"))
 
 
 def _counted(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
