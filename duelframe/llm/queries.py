@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from duelframe.llm import bpe, fingerprint, langid, lm, packing, quality, toxicity, urlfilter
+from duelframe.llm import bpe, fingerprint, jaccard, langid, lm, packing, quality, toxicity, urlfilter
 from duelframe.llm.texts import SPACE, documents, remainder, table
 from duelframe.session import materialised
 
@@ -158,3 +158,11 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = materialised(lm.token_counts(train))
     scored = lm.lm_scores(docs, lm.fit_automaton(train, counts), counts)
     return scored.withColumn("held_out", remainder("doc_id", 7) == 2)
+
+
+# --------------------------------------------------------------------------- 1: n-gram Jaccard join
+
+
+@query()
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir))

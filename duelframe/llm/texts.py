@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from duelframe.layout import c
@@ -36,3 +40,29 @@ def boxed(docs: DataFrame, name: str = "_doc") -> Column:
 
 def unboxed(df: DataFrame, columns: list[str], name: str = "_doc") -> DataFrame:
     return df.select([F.col(name).getField(n).alias(n) for n in columns])
+
+
+def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    """Groups of equal ``keys`` in sorted batches, each as arrays by column; holds one batch and one group."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        columns = {n: pdf[n].to_numpy() for n in keys}
+        if held and any(held[-1][n].iloc[-1] != v[0] for n, v in columns.items()):
+            yield {n: np.concatenate([h[n].to_numpy() for h in held]) for n in pdf.columns}
+            held = []
+        changed = np.zeros(len(pdf) - 1, bool)
+        for v in columns.values():
+            changed |= v[1:] != v[:-1]
+        edges = [0, *(np.flatnonzero(changed) + 1).tolist(), len(pdf)]
+        if held and len(edges) > 2:
+            held.append(pdf.iloc[: edges[1]])
+            yield {n: np.concatenate([h[n].to_numpy() for h in held]) for n in pdf.columns}
+            held, edges = [], edges[1:]
+        whole_columns = {n: pdf[n].to_numpy() for n in pdf.columns}
+        for a, b in zip(edges[:-2], edges[1:-1]):
+            yield {n: v[a:b] for n, v in whole_columns.items()}
+        held.append(pdf.iloc[edges[-2] :])
+    if held:
+        yield {n: np.concatenate([h[n].to_numpy() for h in held]) for n in held[0].columns}
