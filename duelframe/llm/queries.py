@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from duelframe.llm import bpe, fingerprint, jaccard, langid, lm, packing, quality, toxicity, urlfilter
+from duelframe.llm import bpe, fingerprint, jaccard, langid, lm, packing, quality, suffixes, toxicity, urlfilter
 from duelframe.llm.texts import SPACE, documents, remainder, table
 from duelframe.session import materialised
 
@@ -166,3 +166,18 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------- 3: repeated strings
+
+
+@query()
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffixes.remove_repeats(documents(spark, sf_dir))
+    return done.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
