@@ -55,15 +55,15 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------------- 8: toxicity
 
 
-def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel:
-    """Fitted on all labelled documents that are not held out."""
-    train = toxicity.training_texts(documents(spark, sf_dir), table(spark, sf_dir, "labels"), remainder("_k", 4) != 2)
-    return toxicity.fit_toxicity(train)
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel:
+    """Fitted on the labelled ones of ``docs`` that are not held out."""
+    return toxicity.fit_toxicity(toxicity.training_texts(docs, labels, remainder("_k", 4) != 2))
 
 
 @query()
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = toxicity.toxicity_scores(documents(spark, sf_dir), toxicity_model(spark, sf_dir))
+    docs = documents(spark, sf_dir)
+    scored = toxicity.toxicity_scores(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
     return scored.select(
         "doc_id",
         (remainder("doc_id", 4) == 2).alias("held_out"),
