@@ -53,6 +53,14 @@ class Policy:
 DEFAULT_POLICY = Policy()
 
 
+def _fixed(x: Column) -> Column:
+    """The same value, tied to the row number so that no filter on it is pushed below the measuring columns.
+
+    There it would repeat their expressions, lambdas within lambdas, and no longer be linear in the text's length.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, x)
+
+
 def _measured(df: DataFrame, text: str = "_text") -> DataFrame:
     """Add the measures of ``MEASURES``; what lambdas read twice is a column of its own, so it is computed once."""
     e = F.expr
@@ -95,13 +103,11 @@ def _measured(df: DataFrame, text: str = "_text") -> DataFrame:
                 OR (i < size(_keys) - 1 AND {same("x", "_keys[i + 1]")})), x -> x & (shiftleft(1L, _bits) - 1)))"""
         ),
     ).drop("_keys", "_words", "_bits")
-    return df.withColumn(
-        "n_repeat_words",
-        e(
-            f"""aggregate(transform(_repeats, (p, i) -> if(i = 0, {WINDOW}L, least({WINDOW}L, p - _repeats[i - 1]))),
-                0L, (a, x) -> a + x)"""
-        ),
-    ).drop("_repeats")
+    covered = e(
+        f"""aggregate(transform(_repeats, (p, i) -> if(i = 0, {WINDOW}L, least({WINDOW}L, p - _repeats[i - 1]))),
+            0L, (a, x) -> a + x)"""
+    )
+    return df.withColumn("n_repeat_words", _fixed(covered)).drop("_repeats")
 
 
 def _failures() -> Column:
@@ -114,7 +120,7 @@ def _failures() -> Column:
 
 def _judged(docs: DataFrame, text: str) -> DataFrame:
     df = _measured(docs.select(boxed(docs), whole(text).alias("_text")))
-    return df.withColumn("failures", _failures())
+    return df.withColumn("failures", _fixed(_failures()))
 
 
 def quality_ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -163,8 +169,7 @@ def ablation(ledger: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
 
 def keep_good(docs: DataFrame, text: str = "text", policy: Policy = DEFAULT_POLICY) -> DataFrame:
     """The rows of ``docs`` that pass the policy, with all their columns and no others."""
-    df = apply_policy(_judged(docs, text), policy)
-    return unboxed(df.where("kept"), docs.columns)
+    return unboxed(apply_policy(_judged(docs, text), policy).where("kept"), docs.columns)
 
 
 def policies(ledger: DataFrame, versions: Mapping[str, Policy]) -> DataFrame:
