@@ -5,6 +5,9 @@ least rank is found by scanning, its boundary is deleted, and the two ranks besi
 refreshed. Words are short, so the scan beats any clever queue; a word too long for that
 uses a heap over the same ranks, with the same result.
 
+Classes and cases of letters follow Unicode 16 and 17 as the tokenizer does; the order of a few
+combining marks of those versions, which Python does not know, may differ.
+
 The vocabulary file is read by path on every executor. Words and white-space-free
 stretches of text are remembered per Python worker, in tables of bounded size.
 """
@@ -52,6 +55,10 @@ _WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{_WHITE
 _WORDS_OLD = regex.compile(
     rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}--[{_NEW}]]+|[\p{{N}}--[{_NEW}]]|[[^{_WHITE}\p{{L}}\p{{N}}]||[{_NEW}]]+"
 )
+#: Small letters of capitals that came after Python's Unicode version.
+_SMALL = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+_SMALL |= {i: i + 0x20 for i in range(0x10D50, 0x10D66)} | {i: i + 0x1B for i in range(0x16EA0, 0x16EB9)}
+_CAPITALS = regex.compile("[" + "".join(map(chr, _SMALL)) + "]")
 _STRETCH = regex.compile(rf"[^{_WHITE}]+")
 _NO_RANK = 1 << 40
 
@@ -147,6 +154,8 @@ class WordBpe:
         if not text.isascii():
             # Letter by letter: a final sigma is lower-cased like any other.
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            if _CAPITALS.search(text):
+                text = text.translate(_SMALL)
         text = text.lower()
         split = text.split() if not regex.search("[\x1c-\x1f]", text) else _STRETCH.findall(text)
         known, fresh = self._stretches.get, self._stretch

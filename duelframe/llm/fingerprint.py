@@ -130,7 +130,7 @@ def with_next(docs: DataFrame, key: str, text: str, parts: int) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(c(key).alias("_k"), whole(text).alias("_text"))
-    bounds = sorted(set(rows.approxQuantile("_k", [i / parts for i in range(1, parts)], 0.2 / parts)))
+    bounds = sorted(set(rows.approxQuantile("_k", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
     number = F.coalesce(F.col("_k").cast("double"), F.lit(float("-inf")))
     rows = rows.withColumn("_part", _range_of(number, bounds))
     firsts = rows.groupBy("_part").agg(F.min("_k").alias("k"), F.max(F.col("_k").isNull()).alias("none"))

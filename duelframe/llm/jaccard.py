@@ -104,15 +104,19 @@ def _signed(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _spanning(near) -> list[tuple[int, int]]:
-    """Edges of a spanning forest: ``near(i, others)`` says which of the others are adjacent to i."""
+    """Edges from the first member of each component to its others: ``near(i, others)`` says which are adjacent to i.
+
+    With members in order, nodes of different trees give the same edges for the same component.
+    """
     edges: list[tuple[int, int]] = []
     left = np.arange(near.size)
     while len(left):
-        queue, left = [int(left[0])], left[1:]
+        first, left = int(left[0]), left[1:]
+        queue = [first]
         while queue and len(left):
             i = queue.pop()
             hit = near(i, left)
-            edges += [(i, int(j)) for j in left[hit]]
+            edges += [(first, j) for j in left[hit].tolist()]
             queue += left[hit].tolist()
             left = left[~hit]
     return edges
@@ -133,9 +137,10 @@ class _Alike:
 def _likely(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     a, b = [], []
     for g in runs(batches, ["node", "i", "j"]):
-        sketches = np.frombuffer(b"".join(g["sketch"]), "<u2").reshape(len(g["v"]), SKETCH)
-        v = g["v"]
-        for x, y in _spanning(_Alike(sketches, None if g["i"][0] == g["j"][0] else g["block"])):
+        order = np.argsort(g["v"])
+        v, block = g["v"][order], g["block"][order]
+        sketches = np.frombuffer(b"".join(g["sketch"][order]), "<u2").reshape(len(v), SKETCH)
+        for x, y in _spanning(_Alike(sketches, None if g["i"][0] == g["j"][0] else block)):
             a.append(v[x])
             b.append(v[y])
         if len(a) >= 10_000:
@@ -170,7 +175,6 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         within = g["i"][0] == g["j"][0]
         texts, rows = np.zeros(len(v), np.int64), np.zeros(len(v), np.int64)
         label = np.arange(len(v))
-        edges = []
         for x in range(len(v)):
             own = place[starts[x] : starts[x] + sizes[x]]
             marked[own] = 1
@@ -181,10 +185,9 @@ def _verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if not within:
                 near &= block != block[x]
             texts[x], rows[x] = near.sum(), copies[near].sum()
-            for y in np.flatnonzero(near & (label != label[x])).tolist():
-                if label[y] != label[x]:
-                    edges.append((v[x], v[y]))
-                    label[label == label[y]] = label[x]
+            for y in np.unique(label[near]).tolist():
+                label[label == max(y, label[x])] = min(y, label[x])
+        edges = [(v[a], v[b]) for a, b in enumerate(label.tolist()) if a != b]
         yield pd.DataFrame({"v": v, "b": None, "texts": texts, "rows": rows}).astype({"b": "Int64"})
         if edges:
             yield pd.DataFrame({"v": [e[0] for e in edges], "b": pd.array([e[1] for e in edges], "Int64"), "texts": 0, "rows": 0})
