@@ -14,8 +14,8 @@ NUMERIC_TYPES = (ByteType, ShortType, IntegerType, LongType, FloatType, DoubleTy
 class Layout:
     """One row is a bout between a red and a blue competitor.
 
-    ``key`` must identify a bout and hold a bigint: it breaks ties between
-    bouts of one date, so every ordering in the library is total.
+    ``key`` must identify a bout and be of a type that can be ordered: it breaks
+    ties between bouts of one date, so every ordering in the library is total.
     """
 
     red: str = "Red"

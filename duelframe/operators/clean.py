@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DataType, DateType, DoubleType, FloatType, StructType, TimestampNTZType, TimestampType
 
 from duelframe.layout import DEFAULT, Layout, c
+from duelframe.session import materialised
 
 # The default share of nulls at which a column is dropped, and the
 # post-outcome columns a scored bout cannot have yet, with their stand-ins.
@@ -20,6 +21,8 @@ SCORE_TIME_DEFAULTS: dict[str, object] = {
     "FinishRoundTime": "5:00",
     "EmptyArena": False,
 }
+# Formats tried, in this order, for dates that are not ISO.
+DATE_FORMATS = ("M/d/yyyy", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "yyyy/M/d", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss")
 IMPORTANT_COLUMNS = ("Finish", "FinishRound", "TotalFightTimeSecs", "EmptyArena")
 
 
@@ -104,20 +107,38 @@ def clean(
     threshold: float = MISSING_THRESHOLD,
     keep: Iterable[str] = (),
     require_outcome: bool = True,
+    formats: Iterable[str] = DATE_FORMATS,
 ) -> DataFrame:
     """Dates, target, sparse columns.
 
+    Texts are read as ISO dates or by ``formats``; ``unparsed_dates`` counts those that fit none.
     ``require_outcome=False`` is for upcoming bouts: they keep all rows and get
     no target instead of passing under a made-up winner.
     """
-    dated = nan_to_null(coerce_dates(df, layout.date))
+    dated = nan_to_null(coerce_dates(df, layout.date, formats))
     if require_outcome:
         return drop_high_missing(create_target(dated, layout), threshold, keep)
     identity = [layout.key, layout.date, layout.outcome, layout.red_entity, layout.blue_entity]
     return drop_high_missing(dated, threshold, [*keep, *identity])
 
 
+def unparsed_dates(df: DataFrame, date: str = DEFAULT.date, formats: Iterable[str] = DATE_FORMATS) -> DataFrame:
+    """One row: ``n_dates`` given and ``n_unparsed`` of them that no format fits."""
+    parsed = parse_date(c(date), df.schema[date].dataType, formats)
+    return df.agg(F.count(c(date)).alias("n_dates"), F.count_if(c(date).isNotNull() & parsed.isNull()).alias("n_unparsed"))
+
+
 def with_bout_key(df: DataFrame, layout: Layout = DEFAULT, columns: Iterable[str] | None = None) -> DataFrame:
-    """Add a bigint key hashed from the columns that identify a bout; stable under recomputation."""
+    """Add a text key: 128-bit hash of the columns that identify a bout, and for repeated bouts the row's place.
+
+    Nulls are marked and lengths written, so no two different bouts share a text before
+    hashing. The table is stored once, which fixes the places of repeated rows.
+    """
     names = list(columns or (layout.date, layout.red_entity, layout.blue_entity))
-    return df.withColumn(layout.key, F.xxhash64(*[c(n) for n in names]))
+    marked = [F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("-")) for x in (c(n).cast("string") for n in names)]
+    coded = df.withColumns({"_code": F.md5(F.concat_ws(",", *marked)), "_place": F.monotonically_increasing_id()})
+    stored = materialised(coded)
+    repeated = stored.groupBy("_code").count().filter("count > 1").select("_code", F.lit(True).alias("_again"))
+    place = F.concat(F.col("_code"), F.lit("-"), F.lpad(F.col("_place").cast("string"), 19, "0"))
+    key = F.when(F.col("_again"), place).otherwise(F.col("_code"))
+    return stored.join(repeated, "_code", "left").select(*[c(n) for n in df.columns if n != layout.key], key.alias(layout.key))

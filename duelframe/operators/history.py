@@ -4,8 +4,9 @@ Bouts are turned into a long frame, two rows per bout, and all histories run as
 windows over that frame after one shuffle by ``(entity, _slice)``.
 
 A competitor with more than ``hot_rows`` bouts would put that whole history into
-one task. Such histories are cut along time into slices of bounded size, each of
-which is a window group of its own; what a slice must know about the past (the
+one task. Such histories are cut into slices in the order of the windows: at
+quantiles of the full timestamp, and rows of one timestamp at quantiles of the key.
+A slice holds about ``hot_rows`` rows and is a window group of its own; what a slice must know about the past (the
 streak it starts with, the last few rows, the decayed average) is computed from
 one summary row per slice and handed in. Slicing changes the physical layout, not
 the result; only the rows of cut histories pay for it. Competitors below the limit stay in slice 0, and rows without a
@@ -19,6 +20,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DataType, NumericType, TimestampNTZType
 from pyspark.sql.window import WindowSpec
 
 from duelframe.layout import DEFAULT, Layout, c
@@ -32,10 +34,10 @@ ROLLING_WINDOW = 5
 EWMA_SPAN = 10
 
 HOT_ROWS = 1_000_000
-_PARTS = 1_000_000  # sub-slices one day may have
+_PARTS = 1 << 31  # more than the slices that rows of one time may have
 _MAX_LOG = 300.0  # log decay after which an older value has no weight left in a double
 _BLOCK_LOG = 200.0  # log decay spanned by one numeric block of a long history
-_NO_DAY = 2**31 - 1
+_NO_TIME = 2**62  # microseconds; later than any date
 
 _ORDER = ("date", "key", "side")
 _BASE = ("key", "date", "side", "entity", "is_win")
@@ -79,9 +81,12 @@ def pair_sides(
     """Back to one row per bout with a single aggregation on the bout key.
 
     ``columns`` maps a long column to the base name it gets on either side,
-    ``diffs`` maps a long column to the name of its red-minus-blue column.
+    ``diffs`` maps a long column to the name of its red-minus-blue column. A key
+    that belongs to several bouts is an error.
     """
+    repeated = F.concat(F.lit("bout key is not unique: "), F.first("key").cast("string"))
     wide = long.groupBy("key").agg(
+        F.when(F.count(F.lit(1)) > 2, F.raise_error(repeated)).alias("_unique"),
         *[
             F.max(F.when(F.col("side") == label, c(name))).alias(prefix + base)
             for name, base in columns.items()
@@ -93,7 +98,7 @@ def pair_sides(
         out += [c(layout.red + base), c(layout.blue + base)]
         if diffs and name in diffs:
             out.append((c(layout.red + base) - c(layout.blue + base)).alias(diffs[name]))
-    return wide.select(out)
+    return wide.filter(F.col("_unique").isNull()).select(out)
 
 
 # --------------------------------------------------------------------------- slices
@@ -101,37 +106,69 @@ def pair_sides(
 
 def slice_histories(long: DataFrame, hot_rows: int = HOT_ROWS) -> History:
     """Add ``_slice``; runs one small aggregation to find the largest competitor."""
-    unnamed = F.when(F.col("entity").isNull(), F.col("key").cast("long"))
+    unnamed = F.when(F.col("entity").isNull(), F.xxhash64("key", "side"))
     sizes = long.filter(F.col("entity").isNotNull()).groupBy("entity").count()
     largest = sizes.agg(F.max("count")).first()[0] or 0
     if largest <= hot_rows:
         return History(long.withColumn("_slice", F.coalesce(unnamed, F.lit(0).cast("long"))), largest, False)
 
-    long = long.withColumn("_day", F.coalesce(F.datediff("date", F.lit("1970-01-01").cast("date")), F.lit(_NO_DAY)))
-    days = (
-        long.join(sizes.filter(F.col("count") > hot_rows), "entity", "left_semi")
-        .groupBy("entity", "_day")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("key").cast("double").alias("lo"), F.max("key").cast("double").alias("hi"))
-    )
-    # One row per calendar day and hot competitor, so this window is bounded by the calendar.
-    earlier = Window.partitionBy("entity").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select(
-        "entity",
-        "_day",
-        "lo",
-        "hi",
-        F.least(F.ceil(F.col("n") / hot_rows), F.lit(_PARTS)).alias("parts"),
-        F.floor(F.coalesce(F.sum("n").over(earlier), F.lit(0)) / hot_rows).alias("base"),
-    )
-    share = (F.col("key").cast("double") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1)
-    part = F.least(F.floor(share * F.col("parts")), F.col("parts") - 1)
-    placed = long.join(days, ["entity", "_day"], "left").withColumns(
-        {
-            "_slice": F.coalesce(unnamed, F.col("base") * _PARTS + part, F.lit(0).cast("long")),
-            "_hot": F.col("base").isNotNull(),
-        }
-    )
-    return History(materialised(placed.select(*long.drop("_day").columns, "_slice", "_hot")), largest, True)
+    hot = sizes.filter(F.col("count") > hot_rows)
+    cuts = _time_cuts(long.join(hot, "entity", "left_semi"), largest, hot_rows)
+    below, tie = _between(_micros(long.schema["date"].dataType), F.col("_times"))
+    part = 2 * below + tie.cast("long")
+    placed = long.join(cuts, "entity", "left").withColumns({"_hot": F.col("_times").isNotNull(), "_part": part, "_tie": tie})
+    crowds = _key_cuts(placed.filter("_tie"), hot_rows)
+    within, equal = _between(_key_number(long.schema["key"].dataType), F.col("_keys"))
+    placed = placed.join(crowds, ["entity", "_part"], "left")
+    inside = F.when(F.col("_keys").isNotNull(), 2 * within + equal.cast("long")).otherwise(0)
+    slice_ = F.coalesce(unnamed, F.when(F.col("_hot"), F.col("_part") * _PARTS + inside), F.lit(0).cast("long"))
+    return History(materialised(placed.select(*long.columns, slice_.alias("_slice"), "_hot")), largest, True)
+
+
+def _micros(kind: DataType) -> Column:
+    """The date as a number in the same order; a missing date comes last."""
+    if isinstance(kind, TimestampNTZType):
+        day = F.datediff(F.col("date").cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 86_400
+        clock = F.hour("date") * 3_600 + F.minute("date") * 60
+        number = (day + clock) * 1_000_000 + (F.expr("extract(SECOND FROM date)") * 1_000_000).cast("long")
+    else:
+        number = F.unix_micros(F.col("date").cast("timestamp"))
+    return F.coalesce(number, F.lit(_NO_TIME))
+
+
+def _key_number(kind: DataType) -> Column:
+    """The key as a number that never reverses its order: numbers as they are, others by their first seven bytes."""
+    if isinstance(kind, NumericType):
+        return F.col("key").cast("double")
+    start = F.rpad(F.hex(F.substring(F.col("key").cast("string").cast("binary"), 1, 7)), 14, "0")
+    return F.conv(start, 16, 10).cast("long").cast("double")
+
+
+def _quantiles(value: Column, parts: int) -> Column:
+    at = F.array(*[F.lit(i / parts) for i in range(1, parts)]) if parts > 1 else F.array(F.lit(0.5))
+    return F.array_distinct(F.percentile_approx(value, at, max(10_000, 20 * parts)))
+
+
+def _time_cuts(hot: DataFrame, largest: int, hot_rows: int) -> DataFrame:
+    """Per hot competitor ascending times that leave at most about ``hot_rows`` rows between two of them."""
+    micros = _micros(hot.schema["date"].dataType)
+    return hot.groupBy("entity").agg(_quantiles(micros, 2 * math.ceil(largest / hot_rows)).alias("_times"))
+
+
+def _key_cuts(ties: DataFrame, hot_rows: int) -> DataFrame:
+    """Rows that share a cut time are cut by their keys, where they are too many for one slice."""
+    crowds = ties.groupBy("entity", "_part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_rows)
+    most = crowds.agg(F.max("n")).first()[0] or 1
+    number = _key_number(ties.schema["key"].dataType)
+    members = ties.join(crowds.drop("n"), ["entity", "_part"], "left_semi")
+    return members.groupBy("entity", "_part").agg(_quantiles(number, 2 * math.ceil(most / hot_rows)).alias("_keys"))
+
+
+def _between(value: Column, cuts: Column) -> tuple[Column, Column]:
+    """Place of a value among ascending cuts, and whether it is one of them: 2 * (cuts below) + (1 if equal)."""
+    below = F.size(F.filter(cuts, lambda x: x < value)).cast("long")
+    equal = F.coalesce(F.array_contains(cuts, value), F.lit(False))
+    return below, equal
 
 
 def _per_heat(h: History, step: Callable[[History], History]) -> History:
@@ -260,8 +297,8 @@ def add_ewma(h: History, stats: Sequence[str], span: int = EWMA_SPAN, scope: str
     weight keeps decaying by position. With ``g`` the gap to the previous value,
     an average ``y`` and a new value ``x`` give ``y + (1 - exp(-l)) * (x - y)``
     where ``l = log(1 + alpha * exp(rate * g))``, so a history is a running sum of
-    ``x`` weighted by the exponential of the summed ``l``: two running windows,
-    whatever the length of the history.
+    ``x`` weighted by the exponential of the summed ``l``: running windows, summed
+    in blocks of the logarithm so that weights stay inside a double.
     """
     by = _group(scope)
     return _per_heat(h, lambda part: _ewma(part, stats, span, by))
@@ -271,7 +308,6 @@ def _ewma(h: History, stats: Sequence[str], span: int, by: list[str]) -> History
     w = _in_slice(by)
     alpha = 2.0 / (span + 1.0)
     rate = min(-math.log1p(-alpha), _MAX_LOG) if alpha < 1 else _MAX_LOG
-    blocks = rate * h.largest > 2 * _MAX_LOG
 
     def step(gap: Column) -> Column:
         return F.when(gap.isNotNull(), F.log1p(alpha * F.exp(F.least(rate * gap, F.lit(_MAX_LOG)))))
@@ -297,13 +333,7 @@ def _ewma(h: History, stats: Sequence[str], span: int, by: list[str]) -> History
     def gain(i: int) -> Column:
         return F.when(F.col(t("seen", i)).isNull(), F.lit(1.0)).otherwise(-F.expm1(-F.col(t("step", i))))
 
-    if not blocks:
-        df = df.withColumns(
-            {t("sum", i): F.sum(gain(i) * c(s) * F.exp(t("log", i))).over(_upto(w)) for i, s in numbered}
-        )
-        df = df.withColumns({t("y", i): F.exp(-F.col(t("log", i))) * F.col(t("sum", i)) for i, _ in numbered})
-    else:
-        df = _blocked_averages(df, by, {i: gain(i) * c(s) for i, s in numbered}, t)
+    df = _blocked_averages(df, by, {i: gain(i) * c(s) for i, s in numbered}, t)
     df = df.withColumns(
         {f"{s}_ewm{span}": F.lag(t("y", i)).over(w) for i, s in numbered}
     )

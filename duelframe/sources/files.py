@@ -25,6 +25,10 @@ def _missing_path(err: AnalysisException) -> bool:
     return "PATH_NOT_FOUND" in (err.getCondition() or "")
 
 
+#: What counts as a number: casts also accept letters after the digits, as in 5D or 1f.
+_NUMBER = r"^\s*[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$|^\s*[+-]?(inf|infinity|Infinity)\s*$"
+
+
 def infer_types(df: DataFrame) -> DataFrame:
     """Type all-text columns from one pass: long, double, boolean, else text.
 
@@ -37,7 +41,7 @@ def infer_types(df: DataFrame) -> DataFrame:
         checks += [
             F.count(x).alias(f"n{i}"),
             F.count(x.try_cast("long")).alias(f"l{i}"),
-            F.count(x.try_cast("double")).alias(f"d{i}"),
+            F.count_if(x.rlike(_NUMBER) & x.try_cast("double").isNotNull()).alias(f"d{i}"),
             F.count_if(x.isin(*TRUE_TEXTS, *FALSE_TEXTS)).alias(f"b{i}"),
             F.count_if(x.contains(".")).alias(f"p{i}"),
         ]
