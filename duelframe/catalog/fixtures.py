@@ -23,7 +23,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bouts(spark: SparkSession, sf_dir: str, same: bool = False) -> DataFrame:
+    """``same`` also keeps pairs of one supplier with itself."""
     lines = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
     w = Window.partitionBy("l_orderkey").orderBy(
@@ -37,7 +38,7 @@ def bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.row_number().over(w).alias("rn"),
         *[F.col(source).alias(f"red_{n}") for n, source in names.items()],
         *[F.lead(source).over(w).alias(f"blue_{n}") for n, source in names.items()],
-    ).filter((F.col("rn") % 2 == 1) & (F.col("red_id") != F.col("blue_id")))
+    ).filter((F.col("rn") % 2 == 1) & (F.col("blue_id").isNotNull() if same else F.col("red_id") != F.col("blue_id")))
     winner = (
         F.when(F.col("red_price") > F.col("blue_price"), "Red")
         .when(F.col("red_price") < F.col("blue_price"), "Blue")
@@ -114,6 +115,8 @@ bouts AS (SELECT r.l_orderkey * 1000 + r.rn AS bout_id, o.o_orderdate AS bout_da
  JOIN orders o ON o.o_orderkey = r.l_orderkey
  WHERE r.l_suppkey <> u.l_suppkey)"""
 
+PAIRS_SQL = BOUTS_SQL.replace("bouts AS", "pairs AS").replace("\n WHERE r.l_suppkey <> u.l_suppkey", "")
+
 DRAWN_SQL = """drawn AS (SELECT * REPLACE (CASE WHEN red_qty = blue_qty THEN 'Draw' ELSE winner END AS winner) FROM bouts)"""
 
 GAPPY_SQL = """gappy AS (SELECT * REPLACE (nullif(red_disc, 0) AS red_disc, nullif(blue_disc, 0) AS blue_disc,

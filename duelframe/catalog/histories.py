@@ -106,6 +106,36 @@ def momentum_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(H.momentum_features(_sided(drawn(bouts(spark, sf_dir)), ()), LAYOUT))
 
 
+#: Bouts get a time of day that runs against the order of their keys.
+_TIMED_SQL = "timed AS (SELECT * REPLACE (bout_date + to_minutes(1439 - bout_id % 1440) AS bout_date) FROM drawn)"
+_TIMED = (BOUTS_SQL, DRAWN_SQL, _TIMED_SQL, long_sql("timed"))
+_SLICE = 20  # bouts per slice, so that every competitor is cut
+
+
+def _timed(df: DataFrame) -> DataFrame:
+    return df.withColumn("bout_date", F.expr("bout_date + make_dt_interval(0, 0, CAST(1439 - bout_id % 1440 AS INT), 0)"))
+
+
+@query(with_sql(paired_sql("mom", MOMENTUM, True, raw=("win_streak",)), *_TIMED, MOMENTUM_SQL))
+def momentum_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _sided(_timed(drawn(bouts(spark, sf_dir))), ())
+    return rounded(H.momentum_features(df, LAYOUT, hot_rows=_SLICE))
+
+
+_TIMED_FORM = [f"{s}_{k}" for s in ("qty", "disc") for k in ("roll5", "ewm10")]
+
+
+@query(
+    with_sql(
+        paired_sql("(SELECT * FROM rolled JOIN ewm USING (key, side))", _TIMED_FORM, False),
+        *_TIMED, rolling_sql("h", ["qty", "disc"]), ewma_sql("h", ["qty", "disc"]),
+    )
+)
+def form_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _sided(_timed(drawn(bouts(spark, sf_dir))))
+    return rounded(H.form_features(df, LAYOUT, ["qty", "disc"], diffs=False, hot_rows=_SLICE))
+
+
 _PLAIN = (BOUTS_SQL, long_sql("bouts"))
 _GAPPY = (BOUTS_SQL, GAPPY_SQL, long_sql("gappy"))
 

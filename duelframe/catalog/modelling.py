@@ -93,12 +93,12 @@ def matchup_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(E.matchups(_requests(spark, sf_dir), _profiles(spark, sf_dir), NAMED, ON))
 
 
-@query("SELECT c_name AS entity FROM customer JOIN supplier ON s_suppkey = c_custkey")
+@query("SELECT c_name AS entity FROM customer")
 def matchup_unknown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers are no suppliers, so pairing them leaves the customers unknown."""
+    """Every customer is asked for next to one of the first ten suppliers; customers have no profile, suppliers have one."""
     customers = table(spark, sf_dir, "customer")
     suppliers = table(spark, sf_dir, "supplier")
-    asked = suppliers.join(customers, F.col("s_suppkey") == F.col("c_custkey")).select(
+    asked = customers.join(suppliers, F.col("s_suppkey") == F.col("c_custkey") % 10).select(
         F.upper("s_name").alias("red_name"), F.col("c_name").alias("blue_name")
     )
     known = suppliers.select(F.col("s_name").alias("entity"))
@@ -263,6 +263,8 @@ def transform_upcoming(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LABELLED = "labelled AS (SELECT bout_id, CASE WHEN winner = 'Red' THEN 1 ELSE 0 END AS target FROM drawn)"
 _CODE = "md5(concat(CAST(bout_id AS VARCHAR), '-42'))"
+_RANK = f"row_number() OVER (PARTITION BY target ORDER BY {_CODE})"
+_FOLD = "CAST((" + " + ".join(f"CASE WHEN {_RANK} > {f} * count(*) OVER (PARTITION BY target) // 5 THEN 1 ELSE 0 END" for f in range(1, 5)) + ") AS INTEGER)"
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,8 +285,7 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     with_sql(
-        f"SELECT bout_id, target, CAST((row_number() OVER (PARTITION BY target ORDER BY {_CODE}) - 1) % 5 AS INTEGER) AS fold"
-        " FROM labelled",
+        f"SELECT bout_id, target, {_FOLD} AS fold FROM labelled",
         BOUTS_SQL, DRAWN_SQL, _LABELLED,
     )
 )
@@ -303,6 +304,41 @@ def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(S.class_weights(_labelled(spark, sf_dir)))
 
 
+@query(
+    "SELECT doc_id, toxic, CASE WHEN toxic IS NULL THEN NULL ELSE floor((SELECT count(*) FROM labels WHERE toxic IS NOT NULL)"
+    " / (2e0 * count(*) OVER (PARTITION BY toxic)) * 1e6 + 0.5001) / 1e6 END AS class_weight,"
+    " CAST((" + " + ".join(
+        f"CASE WHEN row_number() OVER (PARTITION BY toxic ORDER BY md5(concat(CAST(doc_id AS VARCHAR), '-42')))"
+        f" > {f} * count(*) OVER (PARTITION BY toxic) // 5 THEN 1 ELSE 0 END" for f in range(1, 5)
+    ) + ") AS INTEGER) AS fold FROM documents LEFT JOIN labels USING (doc_id)"
+)
+def null_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without a label keep their rows: a fold of their own class, no weight."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", "toxic")
+    return rounded(S.stratified_folds(S.with_class_weights(docs, "toxic"), "toxic", "doc_id"))
+
+
+_ASKED = (
+    "asked AS (SELECT c_custkey AS bout_id, upper(s_name) AS red_name, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE lower(s_name) END AS blue_name"
+    " FROM customer JOIN supplier ON s_suppkey = c_custkey % 10)"
+)
+
+
+@query(
+    "WITH " + _ASKED + " SELECT bout_id, s_name AS red_name, CASE WHEN bout_id % 2 = 0 THEN blue_name ELSE s_name END AS blue_name,"
+    " DATE '2002-01-01' AS bout_date, s_acctbal AS red_acctbal, CASE WHEN bout_id % 2 = 1 THEN s_acctbal END AS blue_acctbal,"
+    " bout_id % 2 = 0 AS missing FROM asked JOIN supplier ON upper(s_name) = red_name"
+)
+def matchup_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for customers, who have no profile, come back marked."""
+    suppliers, key = table(spark, sf_dir, "supplier"), F.col("c_custkey")
+    asked = table(spark, sf_dir, "customer").join(suppliers, F.col("s_suppkey") == key % 10).select(
+        key.alias("bout_id"), F.upper("s_name").alias("red_name"), F.when(key % 2 == 0, F.col("c_name")).otherwise(F.lower("s_name")).alias("blue_name")
+    )
+    known = suppliers.select(F.col("s_name").alias("entity"), F.col("s_acctbal").alias("acctbal"))
+    return E.matchups(asked, known, NAMED, ON, unknown="keep")
+
+
 # --------------------------------------------------------------------------- metrics on two fixed models
 
 
@@ -373,7 +409,7 @@ def classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FOLDED = (
-    f"folded AS (SELECT *, (row_number() OVER (PARTITION BY target ORDER BY {_CODE}) - 1) % 5 AS fold FROM judged),\n"
+    f"folded AS (SELECT *, {_FOLD} AS fold FROM judged),\n"
     f"aucs AS ({_auc_sql('prob_a', 'folded', 'fold')})"
 )
 
@@ -446,13 +482,48 @@ def gbt_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return literal_rows(spark, ["feature", "importance"], [(n, float(v)) for n, v in zip(prep.names, importances)])
 
 
-@query()
+_HELD = (
+    "held AS (SELECT target, row_number() OVER (PARTITION BY target ORDER BY " + _CODE + ") AS rn, count(*) OVER (PARTITION BY target) AS n"
+    f" FROM (SELECT bout_id, CASE WHEN winner = 'Red' THEN 1 ELSE 0 END AS target FROM drawn WHERE NOT {_UP} AND winner IN ('Red', 'Blue')))"
+)
+
+
+@query(
+    with_sql(
+        "SELECT CAST(target AS VARCHAR) AS class, count(*) AS support, TRUE AS judged, TRUE AS promoted"
+        " FROM held WHERE rn <= ceil(0.15e0 * n) GROUP BY target",
+        BOUTS_SQL, DRAWN_SQL, _HELD,
+    )
+)
 def train_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hold-out report of a one-call training run."""
-    result = train(_training_table(spark, sf_dir), LAYOUT, "logreg", exclude=_SKIP)
-    return result.report.withColumns(
-        {"accuracy": F.lit(result.accuracy), "roc_auc": F.lit(result.roc_auc), "promoted": F.lit(result.promoted)}
+    """The main route in one call: 15 % hold-out, cross-validated penalty, scaling without centring, all text columns.
+
+    The given data hold next to no signal, so only size, range and promotion are compared.
+    """
+    result = train(
+        _training_table(spark, sf_dir), LAYOUT, "logreg", fraction=0.15, exclude=_SKIP, max_categories=None, cross_validate=True, center=False
+    )
+    judged = 0 <= result.accuracy <= 1 and 0 <= result.roc_auc <= 1
+    return result.report.filter(F.col("class").isin("0", "1")).select(
+        "class", "support", F.lit(judged).alias("judged"), F.lit(result.promoted).alias("promoted")
+    )
+
+
+@query(
+    with_sql(
+        f"SELECT penalty, fold, count(*) AS tested, TRUE AS better_than_chance FROM (SELECT target, {_FOLD} AS fold FROM labelled_past)"
+        " CROSS JOIN (VALUES (1e-4::DOUBLE), (1e-2::DOUBLE), (1e0::DOUBLE), (1e2::DOUBLE), (1e4::DOUBLE)) p(penalty) GROUP BY penalty, fold",
+        BOUTS_SQL, DRAWN_SQL,
+        f"labelled_past AS (SELECT bout_id, CASE WHEN winner = 'Red' THEN 1 ELSE 0 END AS target FROM drawn WHERE NOT {_UP} AND winner IN ('Red', 'Blue'))",
     )
+)
+def logreg_cv_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows tested per penalty and fold, and whether that fit separates the classes."""
+    features, _ = _features(spark, sf_dir)
+    _, _, scores = cross_validated_logreg(features)
+    fits = literal_rows(spark, ["penalty", "fold", "roc_auc"], scores)
+    tested = S.stratified_folds(features).groupBy("fold").agg(F.count(F.lit(1)).alias("tested"))
+    return fits.join(tested, "fold").select("penalty", "fold", "tested", (F.col("roc_auc") > 0.5).alias("better_than_chance"))
 
 
 def _fitted(spark: SparkSession, sf_dir: str) -> ModelBundle:
@@ -460,7 +531,11 @@ def _fitted(spark: SparkSession, sf_dir: str) -> ModelBundle:
     return ModelBundle(prep, fit_logreg(features))
 
 
-@query()
+@query(
+    with_sql(
+        f"SELECT count(*) AS rows, 0::BIGINT AS differing FROM drawn WHERE NOT {_UP} AND winner IN ('Red', 'Blue')", BOUTS_SQL, DRAWN_SQL
+    )
+)
 def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of a saved and reloaded model next to those of the model in memory."""
     bundle = _fitted(spark, sf_dir)

@@ -282,3 +282,66 @@ def pair_diffs_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
 def named_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = P.named_diffs(bouts(spark, sf_dir), LAYOUT, {"ReachDif": "qty", "AvgTDDif": "tax", "AgeDif": "age"})
     return rounded(df.select("bout_id", "ReachDif", "AvgTDDif"))
+
+
+# --------------------------------------------------------------------------- nothing is lost on the way in
+
+_ODD_DATE = """CASE bout_id % 4 WHEN 0 THEN strftime(bout_date, '%Y-%m-%d') WHEN 1 THEN strftime(bout_date, '%-m/%-d/%Y')
+ WHEN 2 THEN strftime(bout_date, '%B %-d, %Y') ELSE 'unknown' END"""
+
+
+def _odd_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day, kind = F.col("bout_date"), F.col("bout_id") % 4
+    text = (
+        F.when(kind == 0, F.date_format(day, "yyyy-MM-dd"))
+        .when(kind == 1, F.date_format(day, "M/d/yyyy"))
+        .when(kind == 2, F.date_format(day, "MMMM d, yyyy"))
+        .otherwise("unknown")
+    )
+    return bouts(spark, sf_dir).withColumn("bout_date", text)
+
+
+@query(
+    with_sql(
+        "SELECT bout_id, CASE WHEN bout_id % 4 < 3 THEN CAST(bout_date AS DATE) END AS bout_date,"
+        " CASE WHEN winner = 'Red' THEN 1 ELSE 0 END AS target FROM bouts WHERE winner IN ('Red', 'Blue')",
+        BOUTS_SQL,
+    )
+)
+def clean_date_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dated(C.clean(_odd_dates(spark, sf_dir), LAYOUT).select("bout_id", "bout_date", "target"))
+
+
+@query(with_sql("SELECT count(*) AS n_dates, count(*) FILTER (WHERE bout_id % 4 = 3) AS n_unparsed FROM bouts", BOUTS_SQL))
+def unparsed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.unparsed_dates(_odd_dates(spark, sf_dir), "bout_date")
+
+
+@query(
+    "SELECT count(*) AS n_rows, count(*) AS n_keys, (SELECT sum(n) FROM (SELECT count(*) AS n FROM lineitem"
+    " GROUP BY CASE WHEN l_partkey % 10 > 0 THEN l_partkey END, CASE WHEN l_suppkey % 3 > 0 THEN l_suppkey END, l_shipdate"
+    " HAVING count(*) > 1))::BIGINT AS n_numbered FROM lineitem"
+)
+def bout_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of lines whose identifying columns are partly null and repeat."""
+    df = table(spark, sf_dir, "lineitem").withColumns(
+        {n: F.when(F.col(n) % k > 0, F.col(n)) for n, k in (("l_partkey", 10), ("l_suppkey", 3))}
+    )
+    keyed = C.with_bout_key(df, LAYOUT, ["l_partkey", "l_suppkey", "l_shipdate"])
+    key = F.col(LAYOUT.key)
+    return keyed.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct(key).alias("n_keys"), F.count_if(key.contains("-")).alias("n_numbered")
+    )
+
+
+@query(
+    "SELECT s_suppkey AS id, CASE s_suppkey % 2 WHEN 0 THEN concat(s_suppkey, 'D') ELSE concat(s_suppkey, 'f') END AS code,"
+    " s_acctbal AS balance FROM supplier"
+)
+def csv_number_like_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes such as 5D and 7f stay text."""
+    key = F.col("s_suppkey")
+    code = F.concat(key.cast("string"), F.when(key % 2 == 0, "D").otherwise("f"))
+    path = shared_folder(spark)
+    table(spark, sf_dir, "supplier").select(key.alias("id"), code.alias("code"), F.col("s_acctbal").alias("balance")).write.option("header", True).csv(path)
+    return read_csv(spark, path)

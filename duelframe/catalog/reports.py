@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from duelframe.catalog.fixtures import (
-    BOUTS_SQL, DRAWN_SQL, GAPPY_SQL, LAYOUT, NAMED, NAMED_SQL, SCORED_SQL, STATS, UPCOMING_FROM, bouts, drawn, gappy,
+    BOUTS_SQL, DRAWN_SQL, GAPPY_SQL, LAYOUT, NAMED, NAMED_SQL, PAIRS_SQL, SCORED_SQL, STATS, UPCOMING_FROM, bouts, drawn, gappy,
     named_bouts, past, scored, table, upcoming,
 )
 from duelframe.catalog.histories import MOMENTUM, MOMENTUM_SQL, long_sql, paired_sql
@@ -257,14 +257,10 @@ def dq_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.check_rows(df, [V.non_blank("name"), V.non_blank("c_name")])
 
 
-_PAIRED = "(SELECT *, CASE WHEN red_qty = blue_qty THEN red_id ELSE blue_id END AS other FROM bouts)"
-
-
-@query(with_sql(_rule_sql("sides_differ", "TRUE", "red_id = other", _PAIRED), BOUTS_SQL))
+@query(with_sql(_rule_sql("sides_differ", "TRUE", "red_id = blue_id", "pairs"), PAIRS_SQL))
 def dq_same_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = bouts(spark, sf_dir)
-    other = F.when(F.col("red_qty") == F.col("blue_qty"), F.col("red_id")).otherwise(F.col("blue_id"))
-    return V.check_rows(df.withColumn("blue_id", other), [V.sides_differ(LAYOUT)])
+    """All pairs of lines, some of which have the same supplier on both sides."""
+    return V.check_rows(bouts(spark, sf_dir, same=True), [V.sides_differ(LAYOUT)])
 
 
 def _missing_sql(source: str, columns) -> str:
@@ -347,18 +343,19 @@ def dq_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ENGINEERED = (BOUTS_SQL, DRAWN_SQL, long_sql("drawn"), MOMENTUM_SQL,
-               f"eng AS (SELECT d.*, p.* EXCLUDE (bout_id) FROM drawn d JOIN ({paired_sql('mom', MOMENTUM, True)}) p USING (bout_id))")
+               f"eng AS (SELECT d.*, p.* EXCLUDE (bout_id), red_win_streak - CASE WHEN red_qty < 10 THEN 2 ELSE 0 END AS streak,"
+               f" red_last3_win_rate + red_disc AS rate, red_qty - blue_qty + CASE WHEN red_qty < 5 THEN 1 ELSE 0 END AS qty_diff FROM drawn d JOIN ({paired_sql('mom', MOMENTUM, True)}) p USING (bout_id))")
 
 
 @query(
     with_sql(
         _union(
-            _rule_sql("at_least:red_win_streak", "red_win_streak IS NOT NULL", "red_win_streak < 0", "eng"),
+            _rule_sql("at_least:red_win_streak", "streak IS NOT NULL", "streak < 0", "eng"),
             _rule_sql("at_least:blue_win_streak", "blue_win_streak IS NOT NULL", "blue_win_streak < 0", "eng"),
-            _rule_sql("range:red_last3_win_rate", "TRUE", "red_last3_win_rate NOT BETWEEN 0 AND 1", "eng"),
+            _rule_sql("range:red_last3_win_rate", "rate IS NOT NULL", "rate NOT BETWEEN 0 AND 1", "eng"),
             _rule_sql("range:blue_last3_win_rate", "TRUE", "blue_last3_win_rate NOT BETWEEN 0 AND 1", "eng"),
-            _rule_sql("difference:qty", "TRUE", "FALSE", "eng"),
-            "SELECT 'rows_preserved', count(*), 0 FROM drawn",
+            _rule_sql("difference:qty", "TRUE", "abs(qty_diff - (red_qty - blue_qty)) > 1e-9", "eng"),
+            "SELECT 'rows_preserved', (SELECT count(*) FROM drawn), abs(count(*) - (SELECT count(*) FROM drawn)) FROM eng",
         ),
         *_ENGINEERED,
     )
@@ -366,6 +363,14 @@ _ENGINEERED = (BOUTS_SQL, DRAWN_SQL, long_sql("drawn"), MOMENTUM_SQL,
 def dq_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = drawn(bouts(spark, sf_dir))
     after, _ = engineer(before, LAYOUT, "simple", stats=STATS)
+    # Damaged on purpose, so that three rules have something to find.
+    after = after.withColumns(
+        {
+            "red_win_streak": F.col("red_win_streak") - F.when(F.col("red_qty") < 10, 2).otherwise(0),
+            "red_last3_win_rate": F.col("red_last3_win_rate") + F.col("red_disc"),
+            "qty_diff": F.col("qty_diff") + F.when(F.col("red_qty") < 5, 1).otherwise(0),
+        }
+    )
     rules = [
         V.at_least("red_win_streak", 0),
         V.at_least("blue_win_streak", 0),
@@ -433,3 +438,18 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = drawn(bouts(spark, sf_dir))
     rules = [V.domain("winner", ["Red", "Blue"]), V.sides_differ(LAYOUT), V.in_range("red_qty", 5, 45)]
     return V.quality_report(df, rules, [V.duplicates(df, ["bout_id"]), V.some_date(df, "bout_date")])
+
+
+@query(
+        "SELECT (SELECT count(*) FROM (DESCRIBE labels)) + (SELECT count(*) FROM (DESCRIBE documents)) - 1 AS n_train,"
+        " (SELECT count(*) FROM (DESCRIBE documents)) AS n_upcoming, (SELECT count(*) FROM (DESCRIBE labels)) - 1 AS n_missing,"
+        f" {r6_sql('((SELECT count(*) FROM (DESCRIBE labels)) - 1) / ((SELECT count(*) FROM (DESCRIBE labels)) + (SELECT count(*) FROM (DESCRIBE documents)) - 1.0e0)')}"
+        " AS share_missing, (SELECT count(*) FROM documents) AS n_rows"
+)
+def feature_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their labels are what a model is trained on, documents alone what is scored."""
+    upcoming = table(spark, sf_dir, "documents")
+    train = upcoming.join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    gap = D.feature_gap(train.columns, upcoming.columns)
+    values = {n: F.lit(v) if n == "share_missing" else F.lit(v).cast("long") for n, v in gap.items()}
+    return rounded(upcoming.agg(F.count(F.lit(1)).alias("n_rows")).withColumns(values))

@@ -121,25 +121,28 @@ def matchups(
     profiles: DataFrame,
     layout: Layout = DEFAULT,
     on: Date | None = None,
-    strict: bool = False,
+    unknown: str = "raise",
 ) -> DataFrame:
     """One row per request ``(red entity, blue entity, ...)`` with both profiles side by side.
 
     Names match without regard to case and come back in their canonical form.
-    Requests naming an unknown competitor are left out; ``strict`` raises instead.
+    ``unknown="raise"`` refuses names without a profile and counts them;
+    ``unknown_entities`` lists them. ``"keep"`` returns such requests too, with null
+    stats, the name as asked for, and true in a column ``missing``; ``"drop"`` leaves them out.
     """
-    if strict:
-        unknown = unknown_entities(requests, profiles, layout).limit(20).collect()
-        if unknown:
-            raise KeyError(f"not found in profiles: {[r['entity'] for r in unknown]}")
+    if unknown not in ("raise", "keep", "drop"):
+        raise ValueError(f"unknown must be 'raise', 'keep' or 'drop', not {unknown!r}")
+    if unknown == "raise" and (n := unknown_entities(requests, profiles, layout).count()):
+        raise KeyError(f"{n} requested competitors have no profile; unknown_entities lists them")
+    how = "left" if unknown == "keep" else "inner"
     stats = [n for n in profiles.columns if n != "entity"]
     folded = _folded(profiles)
     extra = [n for n in requests.columns if n not in (layout.red_entity, layout.blue_entity)]
     out = requests.withColumns(
         {"_red": F.lower(c(layout.red_entity)), "_blue": F.lower(c(layout.blue_entity))}
     )
-    out = out.join(folded.select(F.col("_name").alias("_red"), F.col("_p").alias("_rp")), "_red")
-    out = out.join(folded.select(F.col("_name").alias("_blue"), F.col("_p").alias("_bp")), "_blue")
+    out = out.join(folded.select(F.col("_name").alias("_red"), F.col("_p").alias("_rp")), "_red", how)
+    out = out.join(folded.select(F.col("_name").alias("_blue"), F.col("_p").alias("_bp")), "_blue", how)
     when = F.current_date() if on is None else F.lit(on)
     sides = [
         F.col(p)[n].alias(prefix + n)
@@ -148,10 +151,11 @@ def matchups(
     ]
     return out.select(
         *[c(n) for n in extra],
-        F.col("_rp")["entity"].alias(layout.red_entity),
-        F.col("_bp")["entity"].alias(layout.blue_entity),
+        F.coalesce(F.col("_rp")["entity"], c(layout.red_entity)).alias(layout.red_entity),
+        F.coalesce(F.col("_bp")["entity"], c(layout.blue_entity)).alias(layout.blue_entity),
         when.alias(layout.date),
         *sides,
+        *([(F.col("_rp").isNull() | F.col("_bp").isNull()).alias("missing")] if unknown == "keep" else []),
     )
 
 

@@ -24,8 +24,6 @@ from duelframe.operators.drift import category_counts
 # Fixed value: a text column with more distinct values than this is left out.
 MAX_CATEGORIES = 20
 
-# A vocabulary becomes part of the model, so its size is checked before it is fetched.
-MAX_VOCABULARY = 50_000
 # Rows of the bracket around a median that one task may sort, and the accuracy of the bracket.
 _SORTED_ROWS = 100_000
 _ACCURACY = 10_000
@@ -35,15 +33,21 @@ _ACCURACY = 10_000
 
 
 def _rank_values(df: DataFrame, picks: Mapping[str, tuple[float | None, float | None, int, int]]) -> dict:
-    """Exact values at two ranks inside the open interval ``(lo, hi)`` of each column; small intervals only."""
-    exprs = []
-    for i, (name, (lo, hi, r1, r2)) in enumerate(picks.items()):
+    """Exact values at two ranks inside the open interval ``(lo, hi)`` of each column; small intervals only.
+
+    Every column is sorted in a group of its own, so no task holds two of them.
+    """
+    cells = []
+    for i, (name, (lo, hi, _, _)) in enumerate(picks.items()):
         x = c(name).cast("double")
         inside = x.isNotNull() if lo is None else (x > lo) & (x < hi)
-        values = F.sort_array(F.collect_list(F.when(inside, x)))
-        exprs += [F.element_at(values, r1 + 1).alias(f"a{i}"), F.element_at(values, r2 + 1).alias(f"b{i}")]
-    row = df.agg(*exprs).first()
-    return {name: (row[f"a{i}"], row[f"b{i}"]) for i, name in enumerate(picks)}
+        cells.append(F.when(inside, F.struct(F.lit(i).alias("i"), x.alias("x"))))
+    tall = df.select(F.explode(F.array_compact(F.array(*cells))).alias("v")).select("v.*")
+    values = tall.groupBy("i").agg(F.sort_array(F.collect_list("x")).alias("xs"))
+    at = F.create_map(*[F.lit(v) for i, p in enumerate(picks.values()) for v in (i, F.array(F.lit(p[2] + 1), F.lit(p[3] + 1)))])
+    rows = values.select("i", *[F.element_at("xs", at[F.col("i")][k]).alias(n) for k, n in enumerate("ab")]).collect()
+    names = list(picks)
+    return {names[r["i"]]: (r["a"], r["b"]) for r in rows}
 
 
 def exact_medians(
@@ -188,13 +192,13 @@ def category_sizes(df: DataFrame, columns: Sequence[str], limit: int = MAX_CATEG
     return sizes.withColumn("kept", F.col("n_distinct") <= limit)
 
 
-def vocabularies(df: DataFrame, columns: Sequence[str], limit: int = MAX_VOCABULARY) -> dict[str, list[str]]:
-    """Sorted distinct values per text column, refused when they exceed ``limit`` in total."""
+def vocabularies(df: DataFrame, columns: Sequence[str], limit: int | None = None) -> dict[str, list[str]]:
+    """Sorted distinct values per text column, which become part of the model; refused above ``limit`` in total, if given."""
     if not columns:
         return {}
     values = category_counts(df, columns).select("column_name", "value")
-    rows = values.limit(limit + 1).collect()
-    if len(rows) > limit:
+    rows = values.collect() if limit is None else values.limit(limit + 1).collect()
+    if limit is not None and len(rows) > limit:
         raise ValueError(f"more than {limit} categories; set max_categories to leave wide columns out")
     out: dict[str, list[str]] = {n: [] for n in columns}
     for r in rows:

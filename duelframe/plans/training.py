@@ -20,10 +20,11 @@ from duelframe.operators.split import FOLDS, HOLDOUT, SEED, stratified_folds, st
 from duelframe.session import materialised
 from duelframe.sources.models import ModelBundle
 
-# Settings of the two classifiers and the cross-validated penalties.
+# Settings of the two classifiers, columns known only after a bout, and the cross-validated penalties.
 LOGREG_C = 1.0
 LOGREG_TOL = 1e-4
 LOGREG_MAX_ITER = 10_000
+POST_OUTCOME = ("Finish", "FinishDetails", "FinishRound", "FinishRoundTime", "TotalFightTimeSecs")
 CV_PENALTIES = (1e-4, 1e-2, 1.0, 1e2, 1e4)
 GBT_TREES = 100
 GBT_STEP = 0.1
@@ -34,7 +35,7 @@ GBT_DEPTH = 3
 class TrainingResult:
     bundle: ModelBundle
     accuracy: float
-    roc_auc: float
+    roc_auc: float | None
     promoted: bool
     report: DataFrame
 
@@ -56,14 +57,23 @@ def gradient_boosting(trees: int = GBT_TREES, seed: int = SEED) -> GBTClassifier
     return GBTClassifier(labelCol="target", maxIter=trees, stepSize=GBT_STEP, maxDepth=GBT_DEPTH, seed=seed)
 
 
-def fit_logreg(features: DataFrame, penalty: float = LOGREG_C) -> PipelineModel:
+def _checked(features: DataFrame) -> int:
+    """Rows of the frame; a missing label is refused, not dropped."""
+    rows, labelled = features.agg(F.count(F.lit(1)), F.count("target")).first()
+    if rows != labelled:
+        raise ValueError(f"{rows - labelled} rows have no label")
+    return rows
+
+
+def fit_logreg(features: DataFrame, penalty: float = LOGREG_C, tol: float = LOGREG_TOL) -> PipelineModel:
     """Balanced logistic regression on a frame with ``features`` and ``target``."""
     # Balanced weights sum to the number of rows.
-    estimator = logistic_regression(float(features.count()), penalty)
+    estimator = logistic_regression(float(_checked(features)), penalty).setTol(tol)
     return Pipeline(stages=[estimator]).fit(with_class_weights(features))
 
 
 def fit_gbt(features: DataFrame, trees: int = GBT_TREES, seed: int = SEED) -> PipelineModel:
+    _checked(features)
     return Pipeline(stages=[gradient_boosting(trees, seed)]).fit(features)
 
 
@@ -81,12 +91,24 @@ def cross_validated_logreg(
     are written out once, so all fits see the same rows even when tasks are
     retried, and selecting a fold is a filter on the scan.
     """
+    _checked(features)
     folded = materialised(stratified_folds(features, key=key, folds=folds, seed=seed))
+    # One count of rows by fold and class gives the weights of all fits.
+    sizes = {(r["fold"], r["target"]): r["n"] for r in folded.groupBy("fold", "target").agg(F.count(F.lit(1)).alias("n")).collect()}
     evaluator = BinaryClassificationEvaluator(labelCol="target", metricName="areaUnderROC", numBins=0)
 
     def fit_one(candidate: tuple[float, int]) -> tuple[float, int, float]:
         penalty, fold = candidate
-        model = fit_logreg(folded.filter(F.col("fold") != fold), penalty)
+        rows: dict = {}
+        for (f, y), n in sizes.items():
+            if f != fold:
+                rows[y] = rows.get(y, 0) + n
+        total = sum(rows.values())
+        weight = F.lit(None).cast("double")
+        for y, n in rows.items():
+            weight = F.when(F.col("target") == y, F.lit(total / (len(rows) * n))).otherwise(weight)
+        part = folded.filter(F.col("fold") != fold).withColumn("class_weight", weight)
+        model = Pipeline(stages=[logistic_regression(float(total), penalty)]).fit(part)
         return penalty, fold, evaluator.evaluate(model.transform(folded.filter(F.col("fold") == fold)))
 
     with ThreadPool(parallelism) as pool:
@@ -100,7 +122,7 @@ def prepared(df: DataFrame, preprocessor: Preprocessor, layout: Layout) -> DataF
     return preprocessor.transform(df).select(layout.key, "target", "features")
 
 
-def evaluate(model: PipelineModel, features: DataFrame) -> tuple[float, float, DataFrame]:
+def evaluate(model: PipelineModel, features: DataFrame) -> tuple[float, float | None, DataFrame]:
     """Accuracy, ROC-AUC and the classification report on a hold-out."""
     scored = positive_probability(model.transform(features)).select("target", "prob_red_win", "prediction")
     scored = materialised(scored)
@@ -121,22 +143,33 @@ def train(
     save_to: str | None = None,
     promote_to: str | None = None,
     trees: int = GBT_TREES,
+    cross_validate: bool = False,
+    center: bool = True,
 ) -> TrainingResult:
     """Split, fit on the training part, evaluate, compare with the champion, refit on all rows, save.
 
+    ``cross_validate`` chooses the penalty of the logistic regression on folds, for the
+    evaluation and again for the refit; ``center=False`` only divides by the deviation.
+    Unless ``exclude`` is given, outcome, key, competitors and what is known only after
+    a bout are no features. A ROC-AUC that is null, as with one class in the hold-out,
+    counts as not judged: it neither promotes over a judged champion nor keeps its place.
     ``df`` is engineered and carries ``target``. Scaling and encoding are fitted on
     the training part only for the evaluation. ``promote_to`` receives the evaluated
     model when it is at least as good as the champion.
     """
-    fits = {"logreg": fit_logreg, "gbdt": lambda f: fit_gbt(f, trees, seed)}
+    def logreg(features: DataFrame) -> PipelineModel:
+        return cross_validated_logreg(features, layout.key, seed=seed)[0] if cross_validate else fit_logreg(features)
+
+    fits = {"logreg": logreg, "gbdt": lambda f: fit_gbt(f, trees, seed)}
     if model_type not in fits:
         raise ValueError(f"unknown model type {model_type!r}; use one of {sorted(fits)}")
-    skip = [layout.outcome, layout.key] if exclude is None else list(exclude)
+    identity = [layout.outcome, layout.key, layout.red_entity, layout.blue_entity]
+    skip = [*identity, *POST_OUTCOME] if exclude is None else list(exclude)
     spark = df.sparkSession
     table = materialised(stratified_split(df, key=layout.key, fraction=fraction, seed=seed))
     training, holdout = table.filter(~F.col("is_holdout")), table.filter("is_holdout")
 
-    prep = fit_preprocessor(training, exclude=skip, max_categories=max_categories)
+    prep = fit_preprocessor(training, exclude=skip, max_categories=max_categories, center=center)
     fitted = fits[model_type](materialised(prepared(training, prep, layout)))
     accuracy, auc, report = evaluate(fitted, prepared(holdout, prep, layout))
 
@@ -146,11 +179,11 @@ def train(
             best = M.roc_auc(champion.score(holdout).select("target", "prob_red_win")).first()["roc_auc"]
         except Exception as err:  # a champion that cannot be judged does not block its successor
             warnings.warn(f"the champion could not be evaluated: {err}")
-    promoted = auc >= best
+    promoted = best is None or best == -1.0 if auc is None else best is None or auc >= best
     if promoted and promote_to:
         ModelBundle(prep, fitted).save(promote_to, spark)
 
-    full_prep = fit_preprocessor(table, exclude=skip, max_categories=max_categories)
+    full_prep = fit_preprocessor(table, exclude=skip, max_categories=max_categories, center=center)
     final = ModelBundle(full_prep, fits[model_type](materialised(prepared(table, full_prep, layout))))
     if save_to:
         final.save(save_to, spark)

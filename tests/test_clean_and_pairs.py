@@ -68,6 +68,19 @@ def test_bout_key_is_stable(spark):
     assert a == b and len(set(a)) == 2
 
 
+def test_bout_keys_keep_nulls_and_repeats_apart(spark):
+    rows = [("2020-01-01", "A", None), ("2020-01-01", None, "A"), ("2020-01-01", "A", "B"), ("2020-01-01", "A", "B"), ("2020-01-01", "A,1:B", None)]
+    df = spark.createDataFrame(rows, "Date string, RedFighter string, BlueFighter string")
+    keys = [r["bout_id"] for r in C.with_bout_key(df).collect()]
+    assert len(set(keys)) == 5 and sum("-" in k for k in keys) == 2
+
+
+def test_clean_reads_other_date_formats(spark):
+    df = spark.createDataFrame([("03/05/2021", "Red"), ("March 6, 2021", "Blue"), ("2021-03-07", "Red"), ("soon", "Red")], "Date string, Winner string")
+    assert [str(r["Date"])[:10] for r in C.clean(df, threshold=1.0).collect()] == ["2021-03-05", "2021-03-06", "2021-03-07", "None"]
+    assert tuple(C.unparsed_dates(df).first()) == (4, 1)
+
+
 def test_pair_differences_by_type(spark):
     df = spark.createDataFrame(
         [(5, 3, True, False, dt.date(2020, 1, 5), dt.date(2020, 1, 1), "a", "b", 9)],

@@ -50,7 +50,7 @@ def test_directory(bouts):
 def test_matchup_ignores_case(spark, bouts):
     profiles = E.entity_profile(bouts)
     asked = spark.createDataFrame([(7, "ann", "BOB"), (8, "Ann", "nobody")], "id int, RedFighter string, BlueFighter string")
-    rows = E.matchups(asked, profiles, on=dt.date(2024, 1, 1)).collect()
+    rows = E.matchups(asked, profiles, on=dt.date(2024, 1, 1), unknown="drop").collect()
     assert len(rows) == 1
     r = rows[0]
     assert (r["id"], r["RedFighter"], r["BlueFighter"], r["Date"]) == (7, "Ann", "Bob", dt.date(2024, 1, 1))
@@ -61,8 +61,13 @@ def test_unknown_names(spark, bouts):
     profiles = E.entity_profile(bouts)
     asked = spark.createDataFrame([("Ann", "nobody"), ("nobody", "BOB")], "RedFighter string, BlueFighter string")
     assert [r["entity"] for r in E.unknown_entities(asked, profiles).collect()] == ["nobody"]
-    with pytest.raises(KeyError, match="nobody"):
-        E.matchups(asked, profiles, strict=True)
+    with pytest.raises(KeyError, match="1 requested"):
+        E.matchups(asked, profiles)
+    with pytest.raises(ValueError, match="unknown"):
+        E.matchups(asked, profiles, unknown="guess")
+    kept = E.matchups(asked, profiles, unknown="keep").collect()
+    assert sorted((r["RedFighter"], r["BlueFighter"], r["missing"]) for r in kept) == [("Ann", "nobody", True), ("nobody", "Bob", True)]
+    assert {r["RedAge"] for r in kept if r["RedFighter"] == "nobody"} == {None}
 
 
 def test_fallback_stats(spark):

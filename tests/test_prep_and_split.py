@@ -96,8 +96,9 @@ def test_holdout_is_exact_per_class_and_reproducible(spark):
 def test_split_does_not_shuffle_the_table(spark):
     S.stratified_split(labelled(spark)).createOrReplaceTempView("v")
     plan = S.stratified_split(labelled(spark))._jdf.queryExecution().executedPlan().toString()
-    main = plan[: plan.index("BroadcastExchange")]
-    assert "Exchange hashpartitioning" not in main
+    assert "Exchange hashpartitioning" not in plan
+    plan = S.stratified_folds(labelled(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
 
 
 def test_folds_are_balanced_per_class(spark):
@@ -108,3 +109,31 @@ def test_folds_are_balanced_per_class(spark):
 def test_class_weights(spark):
     got = {r["target"]: r["class_weight"] for r in S.class_weights(labelled(spark)).collect()}
     assert got == {1: pytest.approx(1000 / 600), 0: pytest.approx(1000 / 1400)}
+
+
+def test_cuts_are_refined_until_a_prefix_is_small(spark):
+    df = labelled(spark)
+    codes = {y: sorted(r[0] for r in df.filter(f"target = {y}").select(S._code("bout_id", 42)).collect()) for y in (0, 1)}
+    ranks = {0: [1, 350, 700], 1: [30, 299]}
+    found = S._codes_at(df, "target", "bout_id", 42, ranks, ranked=1)
+    assert found == {(y, r): codes[y][r - 1] for y, wanted in ranks.items() for r in wanted}
+
+
+def test_small_classes_leave_folds_empty(spark):
+    df = spark.createDataFrame([(i, 0 if i else 1) for i in range(8)], "bout_id long, target int")
+    rows = S.stratified_folds(df).collect()
+    assert len(rows) == 8 and all(0 <= r["fold"] < 5 for r in rows)
+
+
+def test_rows_without_a_label_stay(spark):
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else i % 2) for i in range(100)], "bout_id long, target int")
+    assert S.stratified_folds(df).filter("fold IS NOT NULL").count() == 100
+    weighted = S.with_class_weights(df)
+    assert weighted.count() == 100 and weighted.filter("class_weight IS NULL").count() == 20
+    assert S.stratified_split(df).filter("is_holdout").count() == 4 + 2 * 8
+
+
+def test_wide_vocabularies_fit(spark):
+    df = spark.range(60_000).selectExpr("id AS bout_id", "CAST(id % 2 AS INT) AS target", "concat('v', id) AS word", "CAST(id AS DOUBLE) AS x")
+    prep = T.fit_preprocessor(df, exclude=["bout_id"], max_categories=None)
+    assert len(prep.names) == 60_001

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from duelframe.operators import compare as A, drift as D, quality as V
 from duelframe.functions import bout_label, confidence_tier
 from duelframe.session import shared_folder
-from duelframe.sources import load_or_build, read_csv, read_plain_csv, write_predictions
+from duelframe.sources import infer_types, load_or_build, read_csv, read_plain_csv, write_predictions
 
 
 def write(path, text, encoding="utf-8"):
@@ -152,3 +152,8 @@ def test_quality_rules(spark):
     both = spark.createDataFrame([(0.4, 0.6), (0.4, 0.7)], "p double, q double")
     assert rule(both, V.probabilities("p", "q"))["sums_to_one"] == (2, 1)
     assert V.quality_report(df, [V.sides_differ()], [V.duplicates(df)]).count() == 2
+
+
+def test_codes_with_a_letter_are_no_numbers(spark):
+    df = spark.createDataFrame([("5D", "1f", "1e3", " 7 ", ".5"), ("7D", "2f", "-2.5", "8", "1.")], "a string, b string, c string, d string, e string")
+    assert [t for _, t in infer_types(df).dtypes] == ["string", "string", "double", "bigint", "double"]
