@@ -38,7 +38,7 @@ RECALL = 0.9999
 #: Signature values that are carried along for comparison, and how far below the threshold a pair may seem.
 SKETCH, MARGIN = 128, 0.18
 #: Members of a node that a block compares; shingles and texts of a cluster that a block verifies.
-NODE_BLOCK, CLUSTER_BLOCK, CLUSTER_TEXTS = 1_024, 500_000, 2_048
+NODE_BLOCK, CLUSTER_BLOCK, CLUSTER_TEXTS = 1_024, 500_000, 256
 _REMEMBERED = 300_000
 _STEP = 512  # shingles whose hashes are computed at once
 

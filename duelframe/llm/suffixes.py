@@ -34,7 +34,7 @@ LENGTH = 200
 GRAM = LENGTH // 2
 _WIDTH = LENGTH - GRAM + 1  # 100-byte strings within a 200-byte one
 #: Stretches of one key that a task compares at once; more are dealt out by the rank of their positions.
-BLOCK = 4_096
+BLOCK = 512
 _PIECE = 1 << 20  # bytes of a text ranked at once
 _ROWS = 200_000
 
