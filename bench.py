@@ -14,6 +14,8 @@ HEADLINE = (
     "entity_profile", "matchup_rows", "median_impute", "feature_matrix", "stratified_split", "stratified_folds",
     "roc_auc", "cv_summary", "classification_report", "compare_join", "top_disagreements", "category_drift",
     "pair_diffs", "clean_bouts", "dq_duplicates", "quality_report",
+    # Cut histories, a wide table, fits and scoring.
+    "momentum_sliced", "form_sliced", "form_wide", "logreg_fit", "gbt_fit", "score_upcoming", "matchup_scores",
 )
 
 

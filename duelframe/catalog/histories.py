@@ -136,6 +136,29 @@ def form_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(H.form_features(df, LAYOUT, ["qty", "disc"], diffs=False, hot_rows=_SLICE))
 
 
+#: A table as wide as a real one: 28 stats a side, made of the three that bouts have.
+WIDE = [f"stat{i}" for i in range(28)]
+
+
+def _wide_sql(prefix: str) -> str:
+    return ", ".join(f"({prefix}_qty * {i + 3}) % {i + 11} + {prefix}_disc AS {prefix}_stat{i}" for i in range(28))
+
+
+_WIDE = (BOUTS_SQL, f"wide AS (SELECT *, {_wide_sql('red')}, {_wide_sql('blue')} FROM bouts)", long_sql("wide", WIDE))
+
+
+@query(
+    with_sql(
+        paired_sql("(SELECT * FROM rolled JOIN ewm USING (key, side))", [f"{s}_{k}" for s in WIDE for k in ("roll5", "ewm10")], False),
+        *_WIDE, rolling_sql("h", WIDE), ewma_sql("h", WIDE),
+    )
+)
+def form_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = {f"{p}_stat{i}": (F.col(f"{p}_qty") * (i + 3)) % (i + 11) + F.col(f"{p}_disc") for p in ("red", "blue") for i in range(28)}
+    df = _sided(bouts(spark, sf_dir).withColumns(stats), WIDE)
+    return rounded(H.form_features(df, LAYOUT, WIDE, diffs=False))
+
+
 _PLAIN = (BOUTS_SQL, long_sql("bouts"))
 _GAPPY = (BOUTS_SQL, GAPPY_SQL, long_sql("gappy"))
 

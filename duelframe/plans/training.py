@@ -12,12 +12,12 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import DataFrame, functions as F
 
-from duelframe.layout import DEFAULT, Layout
+from duelframe.layout import DEFAULT, Layout, literal_rows
 from duelframe.operators import metrics as M
 from duelframe.operators.prep import MAX_CATEGORIES, Preprocessor, fit_preprocessor
 from duelframe.operators.scoring import positive_probability
 from duelframe.operators.split import FOLDS, HOLDOUT, SEED, stratified_folds, stratified_split, with_class_weights
-from duelframe.session import materialised
+from duelframe.session import discard, materialised
 from duelframe.sources.models import ModelBundle
 
 # Settings of the two classifiers, columns known only after a bout, and the cross-validated penalties.
@@ -113,6 +113,7 @@ def cross_validated_logreg(
 
     with ThreadPool(parallelism) as pool:
         scores = pool.map(fit_one, [(p, f) for p in penalties for f in range(folds)])
+    discard(folded)
     means = {p: sum(s for q, _, s in scores if q == p) / folds for p in penalties}
     best = max(penalties, key=means.get)
     return fit_logreg(features, best), best, scores
@@ -128,7 +129,10 @@ def evaluate(model: PipelineModel, features: DataFrame) -> tuple[float, float |
     scored = materialised(scored)
     acc = M.accuracy(scored).first()["accuracy"]
     auc = M.roc_auc(scored).first()["roc_auc"]
-    return acc, auc, M.classification_report(scored)
+    report = M.classification_report(scored)
+    rows = [tuple(r) for r in report.collect()]  # five rows
+    discard(scored)
+    return acc, auc, literal_rows(features.sparkSession, report.columns, rows)
 
 
 def train(
@@ -170,7 +174,9 @@ def train(
     training, holdout = table.filter(~F.col("is_holdout")), table.filter("is_holdout")
 
     prep = fit_preprocessor(training, exclude=skip, max_categories=max_categories, center=center)
-    fitted = fits[model_type](materialised(prepared(training, prep, layout)))
+    seen = materialised(prepared(training, prep, layout))
+    fitted = fits[model_type](seen)
+    discard(seen)
     accuracy, auc, report = evaluate(fitted, prepared(holdout, prep, layout))
 
     best = -1.0
@@ -184,7 +190,9 @@ def train(
         ModelBundle(prep, fitted).save(promote_to, spark)
 
     full_prep = fit_preprocessor(table, exclude=skip, max_categories=max_categories, center=center)
-    final = ModelBundle(full_prep, fits[model_type](materialised(prepared(table, full_prep, layout))))
+    everything = materialised(prepared(table, full_prep, layout))
+    final = ModelBundle(full_prep, fits[model_type](everything))
+    discard(everything, table)
     if save_to:
         final.save(save_to, spark)
     return TrainingResult(final, accuracy, auc, promoted, report)
