@@ -11,7 +11,9 @@ from duelframe.catalog.fixtures import (
 from duelframe.catalog.histories import MOMENTUM, MOMENTUM_SQL, long_sql, paired_sql
 from duelframe.catalog.registry import dated, query, r6_sql, rounded, with_sql
 from duelframe.operators import clean as C, compare as A, drift as D, quality as V, scoring as R
-from duelframe.plans import engineer
+from duelframe.plans import compare_files, engineer
+from duelframe.session import shared_folder
+from duelframe.sources import write_predictions
 
 # --------------------------------------------------------------------------- two models side by side
 
@@ -49,6 +51,21 @@ def compare_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(A.compare_join(*_models(spark, sf_dir), on=_KEYS))
 
 
+@query(
+    with_sql(
+        "SELECT count(*) AS total, count(*) FILTER (WHERE agree) AS agreements, count(*) FILTER (WHERE NOT agree)"
+        f" AS disagreements, {r6_sql('avg(CASE WHEN agree THEN 1e0 ELSE 0e0 END)')} AS rate FROM cmp",
+        *_COMPARED,
+    )
+)
+def agreement_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from two prediction files."""
+    paths = [shared_folder(spark) for _ in "ab"]
+    for df, path in zip(_models(spark, sf_dir), paths):
+        write_predictions(df, path, key="bout_id")
+    return rounded(compare_files(spark, *paths, on=_KEYS).agreement)
+
+
 @query(
     with_sql(
         "SELECT count(*) AS total, count(*) FILTER (WHERE agree) AS agreements, count(*) FILTER (WHERE NOT agree)"

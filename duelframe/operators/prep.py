@@ -187,8 +187,13 @@ def impute_modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def category_sizes(df: DataFrame, columns: Sequence[str], limit: int = MAX_CATEGORIES) -> DataFrame:
-    """``column_name, n_distinct, kept`` for the cardinality filter; exact, because the limit is a threshold."""
-    sizes = category_summary(df, columns).select("column_name", "n_distinct")
+    """``column_name, n_distinct, kept`` for the cardinality filter, of columns that have a value.
+
+    Two 64-bit hashes stand for a value, so long texts of columns that do not pass are never shuffled.
+    """
+    cells = [F.struct(F.lit(n).alias("column_name"), c(n).isNotNull().alias("there"), F.xxhash64(c(n)).alias("a"), F.xxhash64(F.lit(1), c(n)).alias("b")) for n in columns]
+    seen = df.select(F.inline(F.array(*cells))).filter("there").groupBy("column_name", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    sizes = seen.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_distinct"))
     return sizes.withColumn("kept", F.col("n_distinct") <= limit)
 
 
@@ -299,14 +304,19 @@ def fit_preprocessor(
     text = sorted(n for n in string_columns(df) if n not in skip)
     spread = moments(df, numeric)
     medians = exact_medians(df, numeric, sizes={n: m.values for n, m in spread.items()})
-    summary = {r["column_name"]: r for r in category_summary(df, text).collect()} if text else {}
-    wide = [n for n, r in summary.items() if max_categories is not None and r["n_distinct"] > max_categories]
-    dropped = [n for n in numeric if medians[n] is None] + [n for n in text if n not in summary or n in wide]
+    narrow = text
+    if text and max_categories is not None:
+        narrow = [r["column_name"] for r in category_sizes(df, text, max_categories).filter("kept").collect()]
+    # One pass over the columns that stay gives their vocabularies, which become part of the model, and their modes.
+    counted: dict[str, dict[str, int]] = {}
+    for r in category_counts(df, narrow).collect() if narrow else []:
+        counted.setdefault(r["column_name"], {})[r["value"]] = r["n"]
+    dropped = [n for n in numeric if medians[n] is None] + [n for n in text if n not in counted]
     numeric = [n for n in numeric if n not in dropped]
     text = [n for n in text if n not in dropped]
-    modes = {n: summary[n]["top"] for n in text}
+    words = {n: sorted(counted[n]) for n in text}
+    modes = {n: min(words[n], key=lambda v: (-counted[n][v], v)) for n in text}
     scales = {n: spread[n].scaling(center, fill=medians[n]) for n in numeric}
-    words = vocabularies(df, text)
 
     def literal(value: float) -> str:
         return f"CAST('{value!r}' AS DOUBLE)"

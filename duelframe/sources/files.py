@@ -102,15 +102,15 @@ def read_csv(
         if _missing_path(err):
             raise FileNotFoundError(str(path)) from err
         raise
-    files = (
-        raw.select(F.input_file_name().alias("file"), F.is_valid_utf8("value").alias("ok"))
-        .groupBy("file")
-        .agg(F.bool_and("ok").alias("utf8"))
-        .collect()
-    )
-    utf8 = sorted(r["file"] for r in files if r["utf8"])
-    latin = sorted(r["file"] for r in files if not r["utf8"])
+    # Only files that are not UTF-8 are listed on the driver; where there is none, the path is read as it is.
+    found = raw.filter(~F.is_valid_utf8("value")).select(F.input_file_name().alias("file")).distinct()
+    latin = sorted(r["file"] for r in found.collect())
+    utf8: str | list[str] = path
+    if not latin and raw.isEmpty():
+        raise ValueError(f"no rows in {path}")
     if latin:
+        every = raw.select(F.input_file_name().alias("file")).distinct()
+        utf8 = sorted(r["file"] for r in every.collect() if r["file"] not in set(latin))
         warnings.warn(f"{len(latin)} file(s) are not UTF-8; reading them as Latin-1")
     parts = [_scan(spark, p, schema, e, multi_line) for p, e in ((utf8, "UTF-8"), (latin, "ISO-8859-1")) if p]
     if not parts:
