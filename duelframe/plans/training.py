@@ -12,7 +12,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import DataFrame, functions as F
 
-from duelframe.layout import DEFAULT, Layout, literal_rows
+from duelframe.layout import DEFAULT, Layout, c, literal_rows
 from duelframe.operators import metrics as M
 from duelframe.operators.prep import MAX_CATEGORIES, Preprocessor, fit_preprocessor
 from duelframe.operators.scoring import positive_probability
@@ -132,7 +132,8 @@ def evaluate(model: PipelineModel, features: DataFrame) -> tuple[float, float |
     report = M.classification_report(scored)
     rows = [tuple(r) for r in report.collect()]  # five rows
     discard(scored)
-    return acc, auc, literal_rows(features.sparkSession, report.columns, rows)
+    kept = literal_rows(features.sparkSession, report.columns, rows)
+    return acc, auc, kept.select([c(n).cast(kind) for n, kind in report.dtypes])
 
 
 def train(
