@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from duelframe.layout import c
 from duelframe.llm.components import components
-from duelframe.llm.texts import boxed, runs, unboxed, whole
+from duelframe.llm.texts import boxed, runs, small_batches, unboxed, whole
 from duelframe.session import materialised
 
 WORDS = 5
@@ -39,7 +39,7 @@ RECALL = 0.9999
 SKETCH, MARGIN = 128, 0.18
 #: Members of a node that a block compares; shingles and texts of a cluster that a block verifies.
 NODE_BLOCK, CLUSTER_BLOCK, CLUSTER_TEXTS = 1_024, 500_000, 256
-_REMEMBERED = 300_000
+_REMEMBERED = 100_000
 _STEP = 512  # shingles whose hashes are computed at once
 
 _RANDOM = np.random.default_rng(20)
@@ -211,6 +211,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     shingle and no link, and is a class of its own under its own key. Repeated rows are
     copies of each other; null keys rank last; an empty table gives an empty result.
     """
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, key, text)
+
+
+def _near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Everything that runs Python is written inside; what is returned only joins the tables."""
     kind = docs.schema[key].dataType.simpleString()
     texts = docs.select(c(key).alias("_k"), whole(text).alias("_text"))
     signed = materialised(texts.mapInPandas(_signed, f"row long, _k {kind}, n long, digest binary, sig binary"))

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from duelframe.layout import c
-from duelframe.llm.texts import whole
+from duelframe.llm.texts import small_batches, whole
 from duelframe.session import materialised
 
 WINDOW = 2048
@@ -208,7 +208,8 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", wi
     ``window`` tokens and are either full or a power of two long, so none needs padding.
     Their ids are unique and stable for a given written table, not consecutive.
     """
-    table = materialised(tokenised(docs, path, key, text))
+    with small_batches(docs.sparkSession):
+        table = materialised(tokenised(docs, path, key, text))
     rest = F.col("n") % window
     per_class = table.where(rest > 0).groupBy(F.floor((rest - 1) * CLASSES / window).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n"))
     histogram = np.zeros(CLASSES)

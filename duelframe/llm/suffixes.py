@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from duelframe.layout import c
-from duelframe.llm.texts import boxed, runs, whole
+from duelframe.llm.texts import boxed, runs, small_batches, whole
 from duelframe.session import materialised
 
 LENGTH = 200
@@ -36,7 +36,8 @@ _WIDTH = LENGTH - GRAM + 1  # 100-byte strings within a 200-byte one
 #: Stretches of one key that a task compares at once; more are dealt out by the rank of their positions.
 BLOCK = 512
 _PIECE = 1 << 20  # bytes of a text ranked at once
-_ROWS = 200_000
+_ROWS = 200_000  # stretches handed back at once
+_OUT = 1_000  # texts handed back at once
 
 _BASE = 0x9E3779B97F4A7C15
 _BYTES = np.frombuffer(b"".join(hashlib.blake2b(bytes([i]), digest_size=8).digest() for i in range(256)), "<u8")
@@ -187,6 +188,11 @@ def _compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def repeated_ranges(rows: DataFrame) -> DataFrame:
     """(``_id``, ``ranges``): byte ranges of ``_text`` covered by repeated strings, neither merged nor sorted."""
+    with small_batches(rows.sparkSession):
+        return materialised(_ranges(rows))
+
+
+def _ranges(rows: DataFrame) -> DataFrame:
     keyed = rows.select("_id", "_text").mapInPandas(_keyed, "_id long, h long, e long, start long, inner boolean")
     again = keyed.select("h", "inner").groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("inner").alias("inner")).where("n >= 2 OR inner")
     live = materialised(keyed.join(again.select("h"), "h", "left_semi"))
@@ -241,12 +247,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     kind = docs.schema[key].dataType.simpleString()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            data = [t.encode("utf-8", "surrogatepass") for t in pdf["_text"]]
-            spans = [_spans(r) for r in pdf["ranges"]]
+        for part in (pdf.iloc[at : at + _OUT] for pdf in batches for at in range(0, len(pdf), _OUT)):
+            data = [t.encode("utf-8", "surrogatepass") for t in part["_text"]]
+            spans = [_spans(r) for r in part["ranges"]]
             yield pd.DataFrame(
                 {
-                    "_k": pdf["_k"],
+                    "_k": part["_k"].to_numpy(),
                     "n_bytes": [len(d) for d in data],
                     "kept": [without(d, s) for d, s in zip(data, spans)],
                     "spans": [[{"start": a, "end": b} for a, b in s] for s in spans],

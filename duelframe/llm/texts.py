@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -42,6 +43,21 @@ def unboxed(df: DataFrame, columns: list[str], name: str = "_doc") -> DataFrame:
     return df.select([F.col(name).getField(n).alias(n) for n in columns])
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """Hand at most ``rows`` rows to a Python worker at once while tables are written inside; the setting is put back after.
+
+    Rows that carry shingle sets or whole texts are large, and a batch is held more than once while it is converted.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
     """Groups of equal ``keys`` in sorted batches, each as arrays by column; holds one batch and one group."""
     held: list[pd.DataFrame] = []

@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from duelframe.llm.texts import boxed, unboxed, whole
+from duelframe.llm.texts import boxed, small_batches, unboxed, whole
 from duelframe.layout import c
 from duelframe.session import materialised
 
@@ -40,6 +40,7 @@ DRIFT = 0.6
 ALPHA = 0.05
 THRESHOLD = 0.3
 
+_COUNTED = 100_000  # entries of a task's table of counts
 _TOKEN = re.compile(r"[^\W\d_]+")
 
 
@@ -123,16 +124,23 @@ def training_texts(docs: DataFrame, labels: DataFrame, chosen: Column, key: str
 
 
 def _counted(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents that hold a token, and that hold a stem, per class; summed within a batch before the shuffle."""
+    """Documents that hold a token, and that hold a stem, per class; summed in tables of bounded size before the shuffle."""
+    counts: dict[tuple[bool, str], list[int]] = {}
+
+    def summed() -> pd.DataFrame:
+        return pd.DataFrame([(s, w, a, b) for (s, w), (a, b) in counts.items()], columns=["stem", "word", "clean", "toxic"])
+
     for pdf in rows:
-        counts: dict[tuple[bool, str], list[int]] = {}
         for text, y in zip(pdf["_text"], pdf["_y"]):
+            if len(counts) > _COUNTED:
+                yield summed()
+                counts.clear()
             words = set(_TOKEN.findall(text.lower()))
             for w in words:
                 counts.setdefault((False, w), [0, 0])[y] += 1
             for w in {w[:STEM] for w in words}:
                 counts.setdefault((True, w), [0, 0])[y] += 1
-        yield pd.DataFrame([(s, w, a, b) for (s, w), (a, b) in counts.items()], columns=["stem", "word", "clean", "toxic"])
+    yield summed()
 
 
 def fit_toxicity(train: DataFrame, max_model: int = MAX_MODEL) -> ToxicityModel:
@@ -141,6 +149,11 @@ def fit_toxicity(train: DataFrame, max_model: int = MAX_MODEL) -> ToxicityModel:
     Counts are summed in Spark; the driver gets at most ``max_model`` stems and as many
     tokens, the best supported ones, and one histogram of fixed size per class.
     """
+    with small_batches(train.sparkSession):
+        return _fit_toxicity(train, max_model)
+
+
+def _fit_toxicity(train: DataFrame, max_model: int) -> ToxicityModel:
     classes = {r["_y"]: r["n"] for r in train.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = classes.get(0, 0), classes.get(1, 0)
     share = n1 / (n0 + n1) if n0 + n1 else 0.0
