@@ -168,7 +168,7 @@ def ablation(ledger: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, text: str = "text", policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """The rows of ``docs`` that pass the policy, with all their columns and no others."""
+    """The rows of ``docs`` that pass the policy, with all their columns and no others; null and empty texts fail."""
     return unboxed(apply_policy(_judged(docs, text), policy).where("kept"), docs.columns)
 
 

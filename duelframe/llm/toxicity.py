@@ -274,7 +274,10 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, key: str = "doc_id",
 
 
 def keep_civil(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, with all their columns and no others."""
+    """The rows of ``docs`` that score below ``threshold``, with all their columns and no others.
+
+    Null and empty texts have no evidence against them; each of repeated rows is judged alike.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
