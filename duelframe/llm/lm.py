@@ -79,6 +79,7 @@ class Automaton:
     types: int  # V
     hashes: np.ndarray
     counts: np.ndarray
+    widest: int = 0  # ids from here on are in no n-gram
     start: int = 0
     arcs: dict[int, tuple[float, int]] = field(default_factory=dict)  # state << 20 | token -> (log10 p, next state)
     enter: dict[int, int] = field(default_factory=dict)  # token -> its state
@@ -98,8 +99,10 @@ class Automaton:
     def _reset(self) -> None:
         self._id = {h: i for i, h in enumerate(self.hashes.tolist())}
         self._known: dict[bytes, int] = {}
-        self._uni = np.array([math.log10(unigram(n, self.total, self.types)) for n in self.counts.tolist()]).tolist()
-        self._base = np.array([math.log10(base(n, self.total, self.types)) for n in self.counts.tolist()]).tolist()
+        # The last entry is for id -1, a token outside the head, whose unigram part is added elsewhere.
+        self._uni = [*(math.log10(unigram(n, self.total, self.types)) for n in self.counts.tolist()), 0.0]
+        self._base = [*(math.log10(base(n, self.total, self.types)) for n in self.counts.tolist()), 0.0]
+        self._enter = [self.enter.get(i, 0) for i in range(self.widest)]
         self._to_root = [0.0] * len(self.backoff)  # states are numbered after the ones they fail to
         for s in range(1, len(self.backoff)):
             self._to_root[s] = self.backoff[s] + self._to_root[self.fail[s]]
@@ -119,27 +122,26 @@ class Automaton:
 
     def walk(self, ids: list[int]) -> tuple[float, float]:
         """(score, base score) of a token sequence without the unigram part of tokens outside the head."""
-        arcs, enter, backoff, fail = self.arcs.get, self.enter.get, self.backoff, self.fail
-        uni, base_of, to_root = self._uni, self._base, self._to_root
-        state, score, plain = self.start, 0.0, 0.0
+        arcs, enter, backoff, fail = self.arcs.get, self._enter, self.backoff, self.fail
+        uni, to_root, widest = self._uni, self._to_root, self.widest
+        state, score = self.start, 0.0
         for w in ids:
-            if w < 0:
-                score += to_root[state]
-                state = 0
-                continue
-            plain += base_of[w]
-            while state:
-                arc = arcs(state << _SHIFT | w)
-                if arc is not None:
-                    score += arc[0]
-                    state = arc[1]
-                    break
-                score += backoff[state]
-                state = fail[state]
+            if 0 <= w < widest:
+                while state:
+                    arc = arcs(state << _SHIFT | w)
+                    if arc is not None:
+                        score += arc[0]
+                        state = arc[1]
+                        break
+                    score += backoff[state]
+                    state = fail[state]
+                else:
+                    score += uni[w]
+                    state = enter[w]
             else:
-                score += uni[w]
-                state = enter(w, 0)
-        return score, plain
+                score += to_root[state] + uni[w]
+                state = 0
+        return score, sum(map(self._base.__getitem__, ids))
 
 
 def unigram(n, total: int, types: int):
@@ -187,6 +189,7 @@ def fit_automaton(train: DataFrame, counts: DataFrame, text: str = "text") -> Au
     if not total:
         return model
     widest, wide = (int((model.counts >= total / share).sum()) for share in (IN_BIGRAM, IN_TRIGRAM))
+    model.widest = widest
     sent = train.sparkSession.sparkContext.broadcast(model)
     grams = _gram_counts(train, text, sent, widest, wide).where(F.col("n") >= max(2, math.ceil(total / ARCS))).toPandas()
     _connect(model, grams)
@@ -266,7 +269,7 @@ def lm_scores(docs: DataFrame, model: Automaton, counts: DataFrame, key: str = "
                 words = tokens(t)
                 ids = m.ids(words)
                 score, plain = m.walk(ids)
-                rest = Counter([w for w, i in zip(words, ids) if i < 0])
+                rest = Counter([w for w, i in zip(words, ids) if i < 0] if -1 in ids else ())
                 out.append((row, k, len(ids), len(ids) - rest.total(), plain, score, np.fromiter(map(token_hash, rest), np.int64, len(rest)), np.fromiter(rest.values(), np.int64, len(rest))))
                 row += 1
             yield pd.DataFrame(out, columns=["_row", "_k", "n", "known", "base", "score", "rest", "times"])
