@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from duelframe.layout import c
 from duelframe.llm.components import components
@@ -262,12 +262,17 @@ def _near_duplicates(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of every class of near duplicates, the one with the least key (of equal keys the least text), all columns kept.
+    """One row of every class of near duplicates, all columns kept: the one with the least key, null keys last.
 
-    Rows without a word are classes of their own and stay.
+    Of equal keys the text with the least hash stays, of equal rows one. Classes that share a key keep
+    a row each. Rows without a word are classes of their own and stay.
     """
-    classes = near_duplicates(docs, key, text)
-    first = classes.where(c(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("_first")).distinct()
-    rows = docs.select(boxed(docs), c(key).alias("_k"), whole(text).alias("_text"))
-    stay = rows.join(first, F.col("_k").eqNullSafe(F.col("_first")), "left_semi")
+    t = whole(text)
+    identity = F.xxhash64(c(key).cast("string"), c(key).isNull(), F.sha2(t, 256))
+    rows = docs.select(boxed(docs), identity.alias("_id"), t.alias("_text"))
+    # Rows of equal key and text are of one class, so the least of these names no other class.
+    named = docs.select(F.struct(c(key).isNull().alias("last"), c(key).alias("key"), identity.alias("id")).alias("_name"), t.alias("_text"))
+    first = near_duplicates(named, "_name", "_text").where("_name = class_id").select(F.col("_name.id").alias("_id")).distinct()
+    place = F.row_number().over(Window.partitionBy("_id").orderBy("_id"))
+    stay = rows.join(first, "_id", "left_semi").withColumn("_place", place).where((F.col("_place") == 1) | ~F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
     return unboxed(stay, docs.columns)

@@ -88,6 +88,20 @@ def test_pipeline_stages_on_messy_and_empty_tables(spark, documents, messy, tmp_
         assert last.select("doc_id").distinct().count() == len({i for i, _ in rows})
 
 
+def test_repeated_rows_leave_one_row_that_stays_whole(spark, documents):
+    clean = " ".join(f"clean{i}" for i in range(80))
+    near = clean.replace("clean79", "other")
+    alone = " ".join(f"alone{i}" for i in range(80))
+    third = " ".join(f"third{i}" for i in range(80))
+    # A row twice; another class under the same key; a repeated row of that class under a greater key; a class whose least key is taken.
+    rows = [(1, clean), (1, clean), (2, near), (1, alone), (3, alone), (3, third), (4, third), (None, near), (None, ""), (None, ""), (5, None)]
+    kept = materialised(jaccard.keep_one(documents(rows)))
+    found = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert found == sorted([(1, clean), (1, alone), (3, third), (None, ""), (None, ""), (5, None)], key=str)
+    texts = sorted((r["text"] for r in suffixes.drop_repeats(kept).collect()), key=str)
+    assert texts == sorted([clean, alone, third, "", "", None], key=str)
+
+
 def test_pipeline_chain(spark, documents, tmp_path):
     good = " ".join(f"plain{i % 90} text{i}" for i in range(80))
     near = good.replace("text79", "other")
