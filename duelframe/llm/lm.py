@@ -1,16 +1,18 @@
 """Language-model scoring with a weighted backoff automaton.
 
-Tokens are counted over the whole training corpus in Spark. N-grams of frequent tokens
-become arcs of an automaton whose states are contexts; a state without an arc for a token
-follows its failure arc to the shorter context and pays the backoff weight. One walk from
-left to right carries the state and adds up log-probabilities.
-
-Counts of all tokens grow with the corpus and are never sent anywhere whole. What the
-executors get is bounded by shares of the corpus: tokens with a count of at least
-N / HEAD (at most HEAD of them), and n-grams with a count of at least N / ARCS (at most
-ARCS of each order). A token outside the head leads the automaton back to its root, and
-its unigram probability, which depends on its count alone, is added by a join on the
-token's 64-bit hash.
+N-grams are the arcs of an automaton whose states are contexts; a state without an arc for
+a token follows its failure arc to the shorter context and pays the backoff weight.
+
+``backoff_scores`` keeps every n-gram with a count of at least ``FLOOR``, whatever the size
+of the corpus. No worker sees the automaton whole: buckets of texts get the counts of the
+n-grams that occur in them, and take all positions left to right along the arcs these make,
+one round for each order.
+
+``fit_automaton`` and ``lm_scores`` are the bounded form, for a model that is sent to every
+executor: tokens with a count of at least N / HEAD (at most HEAD of them), and n-grams of
+frequent tokens with a count of at least N / ARCS (at most ARCS of each order). A token
+outside the head leads the automaton back to its root, and its unigram probability, which
+depends on its count alone, is added by a join on the token's 64-bit hash.
 
 Probabilities are smoothed by absolute discounting and sum to one over the V known tokens
 and one unknown token in every state.
@@ -19,6 +21,7 @@ and one unknown token in every state.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -30,14 +33,18 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from duelframe.layout import c
-from duelframe.llm.texts import whole
-from duelframe.session import materialised
+from duelframe.llm.texts import runs, small_batches, whole
+from duelframe.session import discard, materialised
 
 HEAD = 1_000_000
 #: Tokens that may be part of a bigram, of a trigram: count at least N over this.
 IN_BIGRAM, IN_TRIGRAM = 50_000, 10_000
 ARCS = 500_000
 DISCOUNT = 0.6
+#: The scores over all n-grams: least count of an n-gram, the same at every size; bytes of texts in a bucket; tokens
+#: a shard answers for (it holds up to three n-grams of each); rows of cells that a worker is handed at once.
+FLOOR = 2
+BUCKET, SHARD, CELLS = 3 << 20, 1_500_000, 16
 #: Entries of a worker's table of token ids; emptied when full.
 REMEMBERED = 300_000
 #: The end of a text, which is also the context of its first word. No word contains white space.
@@ -304,3 +311,253 @@ def lm_scores(docs: DataFrame, model: Automaton, counts: DataFrame, key: str = "
         both("base", "base2").alias("base_score"),
         both("score", "score2").alias("score"),
     )
+
+
+# --------------------------------------------------------------------------- all n-grams
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def _of_order(x: np.ndarray, order: int) -> np.ndarray:
+    return x & ~np.uint64(3) | np.uint64(order)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Eight-byte values byte by byte, so that leading zeros lie together and compress."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _values(cell: bytes, kind=np.int64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(cell, np.uint8).reshape(8, -1).T).view(kind).reshape(-1)
+
+
+def _rising(keys: np.ndarray) -> bytes:
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _risen(cell: bytes) -> np.ndarray:
+    return np.cumsum(_values(cell, np.uint64), dtype=np.uint64)
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, a place of each, and which of them each value is."""
+    order = np.argsort(values)
+    ordered = values[order]
+    new = np.ones(len(values), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    which = np.empty(len(values), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], which
+
+
+def _cuts(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Where each shard begins in sorted keys, and the end."""
+    return np.searchsorted((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1).astype(np.uint64))
+
+
+_DONE = ("keys", "n", "known", "base", "score")
+
+
+class _Bucket:
+    """The positions of some texts, one for each token, and the distinct n-grams that end there."""
+
+    def __init__(self, body: bytes, trained: list[bool]):
+        lines = [line.split() for line in zlib.decompress(body).split(b"\n")]
+        flat = [END]
+        for line in lines:
+            flat += line
+            flat.append(END)
+        table = {w: token_hash(w) for w in set(flat)}
+        h = _of_order(np.fromiter(map(table.__getitem__, flat), np.int64, len(flat)).view(np.uint64), 1)
+        lengths = np.array([len(line) + 1 for line in lines])
+        self.starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        self.lengths, self.text = lengths, np.repeat(np.arange(len(lengths)), lengths)
+        # The end of a text is also what comes before the next one, so the token before a position is its context.
+        self.one, before = h[1:], h[:-1]
+        self.end = _of_order(np.array([token_hash(END)], np.int64).view(np.uint64), 1)[0]
+        self.two = _of_order(_mixed(before * np.uint64(0x9E3779B97F4A7C15) + self.one), 2)
+        deep = np.ones(len(self.one), bool)
+        deep[self.starts] = False
+        self.deep = np.flatnonzero(deep)  # positions with two tokens before them; position - 1 is of the same text
+        three = _of_order(_mixed(self.two[self.deep - 1] * np.uint64(0xC2B2AE3D27D4EB4F) + self.one[self.deep]), 3)
+        self.before = before
+        self.keys, self.place, which = _distinct(np.concatenate((self.one, self.two, three)))
+        n = len(self.one)
+        self.which = which[:n], which[n : 2 * n], which[2 * n :]
+        weight = np.array(trained, np.float64)[self.text]
+        self.times = np.bincount(which, np.concatenate((weight, weight, weight[self.deep])), len(self.keys)).astype(np.int64)
+
+
+def _in_buckets(rows: DataFrame, kind: str, size: int) -> DataFrame:
+    """Tokens of about ``size`` bytes of texts in a row, with their keys; texts are whole."""
+
+    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bucket = TaskContext.get().partitionId() << _ROW
+        keys, trained, lines, held, n = [], [], [], 0, 0
+
+        def full() -> pd.DataFrame:
+            body = zlib.compress(b"\n".join(lines), 1)
+            return pd.DataFrame({"bucket": [bucket], "keys": [keys], "trained": [trained], "body": [body], "n": [n]})
+
+        for pdf in batches:
+            for k, t, own in zip(pdf["_k"], pdf["_text"], pdf["_train"]):
+                words = tokens(t)
+                keys.append(k)
+                trained.append(bool(own))
+                lines.append(b" ".join(words[:-1]))
+                held += len(lines[-1])
+                n += len(words)
+                if held >= size:
+                    yield full()
+                    bucket += 1
+                    keys, trained, lines, held, n = [], [], [], 0, 0
+        if keys:
+            yield full()
+
+    return materialised(rows.mapInPandas(fill, f"bucket long, keys array<{kind}>, trained array<boolean>, body binary, n long"))
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each bucket the counts of its n-grams in all buckets, twice, plus one in a single bucket for each n-gram."""
+    for g in runs(batches, ["shard"]):
+        keys = [_risen(k) for k in g["x"]]
+        _, place, which = _distinct(np.concatenate(keys))
+        n = np.bincount(which, np.concatenate([_values(t) for t in g["y"]])).astype(np.int64)
+        out = n[which] * 2
+        out[place] += 1
+        ends = np.cumsum([len(k) for k in keys])[:-1]
+        yield pd.DataFrame({"bucket": g["bucket"], "shard": g["shard"], "x": [_planes(cell) for cell in np.split(out, ends)]})
+
+
+def _log10(x: np.ndarray) -> np.ndarray:
+    return np.log10(x, out=np.zeros(len(x)), where=x > 0)
+
+
+def _weighed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Log backoff weights of all contexts of a shard, added up for each text that pays them. Other rows go through."""
+    for g in runs(batches, ["shard"]):
+        if g["shard"][0] < 0:
+            yield pd.DataFrame({n: g[n] for n in ("bucket", "text", *_DONE)} | {"paid": None})
+            continue
+        contexts, _, which = _distinct(np.concatenate([_risen(k) for k in g["x"]]))
+        taken = np.bincount(which, np.concatenate([_values(v, np.float64) for v in g["y"]]), len(contexts))
+        lower = np.bincount(which, np.concatenate([_values(v, np.float64) for v in g["z"]]), len(contexts))
+        weight = np.append(np.log10(np.maximum(1 - taken, 1e-9) / np.maximum(1 - lower, 1e-9)), 0.0)
+        out = []
+        for b, wanted, text in zip(g["bucket"].tolist(), g["wanted"], g["text"]):
+            wanted, text = _risen(wanted), _values(text)
+            if not len(wanted) or not len(contexts):
+                continue
+            at = np.searchsorted(contexts, wanted)
+            at[contexts[np.minimum(at, len(contexts) - 1)] != wanted] = len(contexts)
+            paid, back = np.unique(text, return_inverse=True)
+            out.append((b, _planes(paid), _planes(np.bincount(back, weight[at]))))
+        yield pd.DataFrame(out, columns=["bucket", "text", "paid"]).assign(**dict.fromkeys(_DONE))
+
+
+def backoff_scores(docs: DataFrame, in_train: Column, counts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The columns of ``lm_scores``, with every n-gram that occurs ``FLOOR`` times in the texts where ``in_train`` holds.
+
+    ``counts`` are the stored ``token_counts`` of those texts. Texts lie in buckets and n-grams in
+    shards by hash; both are of a fixed size and grow in number. A bucket asks each shard once for
+    the counts of its distinct n-grams, walks its texts over the arcs it reaches, and hands on the
+    contexts it failed from and its part of their backoff weights; the shards of contexts add up
+    the weights and send each text what it pays. Nulls and empty tables are as in ``lm_scores``.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+    total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    rows = docs.select(c(key).alias("_k"), whole(text).alias("_text"), F.coalesce(in_train, F.lit(False)).alias("_train"))
+    buckets = _in_buckets(rows, kind, BUCKET)
+    n_tokens = buckets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shards = max(1, math.ceil(n_tokens / SHARD))
+    floor = FLOOR
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for b, body, trained in zip(pdf["bucket"], pdf["body"], pdf["trained"]):
+                m = _Bucket(body, trained)
+                cuts = _cuts(m.keys, shards).tolist()
+                out = [(s, b, _rising(m.keys[i:j]), _planes(m.times[i:j])) for s, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
+                yield pd.DataFrame(out, columns=["shard", "bucket", "x", "y"])
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in runs(batches, ["bucket"]):
+            b, own = g["bucket"][0], np.flatnonzero(g["shard"] < 0)[0]
+            m = _Bucket(g["body"][own], g["trained"][own])
+            told = np.concatenate([_values(g["x"][i]) for i in np.argsort(g["shard"]) if g["shard"][i] >= 0])
+            n = (told >> 1).astype(np.float64)
+            n1, n2 = n[m.which[0]], n[m.which[1]]
+            at_end = n[np.searchsorted(m.keys, m.end)]
+            before1 = np.concatenate(([at_end], n1[:-1]))
+            n3, before2 = np.zeros(len(n1)), np.zeros(len(n1))
+            n3[m.deep], before2[m.deep] = n[m.which[2]], n2[m.deep - 1]
+            uni = np.maximum(n1 - DISCOUNT, 0.0) / total + DISCOUNT * types / total / (types + 1) if total else np.ones(len(n1))
+            has2, has3 = n2 >= floor, n3 >= floor
+            p2 = np.divide(n2 - DISCOUNT, before1, out=np.zeros(len(n1)), where=has2)
+            p3 = np.divide(n3 - DISCOUNT, before2, out=np.zeros(len(n1)), where=has3)
+            score = np.add.reduceat(_log10(np.where(has3, p3, np.where(has2, p2, uni))), m.starts)
+            plain = np.add.reduceat(_log10((n1 + 1) / (total + types + 1)), m.starts)
+            known = np.add.reduceat((n1 > 0).astype(np.int64), m.starts)
+            done = {"keys": [g["keys"][own]], "n": [m.lengths.tolist()], "known": [known.tolist()], "base": [plain.tolist()], "score": [score.tolist()]}
+            yield pd.DataFrame({"shard": [-1 - b], "bucket": [b], **dict.fromkeys(["x", "y", "z", "wanted", "text"]), **done})
+            # Failed contexts: of two tokens, then of one. Contexts below the floor have no arcs and cost nothing.
+            fail2 = ~has3 & (before2 >= floor)
+            fail1 = ~has3 & ~has2 & (before1 >= floor)
+            two_before = np.concatenate((m.two[:1], m.two[:-1]))
+            wanted = np.concatenate((two_before[fail2], m.before[fail1]))
+            payer = np.concatenate((m.text[fail2], m.text[fail1])).astype(np.int64)
+            order = np.argsort(wanted, kind="stable")
+            wanted, payer = wanted[order], payer[order]
+            # Arcs that this bucket accounts for, each at one position where it occurs.
+            mine = m.place[(told & 1 == 1) & (n >= floor)]
+            size = len(n1)
+            at2 = mine[(mine >= size) & (mine < 2 * size)] - size
+            at3 = m.deep[mine[mine >= 2 * size] - 2 * size]
+            context, _, back = _distinct(np.concatenate((m.before[at2], two_before[at3])))
+            taken = np.bincount(back, np.concatenate((p2[at2], p3[at3])), len(context))
+            lower = np.bincount(back, np.concatenate((uni[at2], p2[at3])), len(context))
+            ca, cw = _cuts(context, shards).tolist(), _cuts(wanted, shards).tolist()
+            out = [
+                (s, b, _rising(context[i:j]), _planes(taken[i:j]), _planes(lower[i:j]), _rising(wanted[k:l]), _planes(payer[k:l]))
+                for s, (i, j, k, l) in enumerate(zip(ca, ca[1:], cw, cw[1:]))
+                if i < j or k < l
+            ]
+            yield pd.DataFrame(out, columns=["shard", "bucket", "x", "y", "z", "wanted", "text"]).assign(**dict.fromkeys(done))
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in runs(batches, ["bucket"]):
+            own = next(i for i, k in enumerate(g["keys"]) if k is not None)
+            score = np.array(g["score"][own])
+            for t, paid in zip(g["text"], g["paid"]):
+                if t is not None:
+                    score[_values(t)] += _values(paid, np.float64)
+            out = {"_k": list(g["keys"][own]), "n": g["n"][own], "known": g["known"][own], "base": g["base"][own], "score": score}
+            yield pd.DataFrame(out)
+
+    def together(df: DataFrame, name: str) -> DataFrame:
+        return df.repartition(name).sortWithinPartitions(name)
+
+    cells = "keys array<{0}>, n array<long>, known array<long>, base array<double>, score array<double>".format(kind)
+    with small_batches(docs.sparkSession, CELLS):
+        asked = buckets.select("bucket", "body", "trained").mapInPandas(ask, "shard long, bucket long, x binary, y binary")
+        told = together(asked, "shard").mapInPandas(_counted, "bucket long, shard long, x binary")
+        own = buckets.select("bucket", F.lit(-1).cast("long").alias("shard"), "keys", "trained", "body")
+        walked = together(told.unionByName(own, allowMissingColumns=True), "bucket").mapInPandas(
+            walk, f"shard long, bucket long, x binary, y binary, z binary, wanted binary, text binary, {cells}"
+        )
+        # The done part of a bucket has a shard number of its own, below zero.
+        whole_texts = together(together(walked, "shard").mapInPandas(_weighed, f"bucket long, text binary, paid binary, {cells}"), "bucket")
+        found = materialised(whole_texts.mapInPandas(add, f"_k {kind}, n long, known long, base double, score double"))
+    discard(buckets)
+    return found.select(
+        F.col("_k").alias(key),
+        F.col("n").alias("n_tokens"),
+        F.col("known").alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"),
+        F.col("base").alias("base_score"),
+        "score",
+    )

@@ -154,9 +154,9 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    train = docs.where(remainder("doc_id", 7) != 2)
-    counts = materialised(lm.token_counts(train))
-    scored = lm.lm_scores(docs, lm.fit_automaton(train, counts), counts)
+    in_train = remainder("doc_id", 7) != 2
+    counts = materialised(lm.token_counts(docs.where(in_train)))
+    scored = lm.backoff_scores(docs, in_train, counts)
     return scored.withColumn("held_out", remainder("doc_id", 7) == 2)
 
 

@@ -1,6 +1,7 @@
 """Operators compared with plain versions that look at everything."""
 
 import hashlib
+import importlib
 import math
 import random
 import re
@@ -255,6 +256,49 @@ def test_language_model(corpus, monkeypatch):
         assert mass == pytest.approx(1)
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_every_repeated_ngram_counts(spark, corpus, monkeypatch, tmp_path, small):
+    """The query against a model that holds all n-grams, with bounds that leave a bounded automaton without arcs."""
+    docs, rows = corpus
+    for name, value in (("IN_BIGRAM", 5), ("IN_TRIGRAM", 5), ("ARCS", 5)):
+        monkeypatch.setattr(lm, name, value)
+    if small:
+        monkeypatch.setattr(lm, "BUCKET", 2_000)
+        monkeypatch.setattr(lm, "SHARD", 700)
+    rows = [*rows, (None, "a row without a key"), (None, rows[0][1])]
+    docs.sparkSession.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    split = [(i, ["\n", *words_of((t or "").lower()), "\n"], zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2) for i, t in rows]
+    n = Counter()
+    for _, w, own in split:
+        if own:
+            n.update([(x,) for x in w[1:]] + list(zip(w, w[1:])) + list(zip(w, w[1:], w[2:])))
+    total, types = sum(v for g, v in n.items() if len(g) == 1), sum(len(g) == 1 for g in n)
+    after = defaultdict(list)
+    for g, v in n.items():
+        if len(g) > 1 and v >= 2:
+            after[g[:-1]].append(g)
+
+    def p(g):
+        if len(g) == 1:
+            return lm.unigram(n[g], total, types)
+        if n[g] >= 2:
+            return (n[g] - 0.6) / n[g[:-1]]
+        arcs = after[g[:-1]]
+        return (1 - sum(map(p, arcs))) / (1 - sum(p(x[1:]) for x in arcs)) * p(g[1:])
+
+    def fields(i, w):
+        grams = [w[max(0, j - 2) : j + 1] for j in range(1, len(w))]
+        base = sum(math.log10(lm.base(n[(x,)], total, types)) for x in w[1:])
+        return str(i), len(w) - 1, sum(n[(x,)] > 0 for x in w[1:]), total, base, sum(math.log10(p(tuple(g))) for g in grams)
+
+    want = sorted(fields(i, w) for i, w, _ in split)
+    query = importlib.import_module("duelframe.llm.queries").QUERIES["op6_lm_scoring"]
+    found = sorted((str(r[0]), *tuple(r)[1:6]) for r in query(spark, str(tmp_path)).collect())
+    assert [f[:4] for f in found] == [w[:4] for w in want]
+    for f, w in zip(found, want):
+        assert f[4:] == pytest.approx(w[4:])
+
+
 # --------------------------------------------------------------------------- 7 and 10
 
 

@@ -51,6 +51,19 @@ def test_empty_table(documents, name):
     assert OPERATORS[name](documents([])).count() == 0
 
 
+@pytest.mark.parametrize("trained", [True, False])
+def test_all_ngrams_on_messy_and_empty_tables(documents, messy, trained):
+    for rows in (messy, []):
+        docs = documents(rows)
+        counts = materialised(lm.token_counts(docs.where(F.lit(trained))))
+        found = lm.backoff_scores(docs, F.lit(trained), counts)
+        scored = found.collect()
+        assert sorted(str(r["doc_id"]) for r in scored) == sorted(str(i) for i, _ in rows)
+        assert found.columns == lm.lm_scores(docs, lm.fit_automaton(docs, counts), counts).columns
+        assert len({tuple(r) for r in scored if r["doc_id"] == 5}) == min(len(rows), 1)
+        assert all(r["score"] < 0 if trained else r["score"] == 0 for r in scored)
+
+
 def test_packing_of_messy_and_empty_tables(documents, messy):
     path = public_tokenizers.path("byte_bpe_50k.json")
     pieces = packing.pack(documents(messy), path).collect()
