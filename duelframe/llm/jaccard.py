@@ -1,10 +1,10 @@
-"""N-gram Jaccard self-join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard self-join by MinHash banding with exact verification.
 
 1. Shingles of five words are hashed; texts with equal shingle sets form one text class
    and only its representative goes on, so copies are never paired with each other.
 2. A signature of ``TREES`` times ``DEPTH`` minimum hashes is a label in each tree of the
-   forest. Matched prefixes start at full depth and are shortened until the probability
-   that a pair at the threshold shares a prefix in some tree reaches the target recall.
+   forest. All labels are cut to one depth, fixed beforehand by the target recall; at the
+   constants below that is the full depth, so a tree is a band and a node a bucket.
 3. Representatives under one trie node are compared by signature, in blocks, and only a
    spanning forest of the likely pairs leaves the task. Its components are small clusters
    that hold all links.
