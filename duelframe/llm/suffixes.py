@@ -1,7 +1,8 @@
-"""Removal of long repeated byte strings by sparse prefix doubling.
+"""Removal of long repeated byte strings by minimum-hash keys and exact comparison.
 
 A suffix-array pass would rank the suffix at every byte, with one sort of all positions per
-doubling. Here only positions that can still be repeated are ranked:
+doubling. Here Spark groups keys once, and only positions that can still be repeated are
+ranked, inside their texts:
 
 1. Rank at 100 bytes. Ranks of 1, 2, 4, ... bytes are doubled inside a text up to 100 (a
    rank is a 64-bit hash of the bytes, so equal strings of any two texts have equal ranks).
