@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from duelframe.llm import bpe, fim, fingerprint, jaccard, langid, lm, packing, quality, suffixes, toxicity, urlfilter
+from duelframe.llm import bpe, fim, fingerprint, jaccard, langid, lm, packing, quality, suffixes, toxicity, urlfilter, whitening
 from duelframe.llm.texts import SPACE, documents, remainder, table
 from duelframe.session import materialised
 
@@ -204,3 +204,23 @@ FROM f
 @query(FIM_SQL)
 def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.restore(fim.fill_in_middle(documents(spark, sf_dir))).drop("output", "restored")
+
+
+# --------------------------------------------------------------------------- 12: whitening
+
+
+@query()
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    model = whitening.fit_whitening(vectors)
+    explained = F.array(*[F.lit(e) for e in model.explained]).cast("array<double>")
+    rows = whitening.whiten(vectors, model).select("vec_id", "deviation", F.posexplode("whitened").alias("_at", "whitened"))
+    return rows.select(
+        "vec_id",
+        (F.col("_at") + 1).alias("component"),
+        F.lit(model.n).cast("long").alias("n"),
+        F.col("deviation").cast("long").alias("deviation"),
+        "whitened",
+        F.get(explained, F.col("_at")).alias("explained"),
+        F.lit(whitening.identity_error(vectors, model)).alias("identity_error"),
+    )
