@@ -52,11 +52,15 @@ def materialised(df: DataFrame, folder: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that ``shared_folder`` named; nothing may read its files afterwards."""
+    if folder.rstrip("/").rsplit("/", 1)[1].startswith("duelframe-"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of tables that ``materialised`` wrote; nothing may read them afterwards."""
     for df in tables:
-        spark = df.sparkSession
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if folder.rsplit("/", 1)[1].startswith("duelframe-"):
-                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            remove_folder(df.sparkSession, folder)
