@@ -7,9 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from duelframe.llm import bpe, fim, fingerprint, jaccard, langid, lm, packing, quality, suffixes, toxicity, urlfilter, whitening
+from duelframe.llm import bpe, fim, fingerprint, jaccard, langid, lm, packing, quality, suffixes, toxicity, urlfilter, warc, whitening
 from duelframe.llm.texts import SPACE, documents, remainder, table
-from duelframe.session import materialised
+from duelframe.session import materialised, remove_folder, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -224,3 +224,27 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get(explained, F.col("_at")).alias("explained"),
         F.lit(whitening.identity_error(vectors, model)).alias("identity_error"),
     )
+
+
+# --------------------------------------------------------------------------- 13: web archives
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+r AS (SELECT *, payload_bytes >= 100 AND row_number() OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST) > 1 AS again,
+        min(page_id) OVER (PARTITION BY payload_digest) AS least FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN least END AS refers_to FROM r
+"""
+
+
+@query(WARC_SQL)
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arcs, warcs = shared_folder(spark), shared_folder(spark)
+    warc.write_arc(table(spark, sf_dir, "pages"), arcs)
+    warc.arc_to_warc(spark, arcs, warcs)
+    records = warc.read_warc(spark, warcs).where("record_type IN ('response', 'revisit')")
+    found = materialised(
+        records.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to_key").alias("refers_to"))
+    )
+    remove_folder(spark, arcs)
+    remove_folder(spark, warcs)
+    return found
