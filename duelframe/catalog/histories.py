@@ -122,6 +122,31 @@ def momentum_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(H.momentum_features(df, LAYOUT, hot_rows=_SLICE))
 
 
+#: A year's bouts are of one time and ordered by text keys that start alike.
+_CROWDED_SQL = (
+    "crowded AS (SELECT * REPLACE (date_trunc('year', bout_date) AS bout_date, 'bout-' || lpad(CAST(bout_id AS VARCHAR), 16, '0') AS bout_id) FROM drawn)"
+)
+_CROWDED = (BOUTS_SQL, DRAWN_SQL, _CROWDED_SQL, long_sql("crowded"))
+
+
+def _crowded(df: DataFrame) -> DataFrame:
+    key = F.concat(F.lit("bout-"), F.lpad(F.col("bout_id").cast("string"), 16, "0"))
+    return df.withColumns({"bout_date": F.date_trunc("year", "bout_date"), "bout_id": key})
+
+
+@query(
+    with_sql(
+        paired_sql("(SELECT * FROM mom JOIN ewm USING (key, side))", [*MOMENTUM, "qty_ewm10"], False, raw=("win_streak",)),
+        *_CROWDED, MOMENTUM_SQL, ewma_sql("h", ["qty"]),
+    )
+)
+def crowded_text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _sided(_crowded(drawn(bouts(spark, sf_dir))))
+    momentum = H.momentum_features(df, LAYOUT, hot_rows=_SLICE).drop("win_streak_diff", "last3_win_rate_diff")
+    form = H.form_features(df, LAYOUT, ["qty"], window=None, diffs=False, hot_rows=_SLICE)
+    return rounded(momentum.join(form, "bout_id"))
+
+
 _TIMED_FORM = [f"{s}_{k}" for s in ("qty", "disc") for k in ("roll5", "ewm10")]
 
 

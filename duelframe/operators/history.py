@@ -5,7 +5,7 @@ windows over that frame after one shuffle by ``(entity, _slice)``.
 
 A competitor with more than ``hot_rows`` bouts would put that whole history into
 one task. Such histories are cut into slices in the order of the windows: at
-quantiles of the full timestamp, and rows of one timestamp at quantiles of the key.
+quantiles of the full timestamp, and rows of one timestamp at sampled keys.
 A slice holds about ``hot_rows`` rows and is a window group of its own; what a slice must know about the past (the
 streak it starts with, the last few rows, the decayed average) is computed from
 one summary row per slice and handed in. Slicing changes the physical layout, not
@@ -16,11 +16,11 @@ competitor name form a slice each, so a flood of unnamed rows is no hot key.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import DataType, NumericType, TimestampNTZType
+from pyspark.sql.types import DataType, TimestampNTZType
 from pyspark.sql.window import WindowSpec
 
 from duelframe.layout import DEFAULT, Layout, c
@@ -36,7 +36,8 @@ EWMA_SPAN = 10
 HOT_ROWS = 1_000_000
 _PARTS = 1 << 31  # more than the slices that rows of one time may have
 _MAX_LOG = 300.0  # log decay after which an older value has no weight left in a double
-_BLOCK_LOG = 200.0  # log decay spanned by one numeric block of a long history
+_BLOCK_LOG = 200.0  # most log decay within one block of a long history
+_SAMPLED = 64  # keys looked at for every slice of rows that share a time
 _NO_TIME = 2**62  # microseconds; later than any date
 
 _ORDER = ("date", "key", "side")
@@ -118,9 +119,8 @@ def slice_histories(long: DataFrame, hot_rows: int = HOT_ROWS) -> History:
     part = 2 * below + tie.cast("long")
     placed = long.join(cuts, "entity", "left").withColumns({"_hot": F.col("_times").isNotNull(), "_part": part, "_tie": tie})
     crowds = _key_cuts(placed.filter("_tie"), hot_rows)
-    within, equal = _between(_key_number(long.schema["key"].dataType), F.col("_keys"))
     placed = placed.join(crowds, ["entity", "_part"], "left")
-    inside = F.when(F.col("_keys").isNotNull(), 2 * within + equal.cast("long")).otherwise(0)
+    inside = F.when(F.col("_keys").isNotNull(), _below(F.col("key"), F.col("_keys"))).otherwise(0)
     slice_ = F.coalesce(unnamed, F.when(F.col("_hot"), F.col("_part") * _PARTS + inside), F.lit(0).cast("long"))
     return History(materialised(placed.select(*long.columns, slice_.alias("_slice"), "_hot")), largest, True)
 
@@ -136,14 +136,6 @@ def _micros(kind: DataType) -> Column:
     return F.coalesce(number, F.lit(_NO_TIME))
 
 
-def _key_number(kind: DataType) -> Column:
-    """The key as a number that never reverses its order: numbers as they are, others by their first seven bytes."""
-    if isinstance(kind, NumericType):
-        return F.col("key").cast("double")
-    start = F.rpad(F.hex(F.substring(F.col("key").cast("string").cast("binary"), 1, 7)), 14, "0")
-    return F.conv(start, 16, 10).cast("long").cast("double")
-
-
 def _quantiles(value: Column, parts: int) -> Column:
     at = F.array(*[F.lit(i / parts) for i in range(1, parts)]) if parts > 1 else F.array(F.lit(0.5))
     return F.array_distinct(F.percentile_approx(value, at, max(10_000, 20 * parts)))
@@ -156,19 +148,28 @@ def _time_cuts(hot: DataFrame, largest: int, hot_rows: int) -> DataFrame:
 
 
 def _key_cuts(ties: DataFrame, hot_rows: int) -> DataFrame:
-    """Rows that share a cut time are cut by their keys, where they are too many for one slice."""
+    """Rows that share a cut time are cut at ascending keys, where they are too many for one slice.
+
+    The keys are sampled by their hash, about ``_SAMPLED`` in ``hot_rows``, and every so many of them, in
+    their own order and type, is a cut: three quarters of ``hot_rows`` lie between two cuts.
+    """
     crowds = ties.groupBy("entity", "_part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_rows)
-    most = crowds.agg(F.max("n")).first()[0] or 1
-    number = _key_number(ties.schema["key"].dataType)
-    members = ties.join(crowds.drop("n"), ["entity", "_part"], "left_semi")
-    return members.groupBy("entity", "_part").agg(_quantiles(number, 2 * math.ceil(most / hot_rows)).alias("_keys"))
+    rarity = max(hot_rows // _SAMPLED, 1)
+    apart = max(int(0.75 * hot_rows / rarity), 1)
+    sampled = ties.filter(F.pmod(F.xxhash64("key"), F.lit(rarity)) == 0).join(crowds, ["entity", "_part"], "left_semi")
+    ranked = sampled.select("entity", "_part", "key").distinct()
+    ranked = ranked.withColumn("_rank", F.row_number().over(Window.partitionBy("entity", "_part").orderBy("key")))
+    cuts = ranked.filter(F.col("_rank") % apart == 0)
+    return cuts.groupBy("entity", "_part").agg(F.sort_array(F.collect_list("key")).alias("_keys"))
+
+
+def _below(value: Column, cuts: Column) -> Column:
+    return F.size(F.filter(cuts, lambda x: x < value)).cast("long")
 
 
 def _between(value: Column, cuts: Column) -> tuple[Column, Column]:
-    """Place of a value among ascending cuts, and whether it is one of them: 2 * (cuts below) + (1 if equal)."""
-    below = F.size(F.filter(cuts, lambda x: x < value)).cast("long")
-    equal = F.coalesce(F.array_contains(cuts, value), F.lit(False))
-    return below, equal
+    """Place of a value among ascending cuts: how many are below it, and whether it is one of them."""
+    return _below(value, cuts), F.coalesce(F.array_contains(cuts, value), F.lit(False))
 
 
 def _per_heat(h: History, step: Callable[[History], History]) -> History:
@@ -297,8 +298,9 @@ def add_ewma(h: History, stats: Sequence[str], span: int = EWMA_SPAN, scope: str
     weight keeps decaying by position. With ``g`` the gap to the previous value,
     an average ``y`` and a new value ``x`` give ``y + (1 - exp(-l)) * (x - y)``
     where ``l = log(1 + alpha * exp(rate * g))``, so a history is a running sum of
-    ``x`` weighted by the exponential of the summed ``l``: running windows, summed
-    in blocks of the logarithm so that weights stay inside a double.
+    ``x`` weighted by the exponential of the summed ``l``. As ``l`` is at most
+    ``rate * g``, blocks of a fixed number of rows, the same for all stats, keep the
+    weights inside a double; one order of the rows serves all stats and blocks.
     """
     by = _group(scope)
     return _per_heat(h, lambda part: _ewma(part, stats, span, by))
@@ -308,6 +310,8 @@ def _ewma(h: History, stats: Sequence[str], span: int, by: list[str]) -> History
     w = _in_slice(by)
     alpha = 2.0 / (span + 1.0)
     rate = min(-math.log1p(-alpha), _MAX_LOG) if alpha < 1 else _MAX_LOG
+    size = max(int(_BLOCK_LOG / rate), 1)
+    blocks = math.ceil(h.largest / size)
 
     def step(gap: Column) -> Column:
         return F.when(gap.isNotNull(), F.log1p(alpha * F.exp(F.least(rate * gap, F.lit(_MAX_LOG)))))
@@ -315,61 +319,73 @@ def _ewma(h: History, stats: Sequence[str], span: int, by: list[str]) -> History
     def t(kind: str, i: int) -> str:
         return f"_{kind}{i}"
 
+    def at(kind: str, i: int) -> Column:
+        return F.col(t(kind, i))
+
     numbered = list(enumerate(stats))
     df = h.frame.withColumn("_pos", F.row_number().over(w))
     df = df.withColumns(
         {t("seen", i): F.max(F.when(c(s).isNotNull(), F.col("_pos"))).over(_before(w)) for i, s in numbered}
     )
     df = df.withColumns(
-        {
-            t("step", i): F.when(
-                c(s).isNotNull(), F.coalesce(step(F.col("_pos") - F.col(t("seen", i))), F.lit(0.0))
-            )
-            for i, s in numbered
-        }
+        {t("step", i): F.when(c(s).isNotNull(), F.coalesce(step(F.col("_pos") - at("seen", i)), F.lit(0.0))) for i, s in numbered}
     )
-    df = df.withColumns({t("log", i): F.sum(t("step", i)).over(_upto(w)) for i, _ in numbered})
-
-    def gain(i: int) -> Column:
-        return F.when(F.col(t("seen", i)).isNull(), F.lit(1.0)).otherwise(-F.expm1(-F.col(t("step", i))))
-
-    df = _blocked_averages(df, by, {i: gain(i) * c(s) for i, s in numbered}, t)
-    df = df.withColumns(
-        {f"{s}_ewm{span}": F.lag(t("y", i)).over(w) for i, s in numbered}
-    )
-    if h.hot:
-        df = _carry_averages(df, by, w, stats, span, step, rate, t)
+    inside = ordered = w
+    if blocks > 1:
+        df = df.withColumn("_block", F.floor((F.col("_pos") - 1) / size))
+        inside = Window.partitionBy(*by, "_slice", "_block").orderBy("_pos")
+        ordered = Window.partitionBy(*by, "_slice").orderBy("_block", "_pos")
+
+    def earlier(column: Column) -> Column:
+        return F.coalesce(F.sum(column).over(_before(inside)), F.lit(0.0))
+
+    # Log decay and weighted sum of the earlier rows of the block.
+    df = df.withColumns({t("log", i): earlier(at("step", i)) for i, _ in numbered})
+    gain = {i: F.when(at("seen", i).isNull(), F.lit(1.0)).otherwise(-F.expm1(-at("step", i))) for i, _ in numbered}
+    weighted = {i: gain[i] * c(s).cast("double") * F.exp(at("log", i) + at("step", i)) for i, s in numbered}
+    df = df.withColumns({t("sum", i): earlier(weighted[i]) for i, _ in numbered})
+    logs = {i: at("log", i) + F.coalesce(at("step", i), F.lit(0.0)) for i, _ in numbered}
+    sums = {i: at("sum", i) + F.coalesce(weighted[i], F.lit(0.0)) for i, _ in numbered}
+    if blocks > 1:
+        # Last rows of blocks that hold a value: average of the block, and what is left of the average before it.
+        def closing(i: int, s: str) -> Column:
+            filled = c(s).isNotNull() | (at("seen", i) > F.col("_block") * size)
+            ended = F.struct((sums[i] * F.exp(-logs[i])).alias("own"), F.exp(-logs[i]).alias("left"))
+            return F.when((F.col("_pos") % size == 0) & filled, ended)
+
+        df = df.withColumns({t("end", i): closing(i, s) for i, s in numbered})
+        depth = min(_blocks_back(alpha, rate, size), blocks - 1)
+        df = df.withColumns({t("handed", i): _handed(t("end", i), depth, ordered) for i, _ in numbered})
+        sums = {i: total + at("handed", i) for i, total in sums.items()}
+    before = {i: at("sum", i) + (at("handed", i) if blocks > 1 else F.lit(0.0)) for i, _ in numbered}
+    out = {f"{s}_ewm{span}": F.when(at("seen", i).isNotNull(), before[i] * F.exp(-at("log", i))) for i, s in numbered}
+    if not h.hot:
+        return replace(h, frame=df.withColumns(out).select(*h.frame.columns, *out))
+    out |= {t("y", i): sums[i] * F.exp(-logs[i]) for i, _ in numbered}
+    df = df.withColumns(out).withColumns({t("log", i): F.sum(at("step", i)).over(_upto(w)) for i, _ in numbered})
+    df = _carry_averages(df, by, w, stats, span, step, rate, t)
     return replace(h, frame=df.select(*h.frame.columns, *[f"{s}_ewm{span}" for s in stats]))
 
 
-def _blocked_averages(df: DataFrame, by: Sequence[str], gains: Mapping[int, Column], t) -> DataFrame:
-    """Weighted sums per block of summed log decay, so that weights stay inside a double.
+def _blocks_back(alpha: float, rate: float, size: int) -> int:
+    """Blocks with values after which what came before them has no weight left in a double.
 
-    A value is weighted relative to its own block and the previous block's final
-    sum is handed on; anything older has decayed below double precision.
+    Between two values ``g`` rows apart the log decays by log1p(alpha * exp(rate * g)). The least
+    decay per row over all gaps bounds the decay of a block that lies between two others from below.
     """
-    for i, gained in gains.items():
-        blk = t("blk", i)
-        df = df.withColumn(blk, F.floor(F.col(t("log", i)) / _BLOCK_LOG))
-        inside = Window.partitionBy(*by, "_slice", blk).orderBy("_pos")
-        weight = F.exp(F.col(t("log", i)) - F.col(blk) * _BLOCK_LOG)
-        df = df.withColumn(t("sum", i), F.sum(gained * weight).over(_upto(inside)))
-    ordered = Window.partitionBy(*by, "_slice").orderBy("_pos")
-    before = {t(f"last{kind}", i): F.lag(t(kind, i)).over(ordered) for i in gains for kind in ("blk", "sum")}
-    df = df.withColumns(before)
-
-    def handed(i: int) -> Column:
-        blk, prior = F.col(t("blk", i)), F.col(t("lastblk", i))
-        adjacent = F.when(blk == prior + 1, F.col(t("lastsum", i)) * math.exp(-_BLOCK_LOG)).otherwise(0.0)
-        return F.last(F.when(blk != prior, adjacent), ignorenulls=True).over(_upto(ordered))
-
-    df = df.withColumns({t("handed", i): handed(i) for i in gains})
-    averages = {
-        t("y", i): (F.col(t("sum", i)) + F.coalesce(t("handed", i), F.lit(0.0)))
-        * F.exp(F.col(t("blk", i)) * _BLOCK_LOG - F.col(t("log", i)))
-        for i in gains
-    }
-    return df.withColumns(averages)
+    gaps = {max(1, round(1.02**k)) for k in range(math.ceil(math.log(40.0 / rate + 2) / math.log(1.02)) + 1)}
+    least = 0.95 * min(math.log1p(alpha * math.exp(min(rate * g, _MAX_LOG))) / g for g in gaps)
+    return 1 + math.ceil(37.0 / (least * size))
+
+
+def _handed(end: str, depth: int, ordered: WindowSpec) -> Column:
+    """Average at the end of the last earlier block that has one, composed from ``depth`` block averages."""
+    total, left = F.lit(0.0), F.lit(1.0)
+    for k in range(1, depth + 1):
+        block = F.expr(f"lag({end}, {k}) IGNORE NULLS").over(ordered)
+        total += F.coalesce(left * block["own"], F.lit(0.0))
+        left = left * block["left"]
+    return total
 
 
 def _carry_averages(df, by, w, stats, span, step, rate, t) -> DataFrame:
