@@ -317,6 +317,13 @@ def unparsed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.unparsed_dates(_odd_dates(spark, sf_dir), "bout_date")
 
 
+def _repeating(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines whose part and supplier are missing now and then."""
+    return table(spark, sf_dir, "lineitem").withColumns(
+        {n: F.when(F.col(n) % k > 0, F.col(n)) for n, k in (("l_partkey", 10), ("l_suppkey", 3))}
+    )
+
+
 @query(
     "SELECT count(*) AS n_rows, count(*) AS n_keys, (SELECT sum(n) FROM (SELECT count(*) AS n FROM lineitem"
     " GROUP BY CASE WHEN l_partkey % 10 > 0 THEN l_partkey END, CASE WHEN l_suppkey % 3 > 0 THEN l_suppkey END, l_shipdate"
@@ -324,16 +331,28 @@ def unparsed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bout_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of lines whose identifying columns are partly null and repeat."""
-    df = table(spark, sf_dir, "lineitem").withColumns(
-        {n: F.when(F.col(n) % k > 0, F.col(n)) for n, k in (("l_partkey", 10), ("l_suppkey", 3))}
-    )
-    keyed = C.with_bout_key(df, LAYOUT, ["l_partkey", "l_suppkey", "l_shipdate"])
+    keyed = C.with_bout_key(_repeating(spark, sf_dir), LAYOUT, ["l_partkey", "l_suppkey", "l_shipdate"])
     key = F.col(LAYOUT.key)
     return keyed.agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct(key).alias("n_keys"), F.count_if(key.contains("-")).alias("n_numbered")
     )
 
 
+@query(
+    "WITH l AS (SELECT *, CASE WHEN l_partkey % 10 > 0 THEN l_partkey END AS p, CASE WHEN l_suppkey % 3 > 0 THEN l_suppkey END AS s FROM lineitem),"
+    " t AS (SELECT count(*) OVER (PARTITION BY p, s, l_shipdate) AS n FROM l)"
+    " SELECT count(*) AS n_rows, count(*) AS n_same, count(*) FILTER (WHERE n > 1) AS n_numbered FROM t"
+)
+def bout_keys_repartitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with repeated bouts, keyed under two partitionings: ``n_same`` of them get the same key both times."""
+    keyed = [C.with_bout_key(df, LAYOUT, ["l_partkey", "l_suppkey", "l_shipdate"]) for df in (_repeating(spark, sf_dir), _repeating(spark, sf_dir).repartition(5))]
+    rows = [k.select(F.col(LAYOUT.key).alias("key"), F.md5(F.to_json(F.struct("*"))).alias("line")) for k in keyed]
+    both = rows[0].join(rows[1].withColumnRenamed("line", "again"), "key", "full")
+    return both.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("line") == F.col("again")).alias("n_same"), F.count_if(F.col("key").contains("-")).alias("n_numbered")
+    )
+
+
 @query(
     "SELECT s_suppkey AS id, CASE s_suppkey % 2 WHEN 0 THEN concat(s_suppkey, 'D') ELSE concat(s_suppkey, 'f') END AS code,"
     " s_acctbal AS balance FROM supplier"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DataType, DateType, DoubleType, FloatType, StructType, TimestampNTZType, TimestampType
 
 from duelframe.layout import DEFAULT, Layout, c
@@ -23,6 +23,8 @@ SCORE_TIME_DEFAULTS: dict[str, object] = {
 }
 # Formats tried, in this order, for dates that are not ISO.
 DATE_FORMATS = ("M/d/yyyy", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "yyyy/M/d", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss")
+# Hashes of repeated bouts (40 bytes each) that may be sent to every task.
+BROADCAST_ROWS = 1_000_000
 IMPORTANT_COLUMNS = ("Finish", "FinishRound", "TotalFightTimeSecs", "EmptyArena")
 
 
@@ -128,17 +130,42 @@ def unparsed_dates(df: DataFrame, date: str = DEFAULT.date, formats: Iterable[st
     return df.agg(F.count(c(date)).alias("n_dates"), F.count_if(c(date).isNotNull() & parsed.isNull()).alias("n_unparsed"))
 
 
-def with_bout_key(df: DataFrame, layout: Layout = DEFAULT, columns: Iterable[str] | None = None) -> DataFrame:
-    """Add a text key: 128-bit hash of the columns that identify a bout, and for repeated bouts the row's place.
+def with_bout_key(
+    df: DataFrame, layout: Layout = DEFAULT, columns: Iterable[str] | None = None, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Add a text key: 128-bit hash of the columns that identify a bout.
 
+    Where several rows share it, a hash of the whole row follows and the place among rows
+    equal in every column, so a row has the same key however the table is partitioned.
     Nulls are marked and lengths written, so no two different bouts share a text before
-    hashing. The table is stored once, which fixes the places of repeated rows.
+    hashing. The hashes are shuffled, and rows whose hash repeats; the others stay where they
+    are unless more than ``broadcast_rows`` hashes repeat. ``df`` is read three times.
     """
     names = list(columns or (layout.date, layout.red_entity, layout.blue_entity))
+    kept = [n for n in df.columns if n != layout.key]
     marked = [F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("-")) for x in (c(n).cast("string") for n in names)]
-    coded = df.withColumns({"_code": F.md5(F.concat_ws(",", *marked)), "_place": F.monotonically_increasing_id()})
-    stored = materialised(coded)
-    repeated = stored.groupBy("_code").count().filter("count > 1").select("_code", F.lit(True).alias("_again"))
-    place = F.concat(F.col("_code"), F.lit("-"), F.lpad(F.col("_place").cast("string"), 19, "0"))
-    key = F.when(F.col("_again"), place).otherwise(F.col("_code"))
-    return stored.join(repeated, "_code", "left").select(*[c(n) for n in df.columns if n != layout.key], key.alias(layout.key))
+    coded = df.select(F.md5(F.concat_ws(",", *marked)).alias("_code"), F.struct(*[c(n) for n in kept]).alias("_row"))
+    shared = materialised(coded.groupBy("_code").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_code"))
+    few = shared.count() <= broadcast_rows
+    listed = F.broadcast(shared) if few else shared
+    single = coded.join(listed, "_code", "left_anti").select("_row", F.col("_code").alias("_key"))
+    repeats = coded.join(listed, "_code", "left_semi")
+    repeats = repeats.withColumn("_same", F.md5(F.to_json("_row", {"ignoreNullFields": "false"})))
+    keyed = single.unionByName(_numbered(repeats.select("_row", F.concat_ws("-", "_code", "_same").alias("_key"))))
+    return keyed.select(*[F.col("_row").getField(n).alias(n) for n in kept], F.col("_key").alias(layout.key))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``_key`` followed by the place among rows of that key, which are equal in every column.
+
+    The rows are stored with the task that wrote them. Each task's rows of a key are numbered apart
+    and start where those of earlier tasks end, so that no key is put in order by one task.
+    """
+    stored = materialised(rows.withColumns({"_task": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}))
+    counts = stored.groupBy("_key", "_task").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy("_key").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy("_key", "_task").orderBy("_place"))
+    number = (F.col("_start") + F.col("_own") - 1).cast("string")
+    placed = stored.withColumn("_own", own).join(starts, ["_key", "_task"])
+    return placed.select("_row", F.concat_ws("-", "_key", F.lpad(number, 19, "0")).alias("_key"))

@@ -64,8 +64,30 @@ def test_upcoming_bouts_keep_all_rows(spark):
 
 def test_bout_key_is_stable(spark):
     df = spark.createDataFrame([("2020-01-01", "A", "B"), ("2020-01-01", "C", "B")], "Date string, RedFighter string, BlueFighter string")
-    a, b = [r["bout_id"] for r in C.with_bout_key(df).collect()], [r["bout_id"] for r in C.with_bout_key(df).collect()]
-    assert a == b and len(set(a)) == 2
+    first, again = ({r["RedFighter"]: r["bout_id"] for r in C.with_bout_key(df).collect()} for _ in range(2))
+    assert first == again and len(set(first.values())) == 2
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 100])
+def test_keys_of_repeats_do_not_follow_the_partitioning(spark, broadcast_rows):
+    rows = [("2020-01-01", "A", "B", i % 3, None if i % 2 else "x") for i in range(40)] + [(f"2020-02-{i:02d}", "A", "B", 0, None) for i in range(1, 9)]
+    df = spark.createDataFrame(rows, "Date string, RedFighter string, BlueFighter string, n int, note string")
+    found = []
+    for parts in (1, 3, 7):
+        keyed = C.with_bout_key(df.repartition(parts), broadcast_rows=broadcast_rows)
+        assert keyed.columns == [*df.columns, "bout_id"]
+        found.append(sorted(map(str, keyed.collect())))
+    assert found[0] == found[1] == found[2]
+    keys = {(r["n"], r["note"]): r["bout_id"] for r in keyed.where("Date = '2020-01-01'").collect()}
+    assert len({r["bout_id"] for r in keyed.collect()}) == 48 and len({k.rsplit("-", 1)[0] for k in keys.values()}) == 6
+    once = {r["Date"]: r["bout_id"] for r in keyed.where("Date > '2020-01-01'").collect()}
+    alone = {r["Date"]: r["bout_id"] for r in C.with_bout_key(df.where("Date > '2020-01-01'").withColumn("n", F.lit(5))).collect()}
+    assert once == alone, "the key of a bout that occurs once does not depend on its other columns"
+
+
+def test_bout_keys_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "Date string, RedFighter string, BlueFighter string, bout_id string")
+    assert C.with_bout_key(df).collect() == []
 
 
 def test_bout_keys_keep_nulls_and_repeats_apart(spark):
