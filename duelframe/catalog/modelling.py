@@ -211,6 +211,28 @@ def cardinality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.category_sizes(table(spark, sf_dir, "documents"), ["lang", "source", "text"])
 
 
+_LINE = "concat('line-', CAST(bout_id AS VARCHAR))"
+
+
+@query(
+    with_sql(
+        f"SELECT bout_id, concat_ws(',', CAST(g.slot AS VARCHAR), CAST(l.slot AS VARCHAR)) AS slots, (SELECT count(*) FROM vocab)::INTEGER AS width"
+        f" FROM bouts LEFT JOIN vocab g ON g.column_name = 'grp' AND g.value = grp LEFT JOIN vocab l ON l.column_name = 'line' AND l.value = {_LINE}",
+        BOUTS_SQL,
+        f"seen AS (SELECT * FROM bouts WHERE bout_date < TIMESTAMP '{UPCOMING_FROM}')",
+        "vocab AS (SELECT column_name, value, row_number() OVER (ORDER BY column_name, value) - 1 AS slot FROM"
+        f" (SELECT 'grp' AS column_name, grp AS value FROM seen UNION SELECT 'line', {_LINE} FROM seen))",
+    )
+)
+def one_hot_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text column with a value of its own in every row, fitted on earlier bouts: later ones have no slot for theirs."""
+    line = F.concat(F.lit("line-"), F.col("bout_id").cast("string"))
+    df = materialised(bouts(spark, sf_dir).select("bout_id", "bout_date", "grp", line.alias("line"), F.lit(1).alias("target")))
+    prep = T.fit_preprocessor(past(df), exclude=["bout_id"], max_categories=None)
+    vector = F.unwrap_udt("features")
+    return prep.transform(df).select("bout_id", F.concat_ws(",", F.transform(vector["indices"], lambda i: i.cast("string"))).alias("slots"), vector["size"].alias("width"))
+
+
 _FEATURES = ("red_disc", "blue_tax", "red_qty")
 
 

@@ -19,6 +19,7 @@ from pyspark.sql.types import StructType
 
 from duelframe.layout import c, numeric_columns, quoted, string_columns
 from duelframe.operators.clean import align_schema, check_width
+from duelframe.operators.dictionary import DictionaryPreprocessor, fit_dictionary
 from duelframe.operators.drift import category_counts
 
 # Fixed value: a text column with more distinct values than this is left out.
@@ -197,14 +198,13 @@ def category_sizes(df: DataFrame, columns: Sequence[str], limit: int = MAX_CATEG
     return sizes.withColumn("kept", F.col("n_distinct") <= limit)
 
 
-def vocabularies(df: DataFrame, columns: Sequence[str], limit: int | None = None) -> dict[str, list[str]]:
-    """Sorted distinct values per text column, which become part of the model; refused above ``limit`` in total, if given."""
+def vocabularies(df: DataFrame, columns: Sequence[str], limit: int) -> dict[str, list[str]]:
+    """Sorted distinct values per text column; refused above ``limit`` in total. ``dictionary.slots`` has no limit."""
     if not columns:
         return {}
-    values = category_counts(df, columns).select("column_name", "value")
-    rows = values.collect() if limit is None else values.limit(limit + 1).collect()
-    if limit is not None and len(rows) > limit:
-        raise ValueError(f"more than {limit} categories; set max_categories to leave wide columns out")
+    rows = category_counts(df, columns).select("column_name", "value").limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} categories; use dictionary.slots")
     out: dict[str, list[str]] = {n: [] for n in columns}
     for r in rows:
         out[r["column_name"]].append(r["value"])
@@ -270,6 +270,9 @@ class Preprocessor:
     def check(self, num_features: int) -> None:
         check_width(len(self.names), num_features)
 
+    def discard(self) -> None:
+        """Nothing is stored outside the driver."""
+
     def save(self, path: str, spark: SparkSession) -> None:
         self.model.write().overwrite().save(f"{path}/stages")
         meta = [(self.schema.json(), self.names, self.dropped)]
@@ -278,8 +281,11 @@ class Preprocessor:
         ).parquet(f"{path}/meta")
 
     @staticmethod
-    def load(path: str, spark: SparkSession) -> Preprocessor:
+    def load(path: str, spark: SparkSession) -> Preprocessor | DictionaryPreprocessor:
+        """What ``save`` of either preprocessor wrote."""
         row = spark.read.parquet(f"{path}/meta").first()
+        if "fitted" in row:
+            return DictionaryPreprocessor.load(path, spark)
         schema = StructType.fromJson(json.loads(row["schema"]))
         return Preprocessor(PipelineModel.load(f"{path}/stages"), schema, list(row["names"]), list(row["dropped"]))
 
@@ -290,12 +296,12 @@ def fit_preprocessor(
     exclude: Sequence[str] = ("Winner",),
     max_categories: int | None = MAX_CATEGORIES,
     center: bool = True,
-) -> Preprocessor:
+) -> Preprocessor | DictionaryPreprocessor:
     """Median and scale for numeric columns, most frequent and one-hot for text columns.
 
     Everything else (booleans, dates, ``exclude``) is left out of the features.
-    Unknown categories encode as all zeros. ``max_categories=None`` keeps wide
-    text columns; ``center=False`` only divides.
+    Unknown categories encode as all zeros. ``max_categories=None`` keeps text columns
+    of any number of values, whose vocabulary then stays a table; ``center=False`` only divides.
     """
     if label not in df.columns:
         raise KeyError(f"no label column {label!r}")
@@ -304,10 +310,16 @@ def fit_preprocessor(
     text = sorted(n for n in string_columns(df) if n not in skip)
     spread = moments(df, numeric)
     medians = exact_medians(df, numeric, sizes={n: m.values for n, m in spread.items()})
-    narrow = text
-    if text and max_categories is not None:
-        narrow = [r["column_name"] for r in category_sizes(df, text, max_categories).filter("kept").collect()]
-    # One pass over the columns that stay gives their vocabularies, which become part of the model, and their modes.
+    if text and max_categories is None:
+        table, modes, sizes = fit_dictionary(df, text)
+        kept = [n for n in numeric if medians[n] is not None]
+        numbers = {n: (medians[n], *spread[n].scaling(center, fill=medians[n])) for n in kept}
+        dropped = [n for n in [*numeric, *text] if n not in numbers and n not in modes]
+        rows = spread[kept[0]].rows if kept else df.count()
+        schema = StructType([df.schema[n] for n in [*numbers, *modes]])
+        return DictionaryPreprocessor(numbers, modes, sizes, rows, schema, dropped, table)
+    narrow = [r["column_name"] for r in category_sizes(df, text, max_categories).filter("kept").collect()] if text else []
+    # One pass over the columns that stay gives their modes and vocabularies, of bounded size, which become part of the model.
     counted: dict[str, dict[str, int]] = {}
     for r in category_counts(df, narrow).collect() if narrow else []:
         counted.setdefault(r["column_name"], {})[r["value"]] = r["n"]
@@ -330,15 +342,15 @@ def fit_preprocessor(
         f"(coalesce(CAST({quoted(n)} AS DOUBLE), {literal(medians[n])}) - {literal(scales[n][0])})"
         f" / {literal(scales[n][1])} AS {out}"
         for n, out in zip(numeric, scaled)
-    ] + [f"coalesce({quoted(n)}, {text_literal(modes[n])}) AS {out}" for n, out in zip(text, filled)]
+    ] + [f"concat('=', coalesce({quoted(n)}, {text_literal(modes[n])})) AS {out}" for n, out in zip(text, filled)]
     stages = [SQLTransformer(statement=f"SELECT *{''.join(', ' + e for e in exprs)} FROM __THIS__")]
     if text:
         indexed = [f"_f_i{i}" for i in range(len(text))]
         encoded = [f"_f_o{i}" for i in range(len(text))]
-        # One indexer per column: vocabularies differ in length.
+        # One indexer per column: vocabularies differ in length. Labels begin with a sign, as the encoder refuses empty ones.
         indexers = PipelineModel(
             [
-                StringIndexerModel.from_labels(words[n], inputCol=f, outputCol=i, handleInvalid="keep")
+                StringIndexerModel.from_labels([f"={w}" for w in words[n]], inputCol=f, outputCol=i, handleInvalid="keep")
                 for n, f, i in zip(text, filled, indexed)
             ]
         )

@@ -189,6 +189,7 @@ def train(
     promoted = best is None or best == -1.0 if auc is None else best is None or auc >= best
     if promoted and promote_to:
         ModelBundle(prep, fitted).save(promote_to, spark)
+    prep.discard()
 
     full_prep = fit_preprocessor(table, exclude=skip, max_categories=max_categories, center=center)
     everything = materialised(prepared(table, full_prep, layout))

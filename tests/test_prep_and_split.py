@@ -3,8 +3,10 @@ import statistics
 
 import pytest
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
 
-from duelframe.operators import prep as T, split as S
+from duelframe.layout import c
+from duelframe.operators import dictionary as D, prep as T, split as S
 
 
 @pytest.mark.parametrize("limit", [5, 60, 10**6])
@@ -73,6 +75,46 @@ def test_wide_vocabulary_needs_no_filter(spark):
     assert prep.names == ["x", "g=a", "g=b", "it's=u0", "it's=u1", "it's=u2", "it's=u3"]
 
 
+@pytest.mark.parametrize("share", [1_000, 3])
+def test_dictionary_encodes_like_the_bounded_vocabulary(spark, tmp_path, monkeypatch, share):
+    """With a low share, frequent values are looked up in one table and the rest in another."""
+    monkeypatch.setattr(D, "HOT_SHARE", share)
+    rng = random.Random(4)
+    words = ["hot"] * 60 + [f"w{i:02d}" for i in range(40)] + [None] * 10 + ["", "É", "a=b"]
+    rows = [(i, rng.choice([None, 1.5, 2.0, 7.25]), rng.choice(words), rng.choice("xyz"), None, i % 2, float(i) / 7) for i in range(300)]
+    df = spark.createDataFrame(rows, "bout_id int, x double, word string, `z.k` string, dead string, target int, y double").repartition(3)
+    fitted = [T.fit_preprocessor(df, exclude=["bout_id"], max_categories=m) for m in (10_000, None)]
+    assert fitted[0].names == fitted[1].names and fitted[0].dropped == fitted[1].dropped == ["dead"]
+    fitted[1].save(str(tmp_path / "p"), spark)
+    fitted.append(T.Preprocessor.load(str(tmp_path / "p"), spark))
+    later = df.unionByName(spark.createDataFrame([(900, None, "unknown", None, 1), (901, 3.0, None, "new", 0)], "bout_id int, x double, word string, `z.k` string, target int"), True)
+    for table in (df, later, later.drop("word").withColumn("passes", F.lit("through"))):
+        out = [p.transform(table).select(*[c(n) for n in table.columns], vector_to_array("features").alias("f")).orderBy("bout_id").collect() for p in fitted]
+        assert len(out[0]) == table.count() and out[0] == out[1] == out[2]
+    fitted[2].check(len(fitted[0].names))
+    with pytest.raises(ValueError):
+        fitted[2].check(3)
+    fitted[1].discard()
+
+
+def test_dictionary_numbers_values_in_order(spark):
+    df = spark.createDataFrame([(v, w) for v, w in zip("cabba", ["É", "z", "", None, "z"])], "s string, t string").repartition(4)
+    rows = D.slots(df, ["t", "s"]).orderBy("slot").collect()
+    assert [tuple(r) for r in rows] == [("s", "a", 2, 0), ("s", "b", 2, 1), ("s", "c", 1, 2), ("t", "", 1, 3), ("t", "z", 2, 4), ("t", "É", 1, 5)]
+
+
+def test_table_without_text_or_rows(spark):
+    numbers = spark.createDataFrame([(1.0, 1), (3.0, 0)], "x double, target int")
+    prep = T.fit_preprocessor(numbers, max_categories=None)
+    assert prep.names == ["x"] and [list(r[0]) for r in prep.transform(numbers).select(vector_to_array("features")).collect()] == [[-1.0], [1.0]]
+    text = spark.createDataFrame([("a", 1), ("b", 0)], "s string, target int")
+    prep = T.fit_preprocessor(text, max_categories=None)
+    assert [list(r[0]) for r in prep.transform(text).orderBy("s").select(vector_to_array("features")).collect()] == [[1.0, 0.0], [0.0, 1.0]]
+    assert prep.transform(text.limit(0)).collect() == []
+    empty = T.fit_preprocessor(text.limit(0), max_categories=None)
+    assert empty.width == 0 and empty.dropped == ["s"]
+
+
 def test_vocabulary_size_is_checked(spark):
     with pytest.raises(ValueError, match="more than 3"):
         T.vocabularies(training(spark), ["g", "it's"], limit=3)
