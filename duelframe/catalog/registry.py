@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from duelframe.functions import r6
 from duelframe.layout import c
@@ -35,6 +35,15 @@ def r6_sql(x: str) -> str:
     return f"floor(({x}) * 1e6 + 0.5001) / 1e6"
 
 
+def r4_sql(x: str) -> str:
+    return f"floor(({x}) * 1e4 + 0.5) / 1e4"
+
+
+def r4(x: Column) -> Column:
+    """Rounded to four places, for results of fits that stop at a tolerance."""
+    return F.floor(x * 1e4 + 0.5) / 1e4
+
+
 def rounded(df: DataFrame, *names: str) -> DataFrame:
     """Round the named columns, or all doubles, to six places."""
     wanted = set(names) or {n for n, t in df.dtypes if t == "double"}

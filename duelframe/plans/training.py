@@ -8,8 +8,8 @@ from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, LogisticRegressionModel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
 from duelframe.layout import DEFAULT, Layout, c, literal_rows
@@ -84,20 +84,20 @@ def cross_validated_logreg(
     folds: int = FOLDS,
     seed: int = SEED,
     parallelism: int = 4,
-) -> tuple[PipelineModel, float, list[tuple[float, int, float]]]:
+    tol: float = LOGREG_TOL,
+) -> tuple[PipelineModel, float, list[tuple[float, int, float | None]]]:
     """Grid over ``C`` scored by ROC-AUC on stratified folds, refitted on all rows with the best.
 
-    Returns the model, its ``C`` and ``(C, fold, roc_auc)`` of every fit. The folds
-    are written out once, so all fits see the same rows even when tasks are
-    retried, and selecting a fold is a filter on the scan.
+    Returns the model, its ``C`` and ``(C, fold, roc_auc)`` of every fit; a fold that holds one class
+    has no ROC-AUC and does not count. The folds are written out once, so all fits see the same rows
+    even when tasks are retried, and selecting a fold is a filter on the scan.
     """
     _checked(features)
     folded = materialised(stratified_folds(features, key=key, folds=folds, seed=seed))
     # One count of rows by fold and class gives the weights of all fits.
     sizes = {(r["fold"], r["target"]): r["n"] for r in folded.groupBy("fold", "target").agg(F.count(F.lit(1)).alias("n")).collect()}
-    evaluator = BinaryClassificationEvaluator(labelCol="target", metricName="areaUnderROC", numBins=0)
 
-    def fit_one(candidate: tuple[float, int]) -> tuple[float, int, float]:
+    def fit_one(candidate: tuple[float, int]) -> LogisticRegressionModel:
         penalty, fold = candidate
         rows: dict = {}
         for (f, y), n in sizes.items():
@@ -108,15 +108,30 @@ def cross_validated_logreg(
         for y, n in rows.items():
             weight = F.when(F.col("target") == y, F.lit(total / (len(rows) * n))).otherwise(weight)
         part = folded.filter(F.col("fold") != fold).withColumn("class_weight", weight)
-        model = Pipeline(stages=[logistic_regression(float(total), penalty)]).fit(part)
-        return penalty, fold, evaluator.evaluate(model.transform(folded.filter(F.col("fold") == fold)))
+        return logistic_regression(float(total), penalty).setTol(tol).fit(part)
 
+    grid = [(p, f) for p in penalties for f in range(folds)]
     with ThreadPool(parallelism) as pool:
-        scores = pool.map(fit_one, [(p, f) for p in penalties for f in range(folds)])
-    discard(folded)
-    means = {p: sum(s for q, _, s in scores if q == p) / folds for p in penalties}
+        models = dict(zip(grid, pool.map(fit_one, grid)))
+    judged = None
+    for fold in range(folds):
+        # All models that did not see a fold score it in one scan.
+        scored = folded.filter(F.col("fold") == fold)
+        for i, penalty in enumerate(penalties):
+            model = models[penalty, fold]
+            quiet = {model.probabilityCol: "_p", model.rawPredictionCol: "", model.predictionCol: ""}
+            scored = positive_probability(model.copy(quiet).transform(scored), "_p", f"_p{i}").drop("_p")
+        each = F.inline(F.array(*[F.struct(F.lit(p).alias("penalty"), F.col(f"_p{i}").alias("prob_red_win")) for i, p in enumerate(penalties)]))
+        part = scored.select("fold", "target", each)
+        judged = part if judged is None else judged.unionByName(part)
+    judged = materialised(judged)
+    areas = {(r["penalty"], r["fold"]): r["roc_auc"] for r in M.roc_auc(judged, by=["penalty", "fold"]).collect()}  # a row for each fit
+    discard(folded, judged)
+    scores = [(p, f, areas.get((p, f))) for p, f in grid]
+    known = {p: [a for q, _, a in scores if q == p and a is not None] for p in penalties}
+    means = {p: sum(found) / len(found) if found else 0.0 for p, found in known.items()}
     best = max(penalties, key=means.get)
-    return fit_logreg(features, best), best, scores
+    return fit_logreg(features, best, tol), best, scores
 
 
 def prepared(df: DataFrame, preprocessor: Preprocessor, layout: Layout) -> DataFrame:
@@ -150,6 +165,7 @@ def train(
     trees: int = GBT_TREES,
     cross_validate: bool = False,
     center: bool = True,
+    tol: float = LOGREG_TOL,
 ) -> TrainingResult:
     """Split, fit on the training part, evaluate, compare with the champion, refit on all rows, save.
 
@@ -163,7 +179,7 @@ def train(
     model when it is at least as good as the champion.
     """
     def logreg(features: DataFrame) -> PipelineModel:
-        return cross_validated_logreg(features, layout.key, seed=seed)[0] if cross_validate else fit_logreg(features)
+        return cross_validated_logreg(features, layout.key, seed=seed, tol=tol)[0] if cross_validate else fit_logreg(features, tol=tol)
 
     fits = {"logreg": logreg, "gbdt": lambda f: fit_gbt(f, trees, seed)}
     if model_type not in fits:
@@ -184,7 +200,7 @@ def train(
     if champion is not None:
         try:
             best = M.roc_auc(champion.score(holdout).select("target", "prob_red_win")).first()["roc_auc"]
-        except Exception as err:  # a champion that cannot be judged does not block its successor
+        except (ValueError, KeyError, FileNotFoundError, AnalysisException) as err:  # another width, absent columns or files
             warnings.warn(f"the champion could not be evaluated: {err}")
     promoted = best is None or best == -1.0 if auc is None else best is None or auc >= best
     if promoted and promote_to:
