@@ -10,11 +10,11 @@ from duelframe.catalog.fixtures import (
 from duelframe.catalog.modelling import ON, _CODE, _FOLD, _PROFILES_SQL, _UP, _auc_sql, _profiles, _requests
 from duelframe.catalog.registry import query, r4, r4_sql, with_sql
 from duelframe.layout import literal_rows
-from duelframe.operators import clean as C, prep as T, split as S
+from duelframe.operators import clean as C, prep as T, scoring as R, split as S
 from duelframe.plans import engineer, score_matchups, score_upcoming as score_upcoming_plan, train
-from duelframe.plans.training import CV_PENALTIES, cross_validated_logreg, fit_gbt, fit_logreg, prepared
+from duelframe.plans.training import CV_PENALTIES, GBT_DEPTH, cross_validated_logreg, fit_gbt, fit_logreg, prepared
 from duelframe.session import materialised, shared_folder
-from duelframe.sources import ModelBundle, first_loadable
+from duelframe.sources import ModelBundle, first_loadable, tree_nodes
 
 _TOL = 1e-14  # fits that are compared by value run until nothing changes
 _SKIP = ["bout_id", "winner"]
@@ -269,6 +269,67 @@ def gbt_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return literal_rows(spark, ["feature", "importance"], [(n, float(v)) for n, v in zip(prep.names, importances)])
 
 
+@query(
+    with_sql(
+        f"SELECT count(*) AS rows, 0::BIGINT AS differing, 1e0 AS importance FROM drawn WHERE NOT {_UP} AND winner IN ('Red', 'Blue')", BOUTS_SQL, DRAWN_SQL
+    )
+)
+def gbt_replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probabilities of the full ensemble next to a walk over its saved table of nodes, and the sum of its importances."""
+    features, prep = _features(spark, sf_dir)
+    bundle, path = ModelBundle(prep, fit_gbt(features)), shared_folder(spark)
+    bundle.save(path, spark)
+    model = bundle.classifier.stages[-1]
+    walked = R.score_by_nodes(features, tree_nodes(path, spark), model.getNumTrees, GBT_DEPTH, "bout_id", "walked")
+    both = R.positive_probability(bundle.classifier.transform(features)).join(walked, "bout_id")
+    total = F.lit(float(model.featureImportances.toArray().sum()))
+    return both.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.abs(F.col("prob_red_win") - F.col("walked")) > 1e-9).alias("differing"), r4(total).alias("importance")
+    )
+
+
+_STUMPS = 4  # trees of one split
+
+
+def _stumps_sql() -> tuple[str, ...]:
+    """Boosting by hand: every round takes the split of either feature with the least squares, then the margins move by its means."""
+    out = ["t0 AS MATERIALIZED (SELECT bout_id, a, b, 2e0 * target - 1 AS y, 0e0 AS m FROM stepped)"]
+    for r in range(_STUMPS):
+        residual, weight = ("y", 1.0) if r == 0 else ("4 * y / (1 + exp(2 * y * m))", 0.1)
+        sides = " UNION ALL ".join(
+            f"SELECT '{f}' AS f, v, sum(sum(z)) OVER w AS left_sum, sum(sum(n)) OVER w AS left_n, sum(sum(z)) OVER () AS s, sum(sum(n)) OVER () AS n"
+            f" FROM (SELECT {f} AS v, z, 1 AS n FROM z{r}) GROUP BY v WINDOW w AS (ORDER BY v)"
+            for f in "ab"
+        )
+        out += [
+            f"z{r} AS MATERIALIZED (SELECT *, {residual} AS z FROM t{r})",
+            f"best{r} AS MATERIALIZED (SELECT f, v, left_sum / left_n AS lo, (s - left_sum) / (n - left_n) AS hi FROM ({sides}) WHERE left_n < n"
+            " ORDER BY left_sum * left_sum / left_n + (s - left_sum) * (s - left_sum) / (n - left_n) DESC LIMIT 1)",
+            f"t{r + 1} AS MATERIALIZED (SELECT bout_id, a, b, y, m + {weight}e0 * CASE WHEN (CASE f WHEN 'a' THEN a ELSE b END) <= v THEN lo ELSE hi END AS m FROM z{r}, best{r})",
+        ]
+    return tuple(out)
+
+
+@query(
+    with_sql(
+        f"SELECT bout_id, {r4_sql('1 / (1 + exp(-2 * m))')} AS prob_red_win FROM t{_STUMPS}",
+        *_ROWS,
+        "stepped AS MATERIALIZED (SELECT bout_id, CASE WHEN winner = 'Red' THEN 1 ELSE 0 END AS target, floor((red_qty - blue_qty) / 10) AS a,"
+        " floor(round(red_disc * 100) / 2) - floor(round(blue_disc * 100) / 2) AS b FROM tr)",
+        *_stumps_sql(),
+    )
+)
+def gbt_stumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A few boosted trees of one split on two features of few values, where the best split can be found by hand."""
+    df = C.create_target(past(decided(bouts(spark, sf_dir))), LAYOUT)
+    halves = [F.floor(F.round(F.col(f"{p}_disc") * 100) / 2) for p in ("red", "blue")]
+    steps = {"a": F.floor((F.col("red_qty") - F.col("blue_qty")) / 10), "b": halves[0] - halves[1]}
+    data = materialised(df.select("bout_id", "target", *[x.cast("double").alias(n) for n, x in steps.items()]))
+    features = materialised(prepared(data, T.fit_preprocessor(data, exclude=["bout_id"]), LAYOUT))
+    scored = R.positive_probability(fit_gbt(features, trees=_STUMPS, depth=1).transform(features))
+    return scored.select("bout_id", r4(F.col("prob_red_win")).alias("prob_red_win"))
+
+
 # --------------------------------------------------------------------------- scoring with a fitted model
 
 

@@ -18,6 +18,25 @@ def positive_probability(df: DataFrame, probability: str = "probability", out: s
     return df.withColumn(out, vector_to_array(c(probability))[1])
 
 
+def score_by_nodes(df: DataFrame, nodes: DataFrame, trees: int, depth: int, key: str = DEFAULT.key, out: str = "prob_red_win") -> DataFrame:
+    """``key, out``: probability of a red win by walking ``nodes`` (see ``tree_nodes``), ``depth`` steps from the roots to the leaves.
+
+    The table of nodes is bounded by the number and depth of the trees, so it is broadcast.
+    """
+    nodes = F.broadcast(nodes.select(*[c(n).alias(f"_{n}") for n in ("tree", "node", "feature", "threshold", "categories", "left", "right", "prediction", "weight")]))
+    here = (F.col("_t") == F.col("_tree")) & (F.col("_n") == F.col("_node"))
+    at = df.select(c(key).alias("_k"), vector_to_array("features").alias("_x"), F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("_t"), F.lit(0).alias("_n"))
+    at = at.join(nodes, here)
+    for _ in range(depth):
+        value = F.get(F.col("_x"), F.col("_feature"))
+        goes_left = F.coalesce(value <= F.col("_threshold"), F.array_contains("_categories", value))
+        following = F.when(F.col("_left") < 0, F.col("_node")).when(goes_left, F.col("_left")).otherwise(F.col("_right"))
+        at = at.select("_k", "_x", "_t", following.alias("_n")).join(nodes, here)
+    # Boosting sums margins, of which the logistic function of the double is the probability.
+    margin = F.sum(F.col("_weight") * F.col("_prediction"))
+    return at.groupBy(F.col("_k").alias(key)).agg((1 / (1 + F.exp(-2 * margin))).alias(out))
+
+
 def predictions(df: DataFrame, layout: Layout = DEFAULT, prob: str = "prob_red_win", extra=()) -> DataFrame:
     """``red entity, blue entity, prob_red_win, predicted_winner, confidence``, after any ``extra`` columns."""
     p = c(prob)

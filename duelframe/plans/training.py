@@ -53,8 +53,8 @@ def logistic_regression(weight_sum: float, penalty: float = LOGREG_C) -> Logisti
     )
 
 
-def gradient_boosting(trees: int = GBT_TREES, seed: int = SEED) -> GBTClassifier:
-    return GBTClassifier(labelCol="target", maxIter=trees, stepSize=GBT_STEP, maxDepth=GBT_DEPTH, seed=seed)
+def gradient_boosting(trees: int = GBT_TREES, seed: int = SEED, depth: int = GBT_DEPTH) -> GBTClassifier:
+    return GBTClassifier(labelCol="target", maxIter=trees, stepSize=GBT_STEP, maxDepth=depth, seed=seed)
 
 
 def _checked(features: DataFrame) -> int:
@@ -72,9 +72,9 @@ def fit_logreg(features: DataFrame, penalty: float = LOGREG_C, tol: float = LOGR
     return Pipeline(stages=[estimator]).fit(with_class_weights(features))
 
 
-def fit_gbt(features: DataFrame, trees: int = GBT_TREES, seed: int = SEED) -> PipelineModel:
+def fit_gbt(features: DataFrame, trees: int = GBT_TREES, seed: int = SEED, depth: int = GBT_DEPTH) -> PipelineModel:
     _checked(features)
-    return Pipeline(stages=[gradient_boosting(trees, seed)]).fit(features)
+    return Pipeline(stages=[gradient_boosting(trees, seed, depth)]).fit(features)
 
 
 def cross_validated_logreg(

@@ -1,5 +1,5 @@
 from duelframe.sources.files import infer_types, load_or_build, read_csv, read_plain_csv, write_predictions
-from duelframe.sources.models import ModelBundle, first_loadable
+from duelframe.sources.models import ModelBundle, first_loadable, tree_nodes
 
 __all__ = [
     "ModelBundle",
@@ -8,5 +8,6 @@ __all__ = [
     "load_or_build",
     "read_csv",
     "read_plain_csv",
+    "tree_nodes",
     "write_predictions",
 ]

@@ -10,7 +10,7 @@ from duelframe.operators import metrics as M, prep as T, scoring as R
 from duelframe.plans import score_matchups, score_upcoming, train
 from duelframe.plans.training import cross_validated_logreg, fit_gbt, fit_logreg, prepared
 from duelframe.layout import DEFAULT
-from duelframe.sources import ModelBundle, first_loadable
+from duelframe.sources import ModelBundle, first_loadable, tree_nodes
 
 
 def table(spark, n=400, seed=5):
@@ -118,6 +118,30 @@ def test_training_run_saves_and_promotes(spark, tmp_path):
         first_loadable([str(tmp_path / "absent")], spark)
 
 
+def test_a_fault_while_judging_the_champion_is_no_defeat(spark, monkeypatch, tmp_path):
+    """Only a champion that does not fit the data counts as absent; a lost executor must not promote its challenger."""
+    df = table(spark)
+    first = train(df, model_type="logreg", exclude=SKIP)
+
+    def lost(self, df, out="prob_red_win"):
+        raise RuntimeError("executor lost")
+
+    monkeypatch.setattr(ModelBundle, "score", lost)
+    with pytest.raises(RuntimeError, match="executor lost"):
+        train(df, model_type="logreg", exclude=SKIP, champion=first.bundle)
+
+
+def test_scores_from_the_table_of_nodes(spark, features, tmp_path):
+    data, prep = features
+    bundle = ModelBundle(prep, fit_gbt(data, trees=5))
+    bundle.save(str(tmp_path / "m"), spark)
+    nodes = tree_nodes(str(tmp_path / "m"), spark)
+    assert nodes.select("tree").distinct().count() == 5
+    walked = {r["bout_id"]: r["prob_red_win"] for r in R.score_by_nodes(data, nodes, 5, 3).collect()}
+    for r in R.positive_probability(bundle.classifier.transform(data)).collect():
+        assert walked[r["bout_id"]] == pytest.approx(r["prob_red_win"], abs=1e-12)
+
+
 def test_upcoming_and_matchup_scores(spark, features):
     data, prep = features
     bundle = ModelBundle(prep, fit_logreg(data))
