@@ -76,6 +76,23 @@ def entity_history(df: DataFrame, layout: Layout = DEFAULT, stats: Sequence[str]
     return df.select(c(layout.key).alias("key"), c(layout.date).alias("date"), both).select("key", "date", "s.*")
 
 
+def with_past(df: DataFrame, layout: Layout = DEFAULT, stats: Sequence[str] = (), history: DataFrame | None = None) -> DataFrame:
+    """Long form of ``df``, preceded by the rows that its competitors have in ``history``.
+
+    ``_own`` marks the rows of ``df``. History is filtered by one semi join on its long form: of a
+    bout with a stranger only the known side is kept, which is all that the known side's past needs.
+    Columns that ``history`` lacks count as missing there.
+    """
+    own = entity_history(df, layout, stats)
+    if history is None:
+        return own
+    absent = [p + s for s in stats for p in (layout.red, layout.blue) if p + s not in history.columns]
+    earlier = entity_history(history.withColumns({n: F.lit(None).cast(df.schema[n].dataType) for n in absent}), layout, stats)
+    known = own.select("entity").filter(F.col("entity").isNotNull()).distinct()
+    earlier = earlier.join(known, "entity", "left_semi")
+    return own.withColumn("_own", F.lit(True)).unionByName(earlier.withColumn("_own", F.lit(False)))
+
+
 def pair_sides(
     long: DataFrame, layout: Layout, columns: dict[str, str], diffs: dict[str, str] | None = None
 ) -> DataFrame:
@@ -83,11 +100,15 @@ def pair_sides(
 
     ``columns`` maps a long column to the base name it gets on either side,
     ``diffs`` maps a long column to the name of its red-minus-blue column. A key
-    that belongs to several bouts is an error.
+    that belongs to several bouts is an error. Rows that are not ``_own`` send their key only.
     """
+    marked = "_own" in long.columns
+    if marked:
+        long = long.select("key", "side", "_own", *[F.when(F.col("_own"), c(n)).alias(n) for n in columns])
     repeated = F.concat(F.lit("bout key is not unique: "), F.first("key").cast("string"))
     wide = long.groupBy("key").agg(
         F.when(F.count(F.lit(1)) > 2, F.raise_error(repeated)).alias("_unique"),
+        (F.max("_own") if marked else F.lit(True)).alias("_wanted"),
         *[
             F.max(F.when(F.col("side") == label, c(name))).alias(prefix + base)
             for name, base in columns.items()
@@ -99,7 +120,7 @@ def pair_sides(
         out += [c(layout.red + base), c(layout.blue + base)]
         if diffs and name in diffs:
             out.append((c(layout.red + base) - c(layout.blue + base)).alias(diffs[name]))
-    return wide.filter(F.col("_unique").isNull()).select(out)
+    return wide.filter(F.col("_unique").isNull() & F.col("_wanted")).select(out)
 
 
 # --------------------------------------------------------------------------- slices
@@ -490,10 +511,10 @@ def last_win_rate(
 
 
 def momentum_features(
-    df: DataFrame, layout: Layout = DEFAULT, recent: int = RECENT_BOUTS, hot_rows: int = HOT_ROWS
+    df: DataFrame, layout: Layout = DEFAULT, recent: int = RECENT_BOUTS, hot_rows: int = HOT_ROWS, history: DataFrame | None = None
 ) -> DataFrame:
-    """Streak and recent win rate of both sides with their differences, keyed by bout."""
-    h = add_momentum(slice_histories(entity_history(df, layout), hot_rows), recent)
+    """Streak and recent win rate of both sides with their differences, keyed by bout; ``history`` as in ``with_past``."""
+    h = add_momentum(slice_histories(with_past(df, layout, history=history), hot_rows), recent)
     return pair_sides(h.frame, layout, *_momentum_columns(layout, recent))
 
 
@@ -506,10 +527,11 @@ def form_features(
     scope: str = "side",
     diffs: bool = True,
     hot_rows: int = HOT_ROWS,
+    history: DataFrame | None = None,
 ) -> DataFrame:
     """Rolling mean and EWMA of each stat before the bout, keyed by bout; ``None`` leaves one out."""
     stats = list(stats) if stats is not None else shared_bases(df, layout, numeric_only=True)
-    h = slice_histories(entity_history(df, layout, stats), hot_rows)
+    h = slice_histories(with_past(df, layout, stats, history), hot_rows)
     h, names = _add_form(h, stats, window, span, scope)
     return pair_sides(h.frame, layout, {n: n for n in names}, {n: f"{n}_diff" for n in names} if diffs else None)
 
@@ -534,11 +556,12 @@ def history_features(
     recent: int = RECENT_BOUTS,
     scope: str = "side",
     hot_rows: int = HOT_ROWS,
+    history: DataFrame | None = None,
 ) -> DataFrame:
     """Momentum, then form of the stats and of the momentum columns, from one long frame."""
     stats = list(stats) if stats is not None else shared_bases(df, layout, numeric_only=True)
     columns, diffs = _momentum_columns(layout, recent)
-    h = add_momentum(slice_histories(entity_history(df, layout, stats), hot_rows), recent)
+    h = add_momentum(slice_histories(with_past(df, layout, stats, history), hot_rows), recent)
     h = replace(h, frame=h.frame.withColumnsRenamed(columns))
     h, names = _add_form(h, [*stats, *columns.values()], window, span, scope)
     mapping = {base: base for base in columns.values()} | {n: n for n in names}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from duelframe.layout import DEFAULT, Layout, c
 from duelframe.operators import history as H
@@ -39,8 +39,7 @@ def engineer(
     out = P.pair_diffs(df, layout, bases)
     out = P.physical_diffs(out, layout, physical_bases)
     out = P.safe_ratios(out, layout, **(ratio_bases or {}))
-    past = df if history is None else _relevant(history, df, layout).unionByName(df, allowMissingColumns=True)
-    features = _history(past, layout, mode, numeric, window, span, recent, hot_rows)
+    features = _history(df, history, layout, mode, numeric, window, span, recent, hot_rows)
     if features is not None:
         out = out.join(features, layout.key, "left")
     out = P.altitude_features(P.short_notice_flag(out, layout))
@@ -49,26 +48,18 @@ def engineer(
     return out, P.engineered_columns(out)
 
 
-def _relevant(history: DataFrame, df: DataFrame, layout: Layout) -> DataFrame:
-    """Bouts of ``history`` in which a competitor of ``df`` takes part; the past of no one else is needed."""
-    sides = (layout.red_entity, layout.blue_entity)
-    if not set(sides) <= set(history.columns) & set(df.columns):
-        return history
-    wanted = df.select(F.explode(F.array(*[c(n) for n in sides])).alias("_one")).filter(F.col("_one").isNotNull()).distinct()
-    red, blue = (wanted.select(F.col("_one").alias(f"_{n}"), F.lit(True).alias(f"_in_{n}")) for n in ("red", "blue"))
-    marked = history.join(red, c(sides[0]) == F.col("_red"), "left").join(blue, c(sides[1]) == F.col("_blue"), "left")
-    return marked.filter(F.col("_in_red") | F.col("_in_blue")).select(*[c(n) for n in history.columns])
-
-
-def _history(df, layout, mode, stats, window, span, recent, hot_rows) -> DataFrame | None:
-    if layout.date not in df.columns:
-        return None
-    wanted = [layout.key, layout.date, layout.red_entity, layout.blue_entity]
+def _history(df, history, layout, mode, stats, window, span, recent, hot_rows) -> DataFrame | None:
+    tables = [t for t in (df, history) if t is not None]
+    if not all(layout.date in t.columns for t in tables):
+        if history is None:
+            return None
+        raise ValueError(f"both tables need the column {layout.date!r}")
+    wanted = [layout.key, layout.date, layout.red_entity, layout.blue_entity, layout.outcome]
     wanted += [p + s for s in stats for p in (layout.red, layout.blue)]
-    decided = layout.outcome in df.columns
-    narrow = df.select(*[c(n) for n in wanted + ([layout.outcome] if decided else [])])
+    narrow, past = ([t.select(*[c(n) for n in wanted if n in t.columns]) for t in tables] + [None])[:2]
+    decided = any(layout.outcome in t.columns for t in tables)
     if mode == "simple":
-        return H.momentum_features(narrow, layout, recent, hot_rows) if decided else None
+        return H.momentum_features(narrow, layout, recent, hot_rows, past) if decided else None
     if decided:
-        return H.history_features(narrow, layout, stats, window, span, recent, hot_rows=hot_rows)
-    return H.form_features(narrow, layout, stats, window, span, hot_rows=hot_rows) if stats else None
+        return H.history_features(narrow, layout, stats, window, span, recent, hot_rows=hot_rows, history=past)
+    return H.form_features(narrow, layout, stats, window, span, hot_rows=hot_rows, history=past) if stats else None
