@@ -7,10 +7,11 @@ from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from duelframe.layout import c
 from duelframe.operators.clean import nan_to_null
+from duelframe.session import materialised
 
 # Cell texts that mean "missing", and those that mean true or false.
 MISSING_TEXTS = (
@@ -20,6 +21,9 @@ MISSING_TEXTS = (
 TRUE_TEXTS = ("True", "TRUE", "true")
 FALSE_TEXTS = ("False", "FALSE", "false")
 
+#: Files that a filter may name.
+LISTED_FILES = 1_000
+
 
 def _missing_path(err: AnalysisException) -> bool:
     return "PATH_NOT_FOUND" in (err.getCondition() or "")
@@ -71,6 +75,11 @@ def _scan(spark: SparkSession, path, schema: StructType | None, encoding: str, m
     return reader.csv(path)
 
 
+def _plain_path(spark: SparkSession, file: str) -> str:
+    """A path as readers take it, of a file name that Spark gives as an URI."""
+    return spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file)).toString()
+
+
 def read_plain_csv(
     spark: SparkSession,
     path: str | list[str],
@@ -93,28 +102,48 @@ def read_plain_csv(
 
 
 def read_csv(
-    spark: SparkSession, path: str | list[str], schema: StructType | None = None, multi_line: bool = False
+    spark: SparkSession, path: str | list[str], schema: StructType | None = None, multi_line: bool = False, listed: int = LISTED_FILES
 ) -> DataFrame:
-    """CSV whose files are UTF-8 or, failing that, Latin-1; decided per file from its bytes."""
+    """CSV whose files are UTF-8 or, failing that, Latin-1; decided per file from its bytes.
+
+    Executors find the files that are not UTF-8. Up to ``listed`` of them are named in a filter on the
+    file, which prunes both scans; beyond that the scans are joined with their table, each reading all
+    files. The other files are never listed. Files of one encoding share the header of one of them.
+    """
+    file = F.col("_metadata.file_path")
     try:
         raw = spark.read.text(path)
     except AnalysisException as err:
         if _missing_path(err):
             raise FileNotFoundError(str(path)) from err
         raise
-    # Only files that are not UTF-8 are listed on the driver; where there is none, the path is read as it is.
-    found = raw.filter(~F.is_valid_utf8("value")).select(F.input_file_name().alias("file")).distinct()
-    latin = sorted(r["file"] for r in found.collect())
-    utf8: str | list[str] = path
-    if not latin and raw.isEmpty():
-        raise ValueError(f"no rows in {path}")
-    if latin:
-        every = raw.select(F.input_file_name().alias("file")).distinct()
-        utf8 = sorted(r["file"] for r in every.collect() if r["file"] not in set(latin))
-        warnings.warn(f"{len(latin)} file(s) are not UTF-8; reading them as Latin-1")
-    parts = [_scan(spark, p, schema, e, multi_line) for p, e in ((utf8, "UTF-8"), (latin, "ISO-8859-1")) if p]
-    if not parts:
-        raise ValueError(f"no rows in {path}")
+    broken = raw.filter(~F.is_valid_utf8("value")).select(file.alias("_file")).distinct()
+    names = [r["_file"] for r in broken.limit(listed + 1).collect()]
+    if not names:
+        if raw.isEmpty():
+            raise ValueError(f"no rows in {path}")
+        df = _scan(spark, path, schema, "UTF-8", multi_line)
+        return nan_to_null(df if schema is not None else infer_types(df))
+    warnings.warn(f"{len(names) if len(names) <= listed else f'more than {listed}'} file(s) are not UTF-8; reading them as Latin-1")
+    few = len(names) <= listed
+    if not few:
+        broken = materialised(broken)
+    own = raw.select("value", file.alias("_file"))
+    sound = (own.filter(~F.col("_file").isin(names)) if few else own.join(broken, "_file", "left_anti")).select("_file").first()
+    parts = []
+    for sample, encoding, how in ((sound and sound["_file"], "UTF-8", "left_anti"), (names[0], "ISO-8859-1", "left_semi")):
+        if sample is None:
+            continue
+        header = _scan(spark, _plain_path(spark, sample), None, encoding, multi_line).columns
+        shape = schema or StructType([StructField(n, StringType()) for n in header])
+        if few:
+            inside = file.isin(names)
+            parts.append(_scan(spark, path, shape, encoding, multi_line).filter(inside if how == "left_semi" else ~inside))
+        else:
+            # Every scan sees the other files' headers too, so they are not compared.
+            every = spark.read.option("header", True).option("escape", '"').option("multiLine", multi_line).option("encoding", encoding)
+            scan = every.schema(shape).csv(path).select("*", file.alias("_file"))
+            parts.append(scan.join(broken, "_file", how).drop("_file"))
     df = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
     return nan_to_null(df if schema is not None else infer_types(df))
 

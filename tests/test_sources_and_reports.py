@@ -2,6 +2,7 @@ from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from duelframe.operators import compare as A, drift as D, quality as V
 from duelframe.functions import bout_label, confidence_tier
@@ -39,6 +40,43 @@ def test_latin1_files_are_recognised(spark, tmp_path):
     assert sorted((r["name"], r["n"]) for r in rows) == [("Peña", 2), ("Zoë", 1)]
 
 
+@pytest.mark.parametrize("listed", [1_000, 0])
+@pytest.mark.parametrize("multi_line", [False, True])
+def test_mixed_encodings(spark, tmp_path, listed, multi_line):
+    """Files of either encoding with names and headers beyond ASCII, and columns in another order."""
+    folder = tmp_path / "a folder"
+    folder.mkdir()
+    for i in range(6):
+        write(folder / f"u {i}.csv", f"Größe,name\n{i},Łódź {i}\n")
+    write(folder / "a first.csv", "Größe,name\n70,Peña\n", "latin-1")
+    write(folder / "z läst.csv", 'Größe,name\n71,"Zoë, Ana"\n', "latin-1")
+    want = sorted([(i, f"Łódź {i}") for i in range(6)] + [(70, "Peña"), (71, "Zoë, Ana")])
+    with pytest.warns(UserWarning, match="Latin-1"):
+        df = read_csv(spark, str(folder), multi_line=multi_line, listed=listed)
+    assert df.dtypes == [("Größe", "bigint"), ("name", "string")] and sorted(map(tuple, df.collect())) == want
+    schema = StructType([StructField("Größe", LongType()), StructField("name", StringType())])
+    with pytest.warns(UserWarning, match="Latin-1"):
+        typed = read_csv(spark, str(folder), schema, multi_line, listed)
+    assert sorted(map(tuple, typed.collect())) == want
+    if listed:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and plan.count("file_path") >= 2
+
+
+def test_other_header_in_the_other_encoding(spark, tmp_path):
+    write(tmp_path / "a.csv", "b,a\nñ,1\n", "latin-1")
+    write(tmp_path / "b.csv", "a,c\n2,x\n3,é\n")
+    with pytest.warns(UserWarning):
+        rows = read_csv(spark, str(tmp_path)).select("a", "b", "c").collect()
+    assert sorted(map(str, map(tuple, rows))) == sorted(map(str, [(1, "ñ", None), (2, None, "x"), (3, None, "é")]))
+
+
+def test_only_latin1_files(spark, tmp_path):
+    write(tmp_path / "a.csv", "n,ä\n1,ö\n", "latin-1")
+    with pytest.warns(UserWarning):
+        assert [tuple(r) for r in read_csv(spark, str(tmp_path)).collect()] == [(1, "ö")]
+
+
 def test_cache_is_built_once_and_rebuilt_when_broken(spark, tmp_path):
     calls = []
 
