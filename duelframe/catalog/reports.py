@@ -211,13 +211,31 @@ def category_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.category_drift(*_halves(spark, sf_dir), _TEXT)
 
 
+def _sparse_sql(columns, flag: str = ">=") -> str:
+    """Number of columns whose share of nulls reaches the threshold (or, with ``<``, stays below it)."""
+    return " + ".join(f"CASE WHEN avg(CASE WHEN {n} IS NULL THEN 1e0 ELSE 0e0 END) {flag} 0.7e0 THEN 1 ELSE 0 END" for n in columns)
+
+
+_WIDTH = "(SELECT count(*) FROM (DESCRIBE SELECT * FROM {t}))"
+_GAPPY_COLUMNS = (
+    "bout_id", "bout_date", "red_id", "blue_id", "winner", "red_rare", "grp", *[f"{p}_{n}" for n in (*STATS, "flag") for p in ("red", "blue")],
+)
+_SHAPED = (
+    BOUTS_SQL, GAPPY_SQL,
+    "cleaned AS (SELECT *, 1 AS target FROM gappy WHERE winner IN ('Red', 'Blue'))",
+    long_sql("cleaned", []), MOMENTUM_SQL,
+    "featured AS (SELECT cleaned.*, red_qty - blue_qty AS qty_diff, red_disc - blue_disc AS disc_diff, red_tax - blue_tax AS tax_diff, p.* EXCLUDE (bout_id)"
+    f" FROM cleaned JOIN ({paired_sql('mom', MOMENTUM, True)}) p USING (bout_id))",
+)
+
+
 @query(
     with_sql(
-        "SELECT 'raw' AS stage, count(*) AS n_rows, 15 AS n_columns FROM gappy UNION ALL"
-        " SELECT 'clean', count(*), 15 FROM gappy WHERE winner IN ('Red', 'Blue') UNION ALL"
-        " SELECT 'engineered', count(*), 24 FROM gappy WHERE winner IN ('Red', 'Blue')",
-        BOUTS_SQL, GAPPY_SQL,
-    ).replace("15 AS n_columns", "15::BIGINT AS n_columns")
+        f"SELECT 'raw' AS stage, count(*) AS n_rows, {_WIDTH.format(t='gappy')} AS n_columns FROM gappy UNION ALL"
+        f" SELECT 'clean', count(*), {_WIDTH.format(t='cleaned')} - ({_sparse_sql(_GAPPY_COLUMNS)}) FROM cleaned UNION ALL"
+        f" SELECT 'engineered', count(*), {_WIDTH.format(t='featured')} - ({_sparse_sql(_GAPPY_COLUMNS)}) FROM featured",
+        *_SHAPED,
+    )
 )
 def stage_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = gappy(bouts(spark, sf_dir))
@@ -281,8 +299,7 @@ def dq_same_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _missing_sql(source: str, columns) -> str:
-    over = " + ".join(f"CASE WHEN avg(CASE WHEN {n} IS NULL THEN 1e0 ELSE 0e0 END) >= 0.7e0 THEN 1 ELSE 0 END" for n in columns)
-    return f"SELECT 'missing_values' AS rule, {len(columns)}::BIGINT AS checked, CAST({over} AS BIGINT) AS violations FROM {source}"
+    return f"SELECT 'missing_values' AS rule, {len(columns)}::BIGINT AS checked, CAST({_sparse_sql(columns)} AS BIGINT) AS violations FROM {source}"
 
 
 _DOC_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars", "quality", "toxic", "late")
@@ -291,7 +308,12 @@ _DOCS = (
 )
 
 
-@query(_union(_missing_sql(_DOCS, _DOC_COLUMNS), "SELECT 'missing_values', 7::BIGINT, 0::BIGINT"))
+@query(
+    _union(
+        _missing_sql(_DOCS, _DOC_COLUMNS),
+        f"SELECT 'missing_values', ({_sparse_sql(_DOC_COLUMNS, '<')})::BIGINT, {len(_DOC_COLUMNS)} - ({_sparse_sql(_DOC_COLUMNS, '<')}) - ({_sparse_sql(_DOC_COLUMNS)}) FROM {_DOCS}",
+    )
+)
 def dq_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Before and after dropping sparse columns."""
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
