@@ -9,13 +9,12 @@ to another is the share of its length whose chunks the other has too.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from duelframe.layout import c
 from duelframe.llm.texts import whole
@@ -110,15 +109,15 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 # --------------------------------------------------------------------------- neighbours in the order of keys
 
 
-def _range_of(key: Column, bounds: list[float]) -> Column:
-    """Number of bounds up to the key: first among every ``step``-th bound, then between two of those."""
-    if not bounds:
-        return F.lit(0)
-    step = math.isqrt(len(bounds)) + 1
-    fine = F.array(*[F.lit(b) for b in bounds])
-    coarse = F.array(*[F.lit(b) for b in bounds[step - 1 :: step]] or [F.lit(float("inf"))])
-    skipped = F.size(F.filter(coarse, lambda b: b <= key)) * step
-    return skipped + F.size(F.filter(F.slice(fine, skipped + 1, F.lit(step)), lambda b: b <= key))
+def _range_of(spark: SparkSession, key: Column, bounds: list[float]) -> Column:
+    """Number of bounds up to the key. The bounds, a few for each task, are broadcast instead of written into the plan."""
+    sent = spark.sparkContext.broadcast(np.array(bounds, float))
+
+    @F.pandas_udf("int")
+    def place(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(sent.value, keys.to_numpy(float), side="right").astype(np.int32))
+
+    return place(key) if bounds else F.lit(0)
 
 
 def with_next(docs: DataFrame, key: str, text: str, parts: int) -> DataFrame:
@@ -132,7 +131,7 @@ def with_next(docs: DataFrame, key: str, text: str, parts: int) -> DataFrame:
     rows = docs.select(c(key).alias("_k"), whole(text).alias("_text"))
     bounds = sorted(set(rows.approxQuantile("_k", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
     number = F.coalesce(F.col("_k").cast("double"), F.lit(float("-inf")))
-    rows = rows.withColumn("_part", _range_of(number, bounds))
+    rows = rows.withColumn("_part", _range_of(spark, number, bounds))
     firsts = rows.groupBy("_part").agg(F.min("_k").alias("k"), F.max(F.col("_k").isNull()).alias("none"))
     found = sorted((r["_part"], None if r["none"] else r["k"]) for r in firsts.collect())  # at most `parts` rows
     heads = [(p, k, found[i - 1][0]) for i, (p, k) in enumerate(found)]

@@ -85,12 +85,11 @@ def _counted(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def training_sample(docs: DataFrame, chosen: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> DataFrame:
     """(``_lang``, ``_text``) of about ``sample`` texts of each language among the ``chosen`` rows that have one."""
     known = docs.where(chosen & c(lang).isNotNull() & c(text).isNotNull())
-    sizes = {r["l"]: r["n"] for r in known.groupBy(c(lang).alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    draw = F.pmod(F.xxhash64(c(key).cast("string"), c(lang)), F.lit(1 << 30))
-    keep = F.lit(False)
-    for name, n in sizes.items():
-        keep = keep | ((c(lang) == name) & (draw < int(min(1.0, sample / n) * (1 << 30))))
-    return known.where(keep).select(c(lang).alias("_lang"), whole(text).alias("_text"))
+    rows = known.select(c(lang).alias("_lang"), whole(text).alias("_text"), F.xxhash64(c(key).cast("string"), c(lang)).alias("_draw"))
+    sizes = known.groupBy(c(lang).alias("_lang")).agg(F.count(F.lit(1)).alias("_n"))
+    share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("_n"))
+    drawn = F.pmod(F.col("_draw"), F.lit(1 << 30)) < F.floor(share * F.lit(float(1 << 30)))
+    return rows.join(sizes, "_lang").where(drawn).select("_lang", "_text")
 
 
 def _clustered(vectors: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:

@@ -30,8 +30,6 @@ from duelframe.session import materialised
 STEM = 4
 #: At most so many labelled texts of either class are learned from; above it a hash of the key picks them.
 MAX_TRAIN = 20_000
-#: The model keeps at most so many stems and tokens, those with the most evidence.
-MAX_MODEL = 100_000
 #: Prior weight of the stem for a token, of the corpus for a stem.
 PRIOR = 4.0
 #: What every token of ordinary text costs, so that only dense passages rise.
@@ -118,7 +116,11 @@ def training_texts(docs: DataFrame, labels: DataFrame, chosen: Column, key: str
     sizes = {r["_y"]: r["n"] for r in marked.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     keep = F.lit(False)
     for y, n in sizes.items():
-        keep = keep | ((F.col("_y") == y) & (F.pmod(F.xxhash64(F.col("_k")), F.lit(1_000_000)) < int(min(1.0, max_train / n) * 1_000_000)))
+        if n > max_train:  # the draw has 63 bits, so a class is never thinned to nothing
+            drawn = F.call_function("shiftrightunsigned", F.xxhash64(F.col("_k")), F.lit(1)) < (max_train << 63) // n
+        else:
+            drawn = F.lit(True)
+        keep = keep | ((F.col("_y") == y) & drawn)
     texts = docs.select(c(key).alias("_k"), whole(text).alias("_text"))
     return materialised(texts.join(F.broadcast(marked.where(keep)), "_k").select("_text", "_y"))
 
@@ -143,17 +145,17 @@ def _counted(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield summed()
 
 
-def fit_toxicity(train: DataFrame, max_model: int = MAX_MODEL) -> ToxicityModel:
+def fit_toxicity(train: DataFrame) -> ToxicityModel:
     """Fit on (``_text``, ``_y``). Without both classes the model knows nothing and scores every text with the share of toxic ones.
 
-    Counts are summed in Spark; the driver gets at most ``max_model`` stems and as many
-    tokens, the best supported ones, and one histogram of fixed size per class.
+    Counts are summed in Spark. The driver gets every stem and token that two of the
+    training texts hold, whose number ``MAX_TRAIN`` bounds, and one histogram of fixed size per class.
     """
     with small_batches(train.sparkSession):
-        return _fit_toxicity(train, max_model)
+        return _fit_toxicity(train)
 
 
-def _fit_toxicity(train: DataFrame, max_model: int) -> ToxicityModel:
+def _fit_toxicity(train: DataFrame) -> ToxicityModel:
     classes = {r["_y"]: r["n"] for r in train.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = classes.get(0, 0), classes.get(1, 0)
     share = n1 / (n0 + n1) if n0 + n1 else 0.0
@@ -161,8 +163,8 @@ def _fit_toxicity(train: DataFrame, max_model: int) -> ToxicityModel:
         return ToxicityModel({}, {}, -1.0, 1.0, 1.0, (0.0,), (share,))
     counts = train.mapInPandas(_counted, "stem boolean, word string, clean long, toxic long").groupBy("stem", "word")
     counts = counts.agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where("clean + toxic >= 2")
-    best = [counts.where(F.col("stem") == s).orderBy(F.desc("toxic"), F.desc("clean"), "word").limit(max_model) for s in (True, False)]
-    stem_rows, token_rows = (b.select("word", "clean", "toxic").toPandas() for b in best)
+    found = counts.toPandas().sort_values("word")
+    stem_rows, token_rows = (found[found["stem"] == s].reset_index(drop=True) for s in (True, False))
 
     # Counts are of documents: a class with k of n documents has the rate (k + prior) / (n + all priors).
     def odds(clean, toxic, mean):

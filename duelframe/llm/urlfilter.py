@@ -7,7 +7,8 @@ level that rejects it is an even one, or if the last level admits it and is odd.
 
 Filters are built with ``bit_or`` over 64-bit words: Spark reduces keys to words before
 anything is shuffled, and a filter is a literal array in the expressions that use it.
-A filter never exceeds ``MAX_BITS``; a list that would need more is marked by a join.
+Filters hold about ``MAX_BITS`` bits: a longer list is split by a hash of the key into as
+many universes as it takes, each with a cascade of its own for the rows of its part.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from duelframe.layout import c
-from duelframe.session import materialised
+from duelframe.session import materialised, remove_folder, shared_folder
 
-#: Size bound of one level; with it the bound of what is sent to the executors.
+#: Bits of a level that one part of the universe is planned for; with it the size of what is sent to the executors.
 MAX_BITS = 1 << 21
 #: Share of wrong admissions that a level above the first is built for.
 LATER_RATE = 0.1
@@ -55,12 +56,13 @@ def _positions(key: Column, salt: int, bits: int, hashes: int) -> list[Column]:
     return [(first + step * F.lit(i)) % F.lit(bits) for i in range(hashes)]
 
 
-def _build(keys: DataFrame, n: int, rate: float, salt: int) -> Level | None:
-    """A filter for ``n`` keys; None if it would exceed the bound."""
-    hashes = max(1, round(-math.log2(rate)))
-    bits = 64 * max(1, math.ceil(n * -math.log(rate) / math.log(2) ** 2 / 64))
-    if bits > MAX_BITS:
-        return None
+def _bits(n: int, rate: float) -> int:
+    return 64 * max(1, math.ceil(n * -math.log(rate) / math.log(2) ** 2 / 64))
+
+
+def _build(keys: DataFrame, n: int, rate: float, salt: int) -> Level:
+    """A filter for ``n`` keys."""
+    hashes, bits = max(1, round(-math.log2(rate))), _bits(n, rate)
     place = keys.select(F.explode(F.array(*_positions(F.col("key"), salt, bits, hashes))).alias("p"))
     word = place.select(F.shiftright("p", 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int")).alias("b"))
     words = [0] * (bits // 64)
@@ -81,26 +83,32 @@ class Cascade:
         for i in range(len(self.levels), 0, -1):
             level = self.levels[i - 1].admits(key)
             out = (level & out) if i % 2 else (~level | out)
-        return F.coalesce(out, F.lit(False))
+        return key.isNotNull() & out  # a hash skips nulls, so they would be taken for some key
+
+
+def _first_rate(n_all: int, n_listed: int) -> float:
+    return min(0.5, max(n_listed, 1) / max(n_all - n_listed, 1))
+
+
+def _sizes(universe: DataFrame) -> tuple[int, int]:
+    return universe.agg(F.count(F.lit(1)), F.count(F.when(F.col("listed"), 1))).first()
 
 
-def build_cascade(universe: DataFrame) -> Cascade | None:
-    """A cascade over (``key``, ``listed``): every key once, none null. None if a level would exceed ``MAX_BITS``.
+def build_cascade(universe: DataFrame) -> Cascade:
+    """A cascade over (``key``, ``listed``): every key once, none null. Its size follows the list; ``mark_listed`` splits long ones.
 
     Without listed keys the cascade is empty and contains nothing. The first level is
     built for as many wrong admissions as there are listed keys, so size follows the
     list and only the logarithm of the universe.
     """
-    n_all, n_listed = universe.agg(F.count(F.lit(1)), F.count(F.when(F.col("listed"), 1))).first()
+    n_all, n_listed = _sizes(universe)
     if not n_listed:
         return Cascade(())
     levels: list[Level] = []
     inside, outside = universe.where("listed"), universe.where(~F.col("listed"))
-    count, rate = n_listed, min(0.5, max(n_listed, 1) / max(n_all - n_listed, 1))
+    count, rate = n_listed, _first_rate(n_all, n_listed)
     while count:
         level = _build(inside, count, rate, len(levels) + 1)
-        if level is None:
-            return None
         levels.append(level)
         # The wrongly admitted keys of the other side are the next level's keys.
         inside, outside = outside.where(level.admits(F.col("key"))), inside
@@ -164,9 +172,8 @@ def apply_rules(pages: DataFrame, rules: Sequence[Rule], key: str = "page_id", u
     keyed = parts.withColumn("_keys", rule_keys(F.col("host"), F.col("path"), lengths) if rules else F.array().cast("array<string>"))
     universe = materialised(keyed.select(F.explode("_keys").alias("key")).distinct())
     by_action = {a: [r.key for r in rules if r.action == a] for a in ("block", "allow")}
+    # A filter is smaller than the list of rules, which the caller holds.
     cascades = {a: build_cascade(_listed(universe, keys)) for a, keys in by_action.items()}
-    if None in cascades.values():
-        raise ValueError(f"the rules need filters of more than {MAX_BITS} bits; pass them as a list to mark_listed")
     block, allow = cascades["block"], cascades["allow"]
     rule = _longest(F.col("_keys"), lambda k: block.contains(k) | allow.contains(k))
     return keyed.withColumn("rule", rule).select(
@@ -181,14 +188,33 @@ def apply_rules(pages: DataFrame, rules: Sequence[Rule], key: str = "page_id", u
 def mark_listed(df: DataFrame, column: str, universe: DataFrame, name: str = "listed") -> DataFrame:
     """Add boolean ``name``: whether ``column`` is a listed key of ``universe`` (``key``, ``listed``; keys distinct).
 
-    Membership is read from a cascade; a list too large for one is joined instead.
+    Membership is read from cascades. Where the list needs more than ``MAX_BITS`` bits, keys and rows
+    are stored in parts by a hash of the key; each part has a cascade and is read, marked and written by
+    itself, so neither driver nor executors ever hold more than one. A null is not listed.
     """
     known = materialised(universe.where(F.col("key").isNotNull()))
-    cascade = build_cascade(known)
-    if cascade is not None:
-        return df.withColumn(name, cascade.contains(c(column)))
-    keys = known.where("listed").select(F.col("key").alias("_key"), F.lit(True).alias("_in"))
-    return df.join(keys, c(column) == F.col("_key"), "left").withColumn(name, F.coalesce("_in", F.lit(False))).drop("_key", "_in")
+    n_all, n_listed = _sizes(known)
+    # Later levels hold about as many keys as the first.
+    need = max(_bits(n_listed, _first_rate(n_all, n_listed)), _bits(n_listed, LATER_RATE))
+    parts = math.ceil(need / MAX_BITS) if n_listed else 1
+    if parts == 1:
+        return df.withColumn(name, build_cascade(known).contains(c(column)))
+    spark, folders = df.sparkSession, [shared_folder(df.sparkSession) for _ in range(3)]
+
+    def part(key: Column) -> Column:
+        return F.coalesce(F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(parts)), F.lit(0)).cast("int").alias("_part")
+
+    known.select("*", part(F.col("key"))).write.partitionBy("_part").parquet(folders[0])
+    df.select(F.struct(*[c(n) for n in df.columns]).alias("_row"), c(column).alias("_key"), part(c(column))).write.partitionBy("_part").parquet(folders[1])
+    keys, rows = (spark.read.parquet(f) for f in folders[:2])
+    for i in range(parts):
+        cascade = build_cascade(keys.where(F.col("_part") == i).drop("_part"))
+        marked = rows.where(F.col("_part") == i).select("_row", cascade.contains(F.col("_key")).alias("_in"))
+        marked.write.mode("append").parquet(folders[2])
+    for folder in folders[:2]:
+        remove_folder(spark, folder)
+    out = spark.read.parquet(folders[2])
+    return out.select(*[F.col("_row").getField(n).alias(n) for n in df.columns], F.col("_in").alias(name))
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], key: str = "page_id", url: str = "url") -> DataFrame:

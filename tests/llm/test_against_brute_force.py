@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -184,6 +185,17 @@ def test_chunks_resist_shifts():
     assert fingerprint.chunks("A  b\n") == fingerprint.chunks("a b")
 
 
+def plain_fingerprint(text):
+    """Chunk by chunk with a byte at a time; a cut follows a byte after which the low bits of the hash are zero."""
+    data, out, start, h = fingerprint.normalised(text), {}, 0, 0
+    ends = set(fingerprint.cuts(data))
+    for i in range(len(data)):
+        if i + 1 in ends:
+            out[xxhash.xxh64_intdigest(data[start : i + 1])] = i + 1 - start
+            start = i + 1
+    return ",".join(f"{d:016x}:{n:x}" for d, n in sorted(out.items()))
+
+
 @pytest.mark.parametrize("parts", [1, 3, 50])
 def test_every_text_meets_the_next_one(spark, documents, parts):
     rng = random.Random(parts)
@@ -193,7 +205,9 @@ def test_every_text_meets_the_next_one(spark, documents, parts):
         edited = t[: len(t) - len(t) // 4] + n[: len(t) // 4]
         r = found[i]
         assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest() and r["n_chars"] == len(t)
-        assert r["near_next"] == fingerprint.likeness(fingerprint.chunks(t), fingerprint.chunks(n))
+        own, changed = fingerprint.chunks(t), fingerprint.chunks(edited)
+        assert r["near_next"] == fingerprint.likeness(own, fingerprint.chunks(n)) and r["near_edited"] == fingerprint.likeness(own, changed)
+        assert r["fingerprint"] == plain_fingerprint(t) and r["edited_fingerprint"] == plain_fingerprint(edited)
 
 
 def test_gear_hash_is_the_sequential_one():
@@ -387,6 +401,23 @@ def test_maximal_segments(values):
     assert all(s == pytest.approx(scores[a:b].sum()) for a, b, s in found)
 
 
+def test_training_texts_are_bounded_and_no_class_vanishes(spark, documents):
+    docs = documents([(i, f"text {i}") for i in range(4_000)])
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(4_000)] + [(5, 2), (None, 1)], "doc_id long, toxic int")
+    sizes = {r["_y"]: r["count"] for r in toxicity.training_texts(docs, labels, F.lit(True), max_train=300).groupBy("_y").count().collect()}
+    assert all(200 < n < 400 for n in sizes.values()) and set(sizes) == {0, 1}
+    few = toxicity.training_texts(docs, labels, F.lit(True), max_train=401).groupBy("_y").count().collect()
+    assert {r["_y"]: r["count"] for r in few}[1] == 400
+
+
+def test_every_repeated_token_can_count(spark):
+    """More kinds of tokens than the model once kept: each still gets its log-odds."""
+    kinds = ["".join(chr(97 + (i // 26**k) % 26) for k in range(4)) for i in range(130_000)]
+    rows = [(" ".join(kinds[j::13]), 0) for j in range(13)] * 2 + [(" ".join([*kinds[-40:], "vile"]), 1)] * 12
+    model = toxicity.fit_toxicity(spark.createDataFrame(rows, "_text string, _y int").repartition(4))
+    assert len(model.stems) > 100_000 and model.stems["vile"] > 0
+
+
 def test_toxic_passages_are_learned(spark, documents):
     rng = random.Random(4)
     stems = ["vaqu", "lowd", "skum"]
@@ -419,6 +450,20 @@ def test_cascade_is_exact(spark, monkeypatch):
     cascade = urlfilter.build_cascade(keys)
     assert len(cascade.levels) > 3
     assert keys.where(cascade.contains(F.col("key")) != F.col("listed")).count() == 0
-    monkeypatch.setattr(urlfilter, "MAX_BITS", 64)
-    joined = urlfilter.mark_listed(keys.select("key"), "key", keys, "found").join(keys, "key")
-    assert urlfilter.build_cascade(keys) is None and joined.where("found <> listed").count() == 0
+
+
+def test_long_lists_are_split_into_cascades(spark, monkeypatch):
+    """Above the old bound of one filter: parts by hash, no join, nulls and repeated rows kept."""
+    keys = materialised(spark.range(6_000).select(F.concat(F.lit("host"), "id").alias("key"), (F.pmod(F.hash("id"), F.lit(7)) == 0).alias("listed")))
+    monkeypatch.setattr(urlfilter, "MAX_BITS", 1 << 11)
+    asked = keys.select("key", F.lit("clash").alias("_row")).unionByName(keys.limit(50).select("key", F.lit("again").alias("_row")))
+    asked = asked.unionByName(spark.createDataFrame([(None, None)], "key string, _row string"))
+    marked = urlfilter.mark_listed(asked, "key", keys, "found")
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert marked.columns == ["key", "_row", "found"] and "Join" not in plan
+    assert marked.count() == 6_051 and marked.where("key IS NULL AND NOT found").count() == 1
+    assert marked.join(keys, "key").where("found <> listed").count() == 0
+    rules = [urlfilter.Rule("block", f"host{i}.org", "/") for i in range(600)]
+    pages = spark.createDataFrame([(i, f"http://www.host{i}.org/x") for i in range(590, 610)], "page_id long, url string")
+    found = urlfilter.apply_rules(pages, rules).where("action = 'block'").count()
+    assert found == 10
