@@ -17,12 +17,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from duelframe.layout import c
 from duelframe.llm.texts import whole
+from duelframe.session import materialised
 
 UNKNOWN = "und"
 WIDTH = 4096
 #: Bound of the training sample: about so many texts of each language, chosen by a hash of the key.
 SAMPLE = 1_000
 CENTROIDS = 4
+#: Sizes of so many languages may be sent to every task; a column with more values is joined by shuffling.
+FEW_LANGUAGES = 10_000
 #: Texts further from their centroid than all but this share of the training texts count as rejected.
 REJECT = 0.01
 _PIECE = 1 << 20  # characters counted at once, which bounds the working arrays of very long texts
@@ -86,7 +89,9 @@ def training_sample(docs: DataFrame, chosen: Column, key: str = "doc_id", text:
     """(``_lang``, ``_text``) of about ``sample`` texts of each language among the ``chosen`` rows that have one."""
     known = docs.where(chosen & c(lang).isNotNull() & c(text).isNotNull())
     rows = known.select(c(lang).alias("_lang"), whole(text).alias("_text"), F.xxhash64(c(key).cast("string"), c(lang)).alias("_draw"))
-    sizes = known.groupBy(c(lang).alias("_lang")).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = materialised(known.groupBy(c(lang).alias("_lang")).agg(F.count(F.lit(1)).alias("_n")))
+    if sizes.count() <= FEW_LANGUAGES:
+        sizes = F.broadcast(sizes)  # texts stay where they are
     share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("_n"))
     drawn = F.pmod(F.col("_draw"), F.lit(1 << 30)) < F.floor(share * F.lit(float(1 << 30)))
     return rows.join(sizes, "_lang").where(drawn).select("_lang", "_text")

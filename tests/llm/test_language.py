@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from duelframe.llm import langid
@@ -68,7 +69,9 @@ def test_every_text_goes_to_the_nearest_centroid(spark, documents):
     assert found[93]["lang_pred"] == "en" and found[90]["lang_pred"] == "und"
 
 
-def test_training_sample_is_bounded_by_language(spark):
+@pytest.mark.parametrize("few", [10_000, 5])
+def test_training_sample_is_bounded_by_language(spark, monkeypatch, few):
+    monkeypatch.setattr(langid, "FEW_LANGUAGES", few)
     docs = spark.range(3_000).select(
         F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"),
         F.when(F.col("id") % 3 == 0, F.concat(F.lit("dirty"), "id")).when(F.col("id") % 3 == 1, "en").alias("lang"),
