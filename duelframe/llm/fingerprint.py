@@ -150,7 +150,8 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text", par
     Columns: ``key``, ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``,
     ``near_edited``, ``near_next``. The next document is the one with the next key, after the
     last the first; equal keys are ordered by text, null keys come first. A null text counts
-    as empty. A table of one row is its own successor; an empty table gives an empty result.
+    as empty, and texts of any length are fingerprinted whole. A table of one row is its own successor; an
+    empty table gives an empty result; other columns are not looked at.
     Keys are numbers; ``parts`` is the number of key ranges, eight for each shuffle partition.
     """
     spark = docs.sparkSession

@@ -265,7 +265,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """One row of every class of near duplicates, all columns kept: the one with the least key, null keys last.
 
     Of equal keys the text with the least hash stays, of equal rows one. Classes that share a key keep
-    a row each. Rows without a word are classes of their own and stay.
+    a row each. Rows without a word are classes of their own and stay. An empty table gives an empty result.
     """
     t = whole(text)
     identity = F.xxhash64(c(key).cast("string"), c(key).isNull(), F.sha2(t, 256))

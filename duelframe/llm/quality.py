@@ -168,7 +168,11 @@ def ablation(ledger: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, text: str = "text", policy: Policy = DEFAULT_POLICY) -> DataFrame:
-    """The rows of ``docs`` that pass the policy, with all their columns and no others; null and empty texts fail."""
+    """The rows of ``docs`` that pass the policy, with all their columns and no others; null and empty texts fail.
+
+    Repeated rows are judged alike and each is kept or dropped; texts of any length are measured whole; columns
+    of any name pass through, as rows travel in one struct; an empty table gives an empty result.
+    """
     return unboxed(apply_policy(_judged(docs, text), policy).where("kept"), docs.columns)
 
 

@@ -268,7 +268,9 @@ def drop_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lengt
     """``docs`` with repeated strings cut out of ``text`` and ``length``, if there is such a column, set anew.
 
     A character that a cut leaves incomplete is dropped. Every row stays, if need be with an
-    empty text; null texts stay null.
+    empty text; null texts stay null. Repeated rows count as several documents, so strings of 200 bytes
+    that they share are cut from all. Texts of any length are treated whole, in pieces; other columns
+    pass through under any name; an empty table gives an empty result.
     """
 
     @F.pandas_udf("string")

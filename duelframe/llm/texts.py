@@ -48,6 +48,8 @@ def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
     """Hand at most ``rows`` rows to a Python worker at once while tables are written inside; the setting is put back after.
 
     Rows that carry shingle sets or whole texts are large, and a batch is held more than once while it is converted.
+    The setting is the session's: jobs of other threads see it meanwhile, which changes their batches and not their
+    results. Frames that are returned unwritten run without it.
     """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)

@@ -222,7 +222,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], key: str = "page_id", u
 
     A url that a rule fits gets the verdict of the longest one. Any other is judged by its
     host: hosts with more blocked than allowed urls form the block list, encoded in a
-    cascade over all hosts. Null urls have empty parts and the verdict of the empty host.
+    cascade over all hosts. Null urls have empty parts and the verdict of the empty host. Urls of any
+    length are judged whole, repeated rows one by one; other columns are not looked at.
     """
     judged = apply_rules(pages, rules, key, url)
     balance = F.sum(F.when(F.col("action") == "block", 1).when(F.col("action") == "allow", -1).otherwise(0))

@@ -101,6 +101,23 @@ def test_pipeline_stages_on_messy_and_empty_tables(spark, documents, messy, tmp_
         assert last.select("doc_id").distinct().count() == len({i for i, _ in rows})
 
 
+def test_rows_that_stages_keep_of_messy_tables(spark, documents, messy, tmp_path):
+    """Which rows every stage keeps, and their texts, each stage on the whole messy table."""
+    labels = spark.createDataFrame([(9, 1, 1), (4, 1, 0)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    docs, stages = documents(messy), dict(corpus_pipeline.STAGES)
+    order = lambda rows: sorted(rows, key=str)
+    kept = {n: order((r["doc_id"], r["text"]) for r in stages[n](spark, docs, str(tmp_path)).collect()) for n in ("quality", "toxicity", "near_duplicates", "repeats")}
+    assert kept["quality"] == [(7, dict(messy)[7])]  # every other text has under 50 words
+    model = corpus_pipeline.toxicity_model(docs, labels)
+    civil = {r["doc_id"] for r in toxicity.toxicity_scores(docs, model).where(F.col("score") < toxicity.THRESHOLD).collect()}
+    assert kept["toxicity"] == order((i, t) for i, t in messy if i in civil)
+    texts = dict(messy)
+    assert kept["near_duplicates"] == order([(i, t) for i, t in messy if i not in (5, 6)] + [(5, texts[5])])
+    cut = {7: texts[7].rstrip("x"), 8: " ünïcode 日本語 \U0001f600", 10: ""}
+    assert kept["repeats"] == order((i, cut.get(i, t)) for i, t in messy)
+
+
 def test_repeated_rows_leave_one_row_that_stays_whole(spark, documents):
     clean = " ".join(f"clean{i}" for i in range(80))
     near = clean.replace("clean79", "other")
