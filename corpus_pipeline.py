@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from duelframe.llm import jaccard, packing, quality, suffixes, toxicity
 from duelframe.llm.queries import toxicity_model
 from duelframe.llm.texts import documents, table
-from duelframe.session import materialised
+from duelframe.session import discard, materialised
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -59,7 +59,10 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pipeline over the ``documents`` of ``sf_dir``."""
-    docs = documents(spark, sf_dir)
+    given = docs = documents(spark, sf_dir)
     for _, stage in STAGES:
-        docs = materialised(stage(spark, docs, sf_dir))
+        done = materialised(stage(spark, docs, sf_dir))
+        if docs is not given:
+            discard(docs)  # the next table is written and reads nothing of this one
+        docs = done
     return docs
