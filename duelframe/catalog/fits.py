@@ -173,27 +173,28 @@ def _grid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query(
     with_sql(
-        f"SELECT penalty, {r4_sql('avg(roc_auc)')} AS mean, {r4_sql('stddev_pop(roc_auc)')} AS std FROM areas GROUP BY penalty", *_GRID
+        f"SELECT penalty, {r4_sql('avg(roc_auc)', 3)} AS mean, {r4_sql('stddev_pop(roc_auc)', 3)} AS std FROM areas GROUP BY penalty", *_GRID
     )
 )
 def logreg_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and deviation of ROC-AUC per penalty over five stratified folds."""
     fits, _ = _grid(spark, sf_dir)
-    return fits.groupBy("penalty").agg(r4(F.avg("roc_auc")).alias("mean"), r4(F.stddev_pop("roc_auc")).alias("std"))
+    return fits.groupBy("penalty").agg(r4(F.avg("roc_auc"), 3).alias("mean"), r4(F.stddev_pop("roc_auc"), 3).alias("std"))
 
 
 @query(
     with_sql(
-        f"SELECT a.penalty, a.fold::INTEGER AS fold, n AS tested, {r4_sql('roc_auc')} AS roc_auc FROM areas a"
+        f"SELECT a.penalty, a.fold::INTEGER AS fold, n AS tested, {r4_sql('roc_auc', 3)} AS roc_auc FROM areas a"
         " JOIN (SELECT f, count(*) AS n FROM folded GROUP BY f) t ON t.f = a.fold",
         *_GRID,
     )
 )
 def logreg_cv_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows tested per penalty and fold, and how that fit ranks them."""
+    """Rows tested per penalty and fold, and how that fit ranks them, to three places: in small folds a pair of rows
+    whose scores nearly tie can change the fourth from run to run, as sums of doubles depend on the order of tasks."""
     fits, features = _grid(spark, sf_dir)
     tested = S.stratified_folds(features).groupBy("fold").agg(F.count(F.lit(1)).alias("tested"))
-    return fits.join(tested, "fold").select("penalty", "fold", "tested", r4(F.col("roc_auc")).alias("roc_auc"))
+    return fits.join(tested, "fold").select("penalty", "fold", "tested", r4(F.col("roc_auc"), 3).alias("roc_auc"))
 
 
 # --------------------------------------------------------------------------- training with a champion

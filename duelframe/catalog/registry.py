@@ -35,13 +35,13 @@ def r6_sql(x: str) -> str:
     return f"floor(({x}) * 1e6 + 0.5001) / 1e6"
 
 
-def r4_sql(x: str) -> str:
-    return f"floor(({x}) * 1e4 + 0.5) / 1e4"
+def r4_sql(x: str, places: int = 4) -> str:
+    return f"floor(({x}) * 1e{places} + 0.5) / 1e{places}"
 
 
-def r4(x: Column) -> Column:
+def r4(x: Column, places: int = 4) -> Column:
     """Rounded to four places, for results of fits that stop at a tolerance."""
-    return F.floor(x * 1e4 + 0.5) / 1e4
+    return F.floor(x * 10.0**places + 0.5) / 10.0**places
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
