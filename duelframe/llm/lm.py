@@ -3,16 +3,18 @@
 N-grams are the arcs of an automaton whose states are contexts; a state without an arc for
 a token follows its failure arc to the shorter context and pays the backoff weight.
 
-``backoff_scores`` keeps every n-gram with a count of at least ``FLOOR``, whatever the size
-of the corpus. No worker sees the automaton whole: buckets of texts get the counts of the
-n-grams that occur in them, and take all positions left to right along the arcs these make,
-one round for each order.
+Every n-gram that occurs at least ``FLOOR`` times is an arc, whatever the size of the corpus.
+No worker sees the automaton whole. Texts lie in buckets of a fixed size, and a bucket needs
+only the part of the automaton that its own texts can reach. It learns that part in three
+rounds, each a shuffle by hash of what it asks and one of the answers:
 
-``fit_automaton`` and ``lm_scores`` are the bounded form, for a model that is sent to every
-executor: tokens with a count of at least N / HEAD (at most HEAD of them), and n-grams of
-frequent tokens with a count of at least N / ARCS (at most ARCS of each order). A token
-outside the head leads the automaton back to its root, and its unigram probability, which
-depends on its count alone, is added by a join on the token's 64-bit hash.
+1. the counts of its distinct tokens and bigrams;
+2. the counts of its trigrams whose two bigrams both reach the floor, as no other can;
+3. what the arcs of the contexts it fails from add up to, hence their backoff weights.
+
+Then it builds its states, arcs and failure arcs, and walks its texts once from left to right,
+carrying the state. Texts stay where they are: buckets and answers are stored as tables
+bucketed alike, so that joining them moves nothing.
 
 Probabilities are smoothed by absolute discounting and sum to one over the V known tokens
 and one unknown token in every state.
@@ -20,37 +22,31 @@ and one unknown token in every state.
 
 from __future__ import annotations
 
+import gc
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark import Broadcast, TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from duelframe.layout import c
 from duelframe.llm.texts import runs, small_batches, whole
-from duelframe.session import discard, materialised
+from duelframe.session import materialised, remove_folder, shared_folder
 
-HEAD = 1_000_000
-#: Tokens that may be part of a bigram, of a trigram: count at least N over this.
-IN_BIGRAM, IN_TRIGRAM = 50_000, 10_000
-ARCS = 500_000
 DISCOUNT = 0.6
-#: The scores over all n-grams: least count of an n-gram, the same at every size; bytes of texts in a bucket; tokens
-#: a shard answers for (it holds up to three n-grams of each); rows of cells that a worker is handed at once.
+#: Least count of an n-gram, the same at every size; bytes of texts in a bucket; tokens for which one shard answers (it
+#: holds at most two n-grams of each at a time); rows of cells that a worker is handed at once.
 FLOOR = 2
-BUCKET, SHARD, CELLS = 3 << 20, 1_500_000, 16
-#: Entries of a worker's table of token ids; emptied when full.
-REMEMBERED = 300_000
+BUCKET, SHARD, CELLS = 3 << 20, 2_000_000, 16
 #: The end of a text, which is also the context of its first word. No word contains white space.
 END = b"\n"
 
-_ROW, _SHIFT = 33, 20
+_ROW = 33
 
 
 def tokens(text: str) -> list[bytes]:
@@ -60,97 +56,6 @@ def tokens(text: str) -> list[bytes]:
     return out
 
 
-def token_hash(token: bytes) -> int:
-    h = xxhash.xxh64_intdigest(token)
-    return h - (1 << 64) if h >> 63 else h
-
-
-def token_counts(train: DataFrame, text: str = "text") -> DataFrame:
-    """(``h``, ``c``): occurrences of every token of all texts, by hash; added up within a batch before the shuffle."""
-
-    def count(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in rows:
-            seen: Counter[bytes] = Counter()
-            for t in pdf["_text"]:
-                seen.update(tokens(t))
-            yield pd.DataFrame({"h": np.fromiter(map(token_hash, seen), np.int64, len(seen)), "c": np.fromiter(seen.values(), np.int64, len(seen))})
-
-    return train.select(whole(text).alias("_text")).mapInPandas(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-
-
-@dataclass
-class Automaton:
-    """The head of the vocabulary and the arcs over it. Token ids are places in ``hashes``, most frequent first."""
-
-    total: int  # N
-    types: int  # V
-    hashes: np.ndarray
-    counts: np.ndarray
-    widest: int = 0  # ids from here on are in no n-gram
-    start: int = 0
-    arcs: dict[int, tuple[float, int]] = field(default_factory=dict)  # state << 20 | token -> (log10 p, next state)
-    enter: dict[int, int] = field(default_factory=dict)  # token -> its state
-    backoff: list[float] = field(default_factory=lambda: [0.0])
-    fail: list[int] = field(default_factory=lambda: [0])
-
-    def __post_init__(self) -> None:
-        self._reset()
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self._reset()
-
-    def _reset(self) -> None:
-        self._id = {h: i for i, h in enumerate(self.hashes.tolist())}
-        self._known: dict[bytes, int] = {}
-        # The last entry is for id -1, a token outside the head, whose unigram part is added elsewhere.
-        self._uni = [*(math.log10(unigram(n, self.total, self.types)) for n in self.counts.tolist()), 0.0]
-        self._base = [*(math.log10(base(n, self.total, self.types)) for n in self.counts.tolist()), 0.0]
-        self._enter = [self.enter.get(i, 0) for i in range(self.widest)]
-        self._to_root = [0.0] * len(self.backoff)  # states are numbered after the ones they fail to
-        for s in range(1, len(self.backoff)):
-            self._to_root[s] = self.backoff[s] + self._to_root[self.fail[s]]
-
-    def token_id(self, token: bytes) -> int:
-        """Id of a head token, -1 for any other."""
-        found = self._known.get(token)
-        if found is None:
-            if len(self._known) >= REMEMBERED:
-                self._known.clear()
-            found = self._known[token] = self._id.get(token_hash(token), -1)
-        return found
-
-    def ids(self, words: list[bytes]) -> list[int]:
-        known, fresh = self._known.get, self.token_id
-        return [i if (i := known(w)) is not None else fresh(w) for w in words]
-
-    def walk(self, ids: list[int]) -> tuple[float, float]:
-        """(score, base score) of a token sequence without the unigram part of tokens outside the head."""
-        arcs, enter, backoff, fail = self.arcs.get, self._enter, self.backoff, self.fail
-        uni, to_root, widest = self._uni, self._to_root, self.widest
-        state, score = self.start, 0.0
-        for w in ids:
-            if 0 <= w < widest:
-                while state:
-                    arc = arcs(state << _SHIFT | w)
-                    if arc is not None:
-                        score += arc[0]
-                        state = arc[1]
-                        break
-                    score += backoff[state]
-                    state = fail[state]
-                else:
-                    score += uni[w]
-                    state = enter[w]
-            else:
-                score += to_root[state] + uni[w]
-                state = 0
-        return score, sum(map(self._base.__getitem__, ids))
-
-
 def unigram(n, total: int, types: int):
     """Smoothed probability of a token that occurs ``n`` times among ``total`` of ``types`` kinds."""
     if not total:
@@ -162,158 +67,43 @@ def base(n, total: int, types: int):
     return (n + 1) / (total + 1 * (types + 1))
 
 
-def _gram_counts(train: DataFrame, text: str, model: Broadcast, widest: int, wide: int) -> DataFrame:
-    """(``order``, ``g``, ``n``) of bigrams of the first ``widest`` ids and trigrams of the first ``wide``, packed 20 bits an id."""
-
-    def count(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = model.value
-        for pdf in rows:
-            flat: list[int] = []
-            for t in pdf["_text"]:
-                flat += m.ids([END, *tokens(t)])
-                flat.append(-1)
-            a = np.array(flat, np.int64)
-            two = np.where((a >= 0) & (a < widest), a, -1)
-            three = np.where((a >= 0) & (a < wide), a, -1)
-            x, y = two[:-1], two[1:]
-            g2 = (x << _SHIFT | y)[(x >= 0) & (y >= 0)]
-            x, y, z = three[:-2], three[1:-1], three[2:]
-            g3 = (x << 2 * _SHIFT | y << _SHIFT | z)[(x >= 0) & (y >= 0) & (z >= 0)]
-            for order, g in ((2, g2), (3, g3)):
-                keys, n = np.unique(g, return_counts=True)
-                yield pd.DataFrame({"order": np.full(len(keys), order, np.int32), "g": keys, "n": n.astype(np.int64)})
-
-    rows = train.select(whole(text).alias("_text")).mapInPandas(count, "order int, g long, n long")
-    return rows.groupBy("order", "g").agg(F.sum("n").alias("n"))
-
-
-def fit_automaton(train: DataFrame, counts: DataFrame, text: str = "text") -> Automaton:
-    """Build the automaton from the training texts and their stored ``token_counts``. No texts give an empty one."""
-    total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    head = counts.where(F.col("c") >= math.ceil(total / HEAD)).toPandas() if total else pd.DataFrame({"h": [], "c": []}).astype("int64")
-    head = head.sort_values(["c", "h"], ascending=[False, True])
-    model = Automaton(total, types, head["h"].to_numpy(np.int64), head["c"].to_numpy(np.int64))
-    if not total:
-        return model
-    widest, wide = (int((model.counts >= total / share).sum()) for share in (IN_BIGRAM, IN_TRIGRAM))
-    model.widest = widest
-    sent = train.sparkSession.sparkContext.broadcast(model)
-    grams = _gram_counts(train, text, sent, widest, wide).where(F.col("n") >= max(2, math.ceil(total / ARCS))).toPandas()
-    _connect(model, grams)
-    return model
-
-
-def _connect(model: Automaton, grams: pd.DataFrame) -> None:
-    """Turn counted n-grams into states and arcs; ``model`` has its unigrams."""
-    mask = (1 << _SHIFT) - 1
-    end = model._id.get(token_hash(END), -1)
-    by_context: dict[int, dict[tuple[int, ...], list[tuple[int, int]]]] = {2: {}, 3: {}}
-    seen: dict[tuple[int, int], int] = {}
-    for order, g, n in sorted(grams.itertuples(index=False, name=None)):
-        words = tuple(g >> _SHIFT * (order - 1 - i) & mask for i in range(order))
-        if order == 2:
-            seen[words] = n
-        by_context[order].setdefault(words[:-1], []).append((words[-1], n))
-    states: dict[tuple[int, ...], int] = {(): 0}
-    for order in (2, 3):
-        for context in by_context[order]:
-            if order == 2 or context in seen:
-                states[context] = len(model.backoff)
-                model.backoff.append(0.0)
-                model.fail.append(states.get(context[1:], 0))
-
-    def state_of(words: tuple[int, ...]) -> int:
-        """The longest suffix that is a state; nothing follows an end but the start of a text."""
-        for i in range(len(words)):
-            if words[i:] in states:
-                return states[words[i:]]
-        return 0
-
-    def log_p(state: int, w: int) -> float:
-        out = 0.0
-        while state:
-            arc = model.arcs.get(state << _SHIFT | w)
-            if arc is not None:
-                return out + arc[0]
-            out += model.backoff[state]
-            state = model.fail[state]
-        return out + model._uni[w]
-
-    for order in (2, 3):
-        for context, following in by_context[order].items():
-            state = states.get(context)
-            if state is None:
-                continue
-            count = seen[context] if order == 3 else int(model.counts[context[0]])
-            taken = lower = 0.0
-            for w, n in following:
-                p = (n - DISCOUNT) / count
-                taken += p
-                lower += 10 ** log_p(model.fail[state], w)
-            new = {state << _SHIFT | w: (math.log10((n - DISCOUNT) / count), state_of((*context, w)[1 - order :])) for w, n in following}
-            model.arcs.update(new)
-            model.backoff[state] = math.log10(max(1 - taken, 1e-9) / max(1 - lower, 1e-9))
-    model.enter = {words[0]: s for words, s in states.items() if len(words) == 1 and words[0] != end}
-    model.start = states.get((end,), 0)
-    model._reset()
-
-
-def lm_scores(docs: DataFrame, model: Automaton, counts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` of every row.
-
-    A null text counts as empty and has one token, the end. Repeated rows are scored one by
-    one; a null key stays null; an empty table gives an empty result; with an empty training
-    corpus every token has probability one. Texts are walked whole; a task holds one batch.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def walk(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = sent.value
-        row = TaskContext.get().partitionId() << _ROW
-        for pdf in rows:
-            out = []
-            for k, t in zip(pdf["_k"], pdf["_text"]):
-                words = tokens(t)
-                ids = m.ids(words)
-                score, plain = m.walk(ids)
-                rest = Counter([w for w, i in zip(words, ids) if i < 0] if -1 in ids else ())
-                out.append((row, k, len(ids), len(ids) - rest.total(), plain, score, np.fromiter(map(token_hash, rest), np.int64, len(rest)), np.fromiter(rest.values(), np.int64, len(rest))))
-                row += 1
-            yield pd.DataFrame(out, columns=["_row", "_k", "n", "known", "base", "score", "rest", "times"])
+# --------------------------------------------------------------------------- the automaton
 
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(c(key).alias("_k"), whole(text).alias("_text"))
-    walked = materialised(
-        rows.mapInPandas(walk, f"_row long, _k {kind}, n long, known long, base double, score double, rest array<long>, times array<long>")
-    )
-    rest = walked.select("_row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("_row", F.col("x.rest").alias("h"), F.col("x.times").alias("times"))
-    total, types = model.total, model.types
-    n = F.coalesce("c", F.lit(0))
-    p = F.greatest(n - DISCOUNT, F.lit(0.0)) / total + DISCOUNT * types / total / (types + 1) if total else F.lit(1.0)
-    found = (
-        rest.join(counts, "h", "left")
-        .groupBy("_row")
-        .agg(
-            F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("known2"),
-            F.sum(F.col("times") * F.log10((n + 1) / F.lit(float(total + types + 1)))).alias("base2"),
-            F.sum(F.col("times") * F.log10(p)).alias("score2"),
-        )
-    )
-
-    def both(a: str, b: str) -> Column:
-        return F.col(a) + F.coalesce(b, F.lit(0))
 
-    return walked.drop("rest", "times").join(found, "_row", "left").select(
-        F.col("_k").alias(key),
-        F.col("n").alias("n_tokens"),
-        both("known", "known2").alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        both("base", "base2").alias("base_score"),
-        both("score", "score2").alias("score"),
-    )
+@dataclass
+class Automaton:
+    """States, arcs and failure arcs over token ids below ``width``. State 0 is the root, which has an arc for every token."""
+
+    width: int
+    arcs: dict[int, int]  # state * width + token -> arc
+    weight: list[float]  # of an arc: log10 probability
+    target: list[int]  # of an arc: next state
+    root: list[float]  # of a token: log10 probability at the root
+    enter: list[int]  # of a token: next state from the root
+    backoff: list[float]  # of a state: log10 weight of its failure arc
+    fail: list[int]  # of a state: where its failure arc leads
+
+    def walk(self, ids: list[int], state: int) -> float:
+        """log10 probability of a token sequence from ``state`` on, in one traversal."""
+        arc, width = self.arcs.get, self.width
+        weight, target, backoff, fail = self.weight, self.target, self.backoff, self.fail
+        score = 0.0
+        for w in ids:
+            while state:
+                a = arc(state * width + w)
+                if a is not None:
+                    score += weight[a]
+                    state = target[a]
+                    break
+                score += backoff[state]
+                state = fail[state]
+            else:
+                score += self.root[w]
+                state = self.enter[w]
+        return score
 
 
-# --------------------------------------------------------------------------- all n-grams
+# --------------------------------------------------------------------------- cells of numbers
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -326,6 +116,10 @@ def _of_order(x: np.ndarray, order: int) -> np.ndarray:
     return x & ~np.uint64(3) | np.uint64(order)
 
 
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return _of_order(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), 1)
+
+
 def _planes(values: np.ndarray) -> bytes:
     """Eight-byte values byte by byte, so that leading zeros lie together and compress."""
     return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes()
@@ -354,205 +148,340 @@ def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ordered[new], order[new], which
 
 
-def _cuts(keys: np.ndarray, shards: int) -> np.ndarray:
+def _cuts(keys: np.ndarray, shards: int) -> list[int]:
     """Where each shard begins in sorted keys, and the end."""
-    return np.searchsorted((keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32), np.arange(shards + 1).astype(np.uint64))
+    shard = (keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+    return np.searchsorted(shard, np.arange(shards + 1).astype(np.uint64)).tolist()
+
 
+def _log10(x: np.ndarray) -> np.ndarray:
+    return np.log10(x, out=np.zeros(len(x)), where=x > 0)
 
-_DONE = ("keys", "n", "known", "base", "score")
+
+def _questions(bucket: int, keys: np.ndarray, times: np.ndarray, shards: int) -> pd.DataFrame:
+    """A row for each shard that is asked for some of the ``keys``, which occur ``times`` times in training texts here."""
+    order = np.argsort(keys)
+    keys, times = keys[order], times[order]
+    cuts = _cuts(keys, shards)
+    out = [(s, bucket, _rising(keys[i:j]), _planes(times[i:j])) for s, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
+    return pd.DataFrame(out, columns=["shard", "bucket", "x", "y"])
+
+
+def _answers(keys: np.ndarray, told: list[bytes] | None) -> tuple[np.ndarray, np.ndarray]:
+    """For each key its count, and whether this bucket accounts for it."""
+    out = np.zeros(len(keys), np.int64)
+    if len(keys):
+        out[np.argsort(keys)] = np.concatenate([_values(cell) for cell in told])
+    return out >> 1, out & 1 == 1
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Answers of a shard: counts over all buckets, twice, plus one in a single bucket for each n-gram.
+
+    ``types`` adds up to the number of different tokens in training texts.
+    """
+    for g in runs(batches, ["shard"]):
+        keys = [_risen(k) for k in g["x"]]
+        found, place, which = _distinct(np.concatenate(keys))
+        n = np.bincount(which, np.concatenate([_values(t) for t in g["y"]]), len(found)).astype(np.int64)
+        out = n[which] * 2
+        out[place] += 1
+        types = np.zeros(len(keys), np.int64)
+        types[0] = np.count_nonzero((found & np.uint64(3) == 1) & (n > 0))
+        ends = np.cumsum([len(k) for k in keys])[:-1]
+        yield pd.DataFrame({"bucket": g["bucket"], "shard": g["shard"], "x": [_planes(cell) for cell in np.split(out, ends)], "types": types})
+
+
+def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Answers of a shard of contexts: three sums over the arcs of each context that a bucket wants, zeros without arcs."""
+    for g in runs(batches, ["shard"]):
+        keys, _, which = _distinct(np.concatenate([_risen(k) for k in g["x"]]))
+        parts = np.concatenate([_values(v).reshape(3, -1) for v in g["y"]], axis=1)
+        sums = np.zeros((3, len(keys) + 1), np.int64)
+        for row, part in zip(sums, parts):
+            row[: len(keys)] = np.bincount(which, part, len(keys))
+        buckets, cells = [], []
+        for b, cell in zip(g["bucket"].tolist(), g["wanted"]):
+            wanted = _risen(cell)
+            if not len(wanted):
+                continue
+            at = np.searchsorted(keys, wanted)
+            if len(keys):
+                at[keys[np.minimum(at, len(keys) - 1)] != wanted] = len(keys)
+            buckets.append(b)
+            cells.append(_planes(sums[:, at].reshape(-1)))
+        yield pd.DataFrame({"bucket": buckets, "shard": g["shard"][0], "x": cells, "types": 0})
+
+
+# --------------------------------------------------------------------------- buckets
 
 
 class _Bucket:
-    """The positions of some texts, one for each token, and the distinct n-grams that end there."""
-
-    def __init__(self, body: bytes, trained: list[bool]):
-        lines = [line.split() for line in zlib.decompress(body).split(b"\n")]
-        flat = [END]
-        for line in lines:
-            flat += line
-            flat.append(END)
-        table = {w: token_hash(w) for w in set(flat)}
-        h = _of_order(np.fromiter(map(table.__getitem__, flat), np.int64, len(flat)).view(np.uint64), 1)
-        lengths = np.array([len(line) + 1 for line in lines])
-        self.starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        self.lengths, self.text = lengths, np.repeat(np.arange(len(lengths)), lengths)
-        # The end of a text is also what comes before the next one, so the token before a position is its context.
-        self.one, before = h[1:], h[:-1]
-        self.end = _of_order(np.array([token_hash(END)], np.int64).view(np.uint64), 1)[0]
-        self.two = _of_order(_mixed(before * np.uint64(0x9E3779B97F4A7C15) + self.one), 2)
-        deep = np.ones(len(self.one), bool)
+    """The positions of some texts, one for each token, and the distinct n-grams that end there.
+
+    Tokens have local ids, in order of their hashes. A pair is a bigram, a triple a trigram; the
+    end of a text is what comes before the next one, and no triple crosses it.
+    """
+
+    def __init__(self, vocabulary: bytes, ids: bytes, lengths: np.ndarray, trained: np.ndarray):
+        self.h = _risen(vocabulary)
+        self.ids = np.ascontiguousarray(np.frombuffer(zlib.decompress(ids), np.uint8).reshape(4, -1).T).view(np.int32).reshape(-1).astype(np.int64)
+        self.lengths = np.asarray(lengths, np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.end = int(np.searchsorted(self.h, _hashes([END])[0]))
+        self.width = len(self.h)
+        self.before = np.concatenate(([self.end], self.ids[:-1]))
+        pairs, _, self.pair = _distinct(self.before * self.width + self.ids)
+        self.first, self.second = np.divmod(pairs, self.width)
+        self.h2 = _of_order(_mixed(self.h[self.first] * np.uint64(0x9E3779B97F4A7C15) + self.h[self.second]), 2)
+        self.times = np.repeat(np.asarray(trained, bool), self.lengths).astype(np.float64)
+
+    def find_triples(self) -> None:
+        deep = np.ones(len(self.ids), bool)
         deep[self.starts] = False
-        self.deep = np.flatnonzero(deep)  # positions with two tokens before them; position - 1 is of the same text
-        three = _of_order(_mixed(self.two[self.deep - 1] * np.uint64(0xC2B2AE3D27D4EB4F) + self.one[self.deep]), 3)
-        self.before = before
-        self.keys, self.place, which = _distinct(np.concatenate((self.one, self.two, three)))
-        n = len(self.one)
-        self.which = which[:n], which[n : 2 * n], which[2 * n :]
-        weight = np.array(trained, np.float64)[self.text]
-        self.times = np.bincount(which, np.concatenate((weight, weight, weight[self.deep])), len(self.keys)).astype(np.int64)
+        self.deep = np.flatnonzero(deep)  # positions with two tokens before them
+        found, place, self.triple = _distinct(self.pair[self.deep - 1] * self.width + self.ids[self.deep])
+        self.context, last = np.divmod(found, self.width)
+        self.lower = self.pair[self.deep[place]]  # the pair that a triple ends in
+        self.h3 = _of_order(_mixed(self.h2[self.context] * np.uint64(0xC2B2AE3D27D4EB4F) + self.h[last]), 3)
+        self.last = last
+
+    def ask_pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        one = np.bincount(self.ids, self.times, self.width)
+        two = np.bincount(self.pair, self.times, len(self.h2))
+        return np.concatenate((self.h, self.h2)), np.concatenate((one, two)).astype(np.int64)
+
+    def hear_pairs(self, told: list[bytes]) -> None:
+        n, mine = _answers(np.concatenate((self.h, self.h2)), told)
+        self.n1, self.n2, self.mine2 = n[: self.width], n[self.width :], mine[self.width :]
+
+    def ask_triples(self) -> tuple[np.ndarray, np.ndarray]:
+        """Triples whose two pairs reach the floor; no other can."""
+        self.find_triples()
+        self.open = np.flatnonzero((self.n2[self.context] >= FLOOR) & (self.n2[self.lower] >= FLOOR))
+        times = np.bincount(self.triple, self.times[self.deep], len(self.h3))
+        return self.h3[self.open], times[self.open].astype(np.int64)
+
+    def hear_triples(self, told: list[bytes] | None) -> None:
+        self.n3, self.mine3 = np.zeros(len(self.h3), np.int64), np.zeros(len(self.h3), bool)
+        self.n3[self.open], self.mine3[self.open] = _answers(self.h3[self.open], told)
+
+    def find_failures(self) -> None:
+        """Contexts that some position fails from: pairs, then tokens. Those below the floor are no states."""
+        missed = np.ones(len(self.ids), bool)
+        missed[self.deep] = self.n3[self.triple] < FLOOR
+        from_pair = self.pair[self.deep - 1][missed[self.deep]]
+        from_token = self.before[missed & (self.n2[self.pair] < FLOOR)]
+        two, one = (np.flatnonzero(np.bincount(x, minlength=len(n)) * (n >= FLOOR)) for x, n in ((from_pair, self.n2), (from_token, self.n1)))
+        self.failing, self.wanted = (two, one), np.concatenate((self.h2[two], self.h[one]))
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray]:
+        """Contexts of the arcs this bucket accounts for, sorted, with the sums of counts, of lower counts, and the number of arcs."""
+        keys, found = [], []
+        pairs, triples = np.flatnonzero(self.mine2 & (self.n2 >= FLOOR)), np.flatnonzero(self.mine3 & (self.n3 >= FLOOR))
+        for h, context, n, low in (
+            (self.h, self.first[pairs], self.n2[pairs], self.n1[self.second[pairs]]),
+            (self.h2, self.context[triples], self.n3[triples], self.n2[self.lower[triples]]),
+        ):
+            arcs = np.bincount(context, minlength=len(h))
+            some = np.flatnonzero(arcs)
+            keys.append(h[some])
+            found.append([np.bincount(context, x, len(h))[some].astype(np.int64) for x in (n, low)] + [arcs[some]])
+        key = np.concatenate(keys)
+        order = np.argsort(key)
+        return key[order], np.concatenate(found, axis=1)[:, order]
+
+    def automaton(self, told: list[bytes] | None, total: int, types: int) -> Automaton:
+        """The part of the automaton that these texts reach. States: the root, a token each, a pair each."""
+        two, one = self.failing
+        sums = np.zeros((3, len(self.wanted)))
+        if len(self.wanted):
+            sums[:, np.argsort(self.wanted)] = np.concatenate([_values(x).reshape(3, -1) for x in told], axis=1)
+        n, low, arcs = sums
+        rest = DISCOUNT * types / total / (types + 1) if total else 0.0
+        k = len(two)
+        taken = (n - DISCOUNT * arcs) / np.concatenate((self.n2[two], self.n1[one]))
+        low -= DISCOUNT * arcs
+        low[:k] /= self.n1[self.second[two]]
+        low[k:] = low[k:] / max(total, 1) + arcs[k:] * rest
+        backoff = np.zeros(1 + self.width + len(self.h2))
+        backoff[np.concatenate((1 + self.width + two, 1 + one))] = np.log10(np.maximum(1 - taken, 1e-9) / np.maximum(1 - low, 1e-9))
+
+        n1 = self.n1.astype(np.float64)
+        root = np.maximum(n1 - DISCOUNT, 0.0) / total + rest if total else np.ones(self.width)
+        enter = np.where(self.n1 >= FLOOR, np.arange(1, self.width + 1), 0)
+        pairs, triples = np.flatnonzero(self.n2 >= FLOOR), np.flatnonzero(self.n3 >= FLOOR)
+        keys = np.concatenate(((1 + self.first[pairs]) * self.width + self.second[pairs], (1 + self.width + self.context[triples]) * self.width + self.last[triples]))
+        p = np.concatenate(((self.n2[pairs] - DISCOUNT) / n1[self.first[pairs]], (self.n3[triples] - DISCOUNT) / self.n2[self.context[triples]]))
+        return Automaton(
+            width=self.width,
+            arcs=dict(zip(keys.tolist(), range(len(keys)))),
+            weight=_log10(p).tolist(),
+            target=(1 + self.width + np.concatenate((pairs, self.lower[triples]))).tolist(),
+            root=_log10(root).tolist(),
+            enter=enter.tolist(),
+            backoff=backoff.tolist(),
+            fail=np.concatenate((np.zeros(1 + self.width, np.int64), enter[self.second])).tolist(),
+        )
 
 
 def _in_buckets(rows: DataFrame, kind: str, size: int) -> DataFrame:
-    """Tokens of about ``size`` bytes of texts in a row, with their keys; texts are whole."""
+    """Tokens of about ``size`` bytes of texts in a row, as local ids, with their keys; texts are whole."""
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bucket = TaskContext.get().partitionId() << _ROW
-        keys, trained, lines, held, n = [], [], [], 0, 0
+        keys, trained, lengths, flat, held = [], [], [], [], 0
 
         def full() -> pd.DataFrame:
-            body = zlib.compress(b"\n".join(lines), 1)
-            return pd.DataFrame({"bucket": [bucket], "keys": [keys], "trained": [trained], "body": [body], "n": [n]})
+            words = list(dict.fromkeys(flat))
+            h = _hashes(words)
+            order = np.argsort(h)
+            rank = np.empty(len(words), np.int32)
+            rank[order] = np.arange(len(words), dtype=np.int32)
+            ids = np.fromiter(map(dict(zip(words, rank.tolist())).__getitem__, flat), np.int32, len(flat))
+            packed = zlib.compress(np.ascontiguousarray(ids.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+            own = sum(n for n, t in zip(lengths, trained) if t)
+            row = {"bucket": [bucket], "keys": [keys], "trained": [trained], "lengths": [lengths], "h": [_rising(h[order])], "ids": [packed]}
+            return pd.DataFrame(row | {"n": [len(flat)], "own": [own]})
 
         for pdf in batches:
             for k, t, own in zip(pdf["_k"], pdf["_text"], pdf["_train"]):
                 words = tokens(t)
                 keys.append(k)
                 trained.append(bool(own))
-                lines.append(b" ".join(words[:-1]))
-                held += len(lines[-1])
-                n += len(words)
+                lengths.append(len(words))
+                flat += words
+                held += len(t)
                 if held >= size:
                     yield full()
                     bucket += 1
-                    keys, trained, lines, held, n = [], [], [], 0, 0
+                    keys, trained, lengths, flat, held = [], [], [], [], 0
         if keys:
             yield full()
 
-    return materialised(rows.mapInPandas(fill, f"bucket long, keys array<{kind}>, trained array<boolean>, body binary, n long"))
+    return rows.mapInPandas(fill, f"bucket long, keys array<{kind}>, trained array<boolean>, lengths array<long>, h binary, ids binary, n long, own long")
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each bucket the counts of its n-grams in all buckets, twice, plus one in a single bucket for each n-gram."""
-    for g in runs(batches, ["shard"]):
-        keys = [_risen(k) for k in g["x"]]
-        _, place, which = _distinct(np.concatenate(keys))
-        n = np.bincount(which, np.concatenate([_values(t) for t in g["y"]])).astype(np.int64)
-        out = n[which] * 2
-        out[place] += 1
-        ends = np.cumsum([len(k) for k in keys])[:-1]
-        yield pd.DataFrame({"bucket": g["bucket"], "shard": g["shard"], "x": [_planes(cell) for cell in np.split(out, ends)]})
+class _Tables:
+    """Tables with a row for each bucket, bucketed alike in the shared folder, so that joins of them shuffle nothing.
 
+    Leaving the context drops them and deletes their files.
+    """
 
-def _log10(x: np.ndarray) -> np.ndarray:
-    return np.log10(x, out=np.zeros(len(x)), where=x > 0)
+    def __init__(self, spark: SparkSession):
+        self.spark, self.parts = spark, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
+        self.made: dict[str, str] = {}
 
+    def __enter__(self) -> _Tables:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for name, folder in self.made.items():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove_folder(self.spark, folder)
+
+    def store(self, df: DataFrame) -> DataFrame:
+        folder = shared_folder(self.spark)
+        name = folder.rsplit("/", 1)[1].replace("-", "_")
+        self.made[name] = folder
+        df.write.bucketBy(self.parts, "bucket").format("parquet").option("path", folder).saveAsTable(name)
+        return self.spark.table(name)
+
+    def by_bucket(self, df: DataFrame) -> DataFrame:
+        return df.repartition(self.parts, "bucket")
+
+    def answers(self, df: DataFrame, name: str) -> DataFrame:
+        """All answers to a bucket in one row, in order of the shards."""
+        cells = F.transform(F.array_sort(F.collect_list(F.struct("shard", "x"))), lambda s: s["x"])
+        return self.store(self.by_bucket(df).groupBy("bucket").agg(cells.alias(name), F.sum("types").alias("types_" + name)))
 
-def _weighed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Log backoff weights of all contexts of a shard, added up for each text that pays them. Other rows go through."""
-    for g in runs(batches, ["shard"]):
-        if g["shard"][0] < 0:
-            yield pd.DataFrame({n: g[n] for n in ("bucket", "text", *_DONE)} | {"paid": None})
-            continue
-        contexts, _, which = _distinct(np.concatenate([_risen(k) for k in g["x"]]))
-        taken = np.bincount(which, np.concatenate([_values(v, np.float64) for v in g["y"]]), len(contexts))
-        lower = np.bincount(which, np.concatenate([_values(v, np.float64) for v in g["z"]]), len(contexts))
-        weight = np.append(np.log10(np.maximum(1 - taken, 1e-9) / np.maximum(1 - lower, 1e-9)), 0.0)
-        out = []
-        for b, wanted, text in zip(g["bucket"].tolist(), g["wanted"], g["text"]):
-            wanted, text = _risen(wanted), _values(text)
-            if not len(wanted) or not len(contexts):
-                continue
-            at = np.searchsorted(contexts, wanted)
-            at[contexts[np.minimum(at, len(contexts) - 1)] != wanted] = len(contexts)
-            paid, back = np.unique(text, return_inverse=True)
-            out.append((b, _planes(paid), _planes(np.bincount(back, weight[at]))))
-        yield pd.DataFrame(out, columns=["bucket", "text", "paid"]).assign(**dict.fromkeys(_DONE))
 
+def _swept(spark: SparkSession) -> None:
+    """Drop what nothing refers to any more, so that Spark deletes the shuffle files of a round that is written."""
+    gc.collect()
+    spark._jvm.System.gc()
 
-def backoff_scores(docs: DataFrame, in_train: Column, counts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The columns of ``lm_scores``, with every n-gram that occurs ``FLOOR`` times in the texts where ``in_train`` holds.
 
-    ``counts`` are the stored ``token_counts`` of those texts. Texts lie in buckets and n-grams in
-    shards by hash; both are of a fixed size and grow in number. A bucket asks each shard once for
-    the counts of its distinct n-grams, walks its texts over the arcs it reaches, and hands on the
-    contexts it failed from and its part of their backoff weights; the shards of contexts add up
-    the weights and send each text what it pays. Nulls and empty tables are as in ``lm_scores``.
+def backoff_scores(docs: DataFrame, in_train: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` of every row, by a model of the
+    texts where ``in_train`` holds.
+
+    A null text counts as empty and has one token, the end. Repeated rows are scored one by one; a null key stays
+    null; an empty table gives an empty result; with an empty training corpus every token has probability one.
+    Extra columns are ignored. Texts are walked whole: a very long one is a bucket of its own, and a task holds one
+    bucket and one shard. Buckets and shards are of a fixed size and grow in number.
     """
+    spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
-    total, types = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     rows = docs.select(c(key).alias("_k"), whole(text).alias("_text"), F.coalesce(in_train, F.lit(False)).alias("_train"))
-    buckets = _in_buckets(rows, kind, BUCKET)
-    n_tokens = buckets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    shards = max(1, math.ceil(n_tokens / SHARD))
-    floor = FLOOR
-
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for b, body, trained in zip(pdf["bucket"], pdf["body"], pdf["trained"]):
-                m = _Bucket(body, trained)
-                cuts = _cuts(m.keys, shards).tolist()
-                out = [(s, b, _rising(m.keys[i:j]), _planes(m.times[i:j])) for s, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j]
-                yield pd.DataFrame(out, columns=["shard", "bucket", "x", "y"])
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in runs(batches, ["bucket"]):
-            b, own = g["bucket"][0], np.flatnonzero(g["shard"] < 0)[0]
-            m = _Bucket(g["body"][own], g["trained"][own])
-            told = np.concatenate([_values(g["x"][i]) for i in np.argsort(g["shard"]) if g["shard"][i] >= 0])
-            n = (told >> 1).astype(np.float64)
-            n1, n2 = n[m.which[0]], n[m.which[1]]
-            at_end = n[np.searchsorted(m.keys, m.end)]
-            before1 = np.concatenate(([at_end], n1[:-1]))
-            n3, before2 = np.zeros(len(n1)), np.zeros(len(n1))
-            n3[m.deep], before2[m.deep] = n[m.which[2]], n2[m.deep - 1]
-            uni = np.maximum(n1 - DISCOUNT, 0.0) / total + DISCOUNT * types / total / (types + 1) if total else np.ones(len(n1))
-            has2, has3 = n2 >= floor, n3 >= floor
-            p2 = np.divide(n2 - DISCOUNT, before1, out=np.zeros(len(n1)), where=has2)
-            p3 = np.divide(n3 - DISCOUNT, before2, out=np.zeros(len(n1)), where=has3)
-            score = np.add.reduceat(_log10(np.where(has3, p3, np.where(has2, p2, uni))), m.starts)
-            plain = np.add.reduceat(_log10((n1 + 1) / (total + types + 1)), m.starts)
-            known = np.add.reduceat((n1 > 0).astype(np.int64), m.starts)
-            done = {"keys": [g["keys"][own]], "n": [m.lengths.tolist()], "known": [known.tolist()], "base": [plain.tolist()], "score": [score.tolist()]}
-            yield pd.DataFrame({"shard": [-1 - b], "bucket": [b], **dict.fromkeys(["x", "y", "z", "wanted", "text"]), **done})
-            # Failed contexts: of two tokens, then of one. Contexts below the floor have no arcs and cost nothing.
-            fail2 = ~has3 & (before2 >= floor)
-            fail1 = ~has3 & ~has2 & (before1 >= floor)
-            two_before = np.concatenate((m.two[:1], m.two[:-1]))
-            wanted = np.concatenate((two_before[fail2], m.before[fail1]))
-            payer = np.concatenate((m.text[fail2], m.text[fail1])).astype(np.int64)
-            order = np.argsort(wanted, kind="stable")
-            wanted, payer = wanted[order], payer[order]
-            # Arcs that this bucket accounts for, each at one position where it occurs.
-            mine = m.place[(told & 1 == 1) & (n >= floor)]
-            size = len(n1)
-            at2 = mine[(mine >= size) & (mine < 2 * size)] - size
-            at3 = m.deep[mine[mine >= 2 * size] - 2 * size]
-            context, _, back = _distinct(np.concatenate((m.before[at2], two_before[at3])))
-            taken = np.bincount(back, np.concatenate((p2[at2], p3[at3])), len(context))
-            lower = np.bincount(back, np.concatenate((uni[at2], p2[at3])), len(context))
-            ca, cw = _cuts(context, shards).tolist(), _cuts(wanted, shards).tolist()
-            out = [
-                (s, b, _rising(context[i:j]), _planes(taken[i:j]), _planes(lower[i:j]), _rising(wanted[k:l]), _planes(payer[k:l]))
-                for s, (i, j, k, l) in enumerate(zip(ca, ca[1:], cw, cw[1:]))
-                if i < j or k < l
-            ]
-            yield pd.DataFrame(out, columns=["shard", "bucket", "x", "y", "z", "wanted", "text"]).assign(**dict.fromkeys(done))
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in runs(batches, ["bucket"]):
-            own = next(i for i, k in enumerate(g["keys"]) if k is not None)
-            score = np.array(g["score"][own])
-            for t, paid in zip(g["text"], g["paid"]):
-                if t is not None:
-                    score[_values(t)] += _values(paid, np.float64)
-            out = {"_k": list(g["keys"][own]), "n": g["n"][own], "known": g["known"][own], "base": g["base"][own], "score": score}
-            yield pd.DataFrame(out)
-
-    def together(df: DataFrame, name: str) -> DataFrame:
-        return df.repartition(name).sortWithinPartitions(name)
-
-    cells = "keys array<{0}>, n array<long>, known array<long>, base array<double>, score array<double>".format(kind)
-    with small_batches(docs.sparkSession, CELLS):
-        asked = buckets.select("bucket", "body", "trained").mapInPandas(ask, "shard long, bucket long, x binary, y binary")
-        told = together(asked, "shard").mapInPandas(_counted, "bucket long, shard long, x binary")
-        own = buckets.select("bucket", F.lit(-1).cast("long").alias("shard"), "keys", "trained", "body")
-        walked = together(told.unionByName(own, allowMissingColumns=True), "bucket").mapInPandas(
-            walk, f"shard long, bucket long, x binary, y binary, z binary, wanted binary, text binary, {cells}"
-        )
-        # The done part of a bucket has a shard number of its own, below zero.
-        whole_texts = together(together(walked, "shard").mapInPandas(_weighed, f"bucket long, text binary, paid binary, {cells}"), "bucket")
-        found = materialised(whole_texts.mapInPandas(add, f"_k {kind}, n long, known long, base double, score double"))
-    discard(buckets)
+    with _Tables(spark) as tables, small_batches(spark, CELLS):
+        with small_batches(spark, 1_000):
+            buckets = tables.store(tables.by_bucket(_in_buckets(rows, kind, BUCKET)))
+        n_tokens, total = buckets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("own"), F.lit(0))).first()
+        shards = max(1, math.ceil(n_tokens / SHARD))
+        texts = buckets.select("bucket", "h", "ids", "lengths", "trained")
+
+        def opened(pdf: pd.DataFrame) -> Iterator[tuple[dict, _Bucket]]:
+            for r in pdf.to_dict("records"):
+                yield r, _Bucket(r["h"], r["ids"], r["lengths"], r["trained"])
+
+        def ask_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for r, m in opened(pdf):
+                    yield _questions(r["bucket"], *m.ask_pairs(), shards)
+
+        def ask_triples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for r, m in opened(pdf):
+                    m.hear_pairs(r["pairs"])
+                    yield _questions(r["bucket"], *m.ask_triples(), shards)
+
+        def heard(pdf: pd.DataFrame) -> Iterator[tuple[dict, _Bucket]]:
+            for r, m in opened(pdf):
+                m.hear_pairs(r["pairs"])
+                m.ask_triples()
+                m.hear_triples(r["triples"])
+                m.find_failures()
+                yield r, m
+
+        def ask_contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for r, m in heard(pdf):
+                    (keys, sums), wanted = m.sums(), np.sort(m.wanted)
+                    a, w = _cuts(keys, shards), _cuts(wanted, shards)
+                    out = [
+                        (s, r["bucket"], _rising(keys[i:j]), _planes(sums[:, i:j].reshape(-1)), _rising(wanted[k:l]))
+                        for s, (i, j, k, l) in enumerate(zip(a, a[1:], w, w[1:]))
+                        if i < j or k < l
+                    ]
+                    yield pd.DataFrame(out, columns=["shard", "bucket", "x", "y", "wanted"])
+
+        def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for r, m in heard(pdf):
+                    model = m.automaton(r["contexts"], total, types)
+                    start, ids = model.enter[m.end], m.ids.tolist()
+                    score = [model.walk(ids[i : i + n], start) for i, n in zip(m.starts.tolist(), m.lengths.tolist())]
+                    n1 = m.n1[m.ids]
+                    plain = np.add.reduceat(np.log10((n1 + 1) / (total + types + 1)), m.starts)
+                    known = np.add.reduceat((n1 > 0).astype(np.int64), m.starts)
+                    yield pd.DataFrame({"_k": list(r["keys"]), "n": m.lengths, "known": known, "base": plain, "score": score})
+
+        def by_shard(df: DataFrame) -> DataFrame:
+            return df.repartition("shard").sortWithinPartitions("shard")
+
+        asked, told = "shard long, bucket long, x binary, y binary", "bucket long, shard long, x binary, types long"
+        pairs = tables.answers(by_shard(texts.mapInPandas(ask_pairs, asked)).mapInPandas(_counted, told), "pairs")
+        types = pairs.agg(F.coalesce(F.sum("types_pairs"), F.lit(0))).first()[0]
+        _swept(spark)
+        texts = texts.join(pairs.drop("types_pairs"), "bucket", "left")
+        triples = tables.answers(by_shard(texts.mapInPandas(ask_triples, asked)).mapInPandas(_counted, told), "triples")
+        _swept(spark)
+        texts = texts.join(triples.drop("types_triples"), "bucket", "left")
+        contexts = tables.answers(by_shard(texts.mapInPandas(ask_contexts, asked + ", wanted binary")).mapInPandas(_summed, told), "contexts")
+        _swept(spark)
+        texts = texts.join(contexts.drop("types_contexts"), "bucket", "left").join(buckets.select("bucket", "keys"), "bucket")
+        found = materialised(texts.mapInPandas(walk, f"_k {kind}, n long, known long, base double, score double"))
     return found.select(
         F.col("_k").alias(key),
         F.col("n").alias("n_tokens"),

@@ -155,8 +155,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     in_train = remainder("doc_id", 7) != 2
-    counts = materialised(lm.token_counts(docs.where(in_train)))
-    scored = lm.backoff_scores(docs, in_train, counts)
+    scored = lm.backoff_scores(docs, in_train)
     return scored.withColumn("held_out", remainder("doc_id", 7) == 2)
 
 

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
@@ -222,60 +223,43 @@ def test_gear_hash_is_the_sequential_one():
 # --------------------------------------------------------------------------- 6
 
 
-def test_language_model(corpus, monkeypatch):
-    docs, rows = corpus
-    for name, value in (("HEAD", 300), ("IN_BIGRAM", 200), ("IN_TRIGRAM", 150), ("ARCS", 10_000)):
-        monkeypatch.setattr(lm, name, value)
-    train = docs.where(texts.remainder("doc_id", 7) != 2)
-    counts = materialised(lm.token_counts(train))
-    model = lm.fit_automaton(train, counts)
-    assert model.arcs and len(model.hashes) < model.types
-    seen = Counter()
-    for i, t in rows:
-        if zlib.crc32(str(i).encode()) % 7 != 2:
-            seen.update([*words_of((t or "").lower()), "\n"])
-    total, types = seen.total(), len(seen)
-    by_id = dict(rows)
-
-    def walked(words):
-        """The automaton word by word, with unigrams of all tokens."""
-        state, out = model.start, 0.0
-        for w in words:
-            i = model.token_id(w.encode())
-            while state and (i < 0 or state << 20 | i not in model.arcs):
-                out += model.backoff[state]
-                state = model.fail[state]
-            if state:
-                p, state = model.arcs[state << 20 | i]
-                out += p
-            else:
-                out += math.log10(lm.unigram(seen[w], total, types))
-                state = model.enter.get(i, 0)
-        return out
-
-    for r in lm.lm_scores(docs, model, counts).collect():
-        w = [*words_of((by_id[r["doc_id"]] or "").lower()), "\n"]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(seen[x] > 0 for x in w), total)
-        assert r["base_score"] == pytest.approx(sum(math.log10((seen[x] + 1) / (total + types + 1)) for x in w))
-        assert r["score"] == pytest.approx(walked(w))
-    # In every state the probabilities of all known tokens and of one unknown token add up to one.
-    for state in random.Random(0).sample(range(len(model.backoff)), 12):
-        mass = 0.0
-        for token in [*seen, None]:
-            i, s, p = (model.token_id(token.encode()) if token else -1), state, 0.0
-            while s and (i < 0 or s << 20 | i not in model.arcs):
-                p += model.backoff[s]
-                s = model.fail[s]
-            mass += 10 ** (p + (model.arcs[s << 20 | i][0] if s else math.log10(lm.unigram(seen[token] if token else 0, total, types))))
-        assert mass == pytest.approx(1)
+def test_probabilities_of_every_state_add_up_to_one(corpus):
+    """The whole automaton of one bucket, whose questions are answered without Spark."""
+    lists = [lm.tokens(t or "") for _, t in corpus[1]]
+    flat = [w for words in lists for w in words]
+    words = sorted(set(flat), key=lambda w: lm._hashes([w])[0])
+    place = {w: i for i, w in enumerate(words)}
+    ids = np.array([place[w] for w in flat], np.int32)
+    packed = zlib.compress(np.ascontiguousarray(ids.view(np.uint8).reshape(-1, 4).T).tobytes())
+    m = lm._Bucket(lm._rising(lm._hashes(words)), packed, [len(x) for x in lists], [True] * len(lists))
+
+    def answers(keys, times):
+        return [cell for pdf in lm._counted(iter([lm._questions(0, keys, times, 1)])) for cell in pdf["x"]]
+
+    m.hear_pairs(answers(*m.ask_pairs()))
+    m.hear_triples(answers(*m.ask_triples()))
+    two, one = np.flatnonzero(m.n2 >= lm.FLOOR), np.flatnonzero(m.n1 >= lm.FLOOR)
+    m.failing, m.wanted = (two, one), np.concatenate((m.h2[two], m.h[one]))
+    keys, sums = m.sums()
+    question = pd.DataFrame({"shard": [0], "bucket": [0], "x": [lm._rising(keys)], "y": [lm._planes(sums.reshape(-1))], "wanted": [lm._rising(np.sort(m.wanted))]})
+    model = m.automaton([next(lm._summed(iter([question])))["x"][0]], len(flat), len(words))
+    unknown = math.log10(lm.unigram(0, len(flat), len(words)))
+    model.root.append(unknown)  # an id that no arc has
+    model.enter.append(0)
+    states = {0, *model.target, *model.enter}
+    assert len(model.arcs) == len(two) + np.count_nonzero(m.n3 >= lm.FLOOR) and len(states) == 1 + len(two) + len(one)
+    for state in random.Random(0).sample(sorted(states), 12):
+        s, rest = state, unknown
+        while s:
+            rest += model.backoff[s]
+            s = model.fail[s]
+        assert sum(10 ** model.walk([w], state) for w in range(len(words))) + 10**rest == pytest.approx(1)
 
 
 @pytest.mark.parametrize("small", [False, True])
 def test_every_repeated_ngram_counts(spark, corpus, monkeypatch, tmp_path, small):
-    """The query against a model that holds all n-grams, with bounds that leave a bounded automaton without arcs."""
+    """The query against a model that holds all n-grams."""
     docs, rows = corpus
-    for name, value in (("IN_BIGRAM", 5), ("IN_TRIGRAM", 5), ("ARCS", 5)):
-        monkeypatch.setattr(lm, name, value)
     if small:
         monkeypatch.setattr(lm, "BUCKET", 2_000)
         monkeypatch.setattr(lm, "SHARD", 700)
