@@ -40,9 +40,9 @@ from duelframe.session import materialised, remove_folder, shared_folder
 
 DISCOUNT = 0.6
 #: Least count of an n-gram, the same at every size; bytes of texts in a bucket; tokens for which one shard answers (it
-#: holds at most two n-grams of each at a time); rows of cells that a worker is handed at once.
+#: holds at most two n-grams of each at a time); rows of cells, and bytes of them, that a worker is handed at once.
 FLOOR = 2
-BUCKET, SHARD, CELLS = 3 << 20, 2_000_000, 16
+BUCKET, SHARD, CELLS, AT_ONCE = 3 << 20, 2_000_000, 16, 4 << 20
 #: The end of a text, which is also the context of its first word. No word contains white space.
 END = b"\n"
 
@@ -121,12 +121,16 @@ def _hashes(words: list[bytes]) -> np.ndarray:
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """Eight-byte values byte by byte, so that leading zeros lie together and compress."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Whole numbers byte by byte, so that like bytes lie together and compress; as many bytes as the largest takes, which come first."""
+    width = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
+    return bytes([width]) + np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
 def _values(cell: bytes, kind=np.int64) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(cell, np.uint8).reshape(8, -1).T).view(kind).reshape(-1)
+    planes = np.frombuffer(cell, np.uint8, offset=1).reshape(cell[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : cell[0]] = planes.T
+    return out.view(kind).reshape(-1)
 
 
 def _rising(keys: np.ndarray) -> bytes:
@@ -414,7 +418,7 @@ def backoff_scores(docs: DataFrame, in_train: Column, key: str = "doc_id", text:
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(c(key).alias("_k"), whole(text).alias("_text"), F.coalesce(in_train, F.lit(False)).alias("_train"))
-    with _Tables(spark) as tables, small_batches(spark, CELLS):
+    with _Tables(spark) as tables, small_batches(spark, CELLS, AT_ONCE):
         with small_batches(spark, 1_000):
             buckets = tables.store(tables.by_bucket(_in_buckets(rows, kind, BUCKET)))
         n_tokens, total = buckets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("own"), F.lit(0))).first()

@@ -44,20 +44,23 @@ def unboxed(df: DataFrame, columns: list[str], name: str = "_doc") -> DataFrame:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
-    """Hand at most ``rows`` rows to a Python worker at once while tables are written inside; the setting is put back after.
+def small_batches(spark: SparkSession, rows: int = 1_000, size: int | None = None) -> Iterator[None]:
+    """Hand at most ``rows`` rows, and about ``size`` bytes of them, to a Python worker at once while tables are written
+    inside; the settings are put back after.
 
     Rows that carry shingle sets or whole texts are large, and a batch is held more than once while it is converted.
     The setting is the session's: jobs of other threads see it meanwhile, which changes their batches and not their
     results. Frames that are returned unwritten run without it.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {name: spark.conf.get(name) for name, most in limits.items() if most is not None}
+    for name, old in before.items():
+        spark.conf.set(name, str(min(limits[name], int(old)) if old.isdigit() and int(old) > 0 else limits[name]))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, old in before.items():
+            spark.conf.set(name, old)
 
 
 def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
