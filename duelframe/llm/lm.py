@@ -25,7 +25,8 @@ from __future__ import annotations
 import gc
 import math
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -76,12 +77,12 @@ class Automaton:
 
     width: int
     arcs: dict[int, int]  # state * width + token -> arc
-    weight: list[float]  # of an arc: log10 probability
-    target: list[int]  # of an arc: next state
-    root: list[float]  # of a token: log10 probability at the root
-    enter: list[int]  # of a token: next state from the root
-    backoff: list[float]  # of a state: log10 weight of its failure arc
-    fail: list[int]  # of a state: where its failure arc leads
+    weight: array[float]  # of an arc: log10 probability
+    target: array[int]  # of an arc: next state
+    root: array[float]  # of a token: log10 probability at the root
+    enter: array[int]  # of a token: next state from the root
+    backoff: array[float]  # of a state: log10 weight of its failure arc
+    fail: array[int]  # of a state: where its failure arc leads
 
     def walk(self, ids: list[int], state: int) -> float:
         """log10 probability of a token sequence from ``state`` on, in one traversal."""
@@ -162,6 +163,10 @@ def _log10(x: np.ndarray) -> np.ndarray:
     return np.log10(x, out=np.zeros(len(x)), where=x > 0)
 
 
+def _array(x: np.ndarray) -> array:
+    return array("d" if x.dtype.kind == "f" else "q", x.tobytes())
+
+
 def _questions(bucket: int, keys: np.ndarray, times: np.ndarray, shards: int) -> pd.DataFrame:
     """A row for each shard that is asked for some of the ``keys``, which occur ``times`` times in training texts here."""
     order = np.argsort(keys)
@@ -320,14 +325,47 @@ class _Bucket:
         return Automaton(
             width=self.width,
             arcs=dict(zip(keys.tolist(), range(len(keys)))),
-            weight=_log10(p).tolist(),
-            target=(1 + self.width + np.concatenate((pairs, self.lower[triples]))).tolist(),
-            root=_log10(root).tolist(),
-            enter=enter.tolist(),
-            backoff=backoff.tolist(),
-            fail=np.concatenate((np.zeros(1 + self.width, np.int64), enter[self.second])).tolist(),
+            weight=_array(_log10(p)),
+            target=_array(1 + self.width + np.concatenate((pairs, self.lower[triples]))),
+            root=_array(_log10(root)),
+            enter=_array(enter),
+            backoff=_array(backoff),
+            fail=_array(np.concatenate((np.zeros(1 + self.width, np.int64), enter[self.second]))),
         )
 
+    def scores(self, told: list[bytes] | None, total: int, types: int) -> pd.DataFrame:
+        """A row for each text, which is walked once from left to right."""
+        model = self.automaton(told, total, types)
+        start = model.enter[self.end]
+        score = [model.walk(self.ids[i : i + n].tolist(), start) for i, n in zip(self.starts.tolist(), self.lengths.tolist())]
+        n1 = self.n1[self.ids]
+        plain = np.add.reduceat(np.log10((n1 + 1) / (total + types + 1)), self.starts)
+        known = np.add.reduceat((n1 > 0).astype(np.int64), self.starts)
+        return pd.DataFrame({"n": self.lengths, "known": known, "base": plain, "score": score})
+
+
+def _opened(r: pd.Series) -> _Bucket:
+    """The bucket of a row, with the answers that the row holds."""
+    m = _Bucket(r["h"], r["ids"], r["lengths"], r["trained"])
+    if "pairs" in r:
+        m.hear_pairs(r["pairs"])
+    if "triples" in r:
+        m.ask_triples()
+        m.hear_triples(r["triples"])
+        m.find_failures()
+    return m
+
+
+def _each(work: Callable[[pd.Series], pd.DataFrame]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """``work`` on one row after another; what it holds of a row is gone before the next."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(len(pdf)):
+                yield work(pdf.iloc[i])
+
+    return run
+
 
 def _in_buckets(rows: DataFrame, kind: str, size: int) -> DataFrame:
     """Tokens of about ``size`` bytes of texts in a row, as local ids, with their keys; texts are whole."""
@@ -425,67 +463,41 @@ def backoff_scores(docs: DataFrame, in_train: Column, key: str = "doc_id", text:
         shards = max(1, math.ceil(n_tokens / SHARD))
         texts = buckets.select("bucket", "h", "ids", "lengths", "trained")
 
-        def opened(pdf: pd.DataFrame) -> Iterator[tuple[dict, _Bucket]]:
-            for r in pdf.to_dict("records"):
-                yield r, _Bucket(r["h"], r["ids"], r["lengths"], r["trained"])
-
-        def ask_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for r, m in opened(pdf):
-                    yield _questions(r["bucket"], *m.ask_pairs(), shards)
-
-        def ask_triples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for r, m in opened(pdf):
-                    m.hear_pairs(r["pairs"])
-                    yield _questions(r["bucket"], *m.ask_triples(), shards)
-
-        def heard(pdf: pd.DataFrame) -> Iterator[tuple[dict, _Bucket]]:
-            for r, m in opened(pdf):
-                m.hear_pairs(r["pairs"])
-                m.ask_triples()
-                m.hear_triples(r["triples"])
-                m.find_failures()
-                yield r, m
-
-        def ask_contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for r, m in heard(pdf):
-                    (keys, sums), wanted = m.sums(), np.sort(m.wanted)
-                    a, w = _cuts(keys, shards), _cuts(wanted, shards)
-                    out = [
-                        (s, r["bucket"], _rising(keys[i:j]), _planes(sums[:, i:j].reshape(-1)), _rising(wanted[k:l]))
-                        for s, (i, j, k, l) in enumerate(zip(a, a[1:], w, w[1:]))
-                        if i < j or k < l
-                    ]
-                    yield pd.DataFrame(out, columns=["shard", "bucket", "x", "y", "wanted"])
-
-        def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for r, m in heard(pdf):
-                    model = m.automaton(r["contexts"], total, types)
-                    start, ids = model.enter[m.end], m.ids.tolist()
-                    score = [model.walk(ids[i : i + n], start) for i, n in zip(m.starts.tolist(), m.lengths.tolist())]
-                    n1 = m.n1[m.ids]
-                    plain = np.add.reduceat(np.log10((n1 + 1) / (total + types + 1)), m.starts)
-                    known = np.add.reduceat((n1 > 0).astype(np.int64), m.starts)
-                    yield pd.DataFrame({"_k": list(r["keys"]), "n": m.lengths, "known": known, "base": plain, "score": score})
+        def ask_pairs(r: pd.Series) -> pd.DataFrame:
+            return _questions(r["bucket"], *_opened(r).ask_pairs(), shards)
+
+        def ask_triples(r: pd.Series) -> pd.DataFrame:
+            return _questions(r["bucket"], *_opened(r).ask_triples(), shards)
+
+        def ask_contexts(r: pd.Series) -> pd.DataFrame:
+            m = _opened(r)
+            (keys, sums), wanted = m.sums(), np.sort(m.wanted)
+            a, w = _cuts(keys, shards), _cuts(wanted, shards)
+            out = [
+                (s, r["bucket"], _rising(keys[i:j]), _planes(sums[:, i:j].reshape(-1)), _rising(wanted[k:l]))
+                for s, (i, j, k, l) in enumerate(zip(a, a[1:], w, w[1:]))
+                if i < j or k < l
+            ]
+            return pd.DataFrame(out, columns=["shard", "bucket", "x", "y", "wanted"])
+
+        def walk(r: pd.Series) -> pd.DataFrame:
+            return _opened(r).scores(r["contexts"], total, types).assign(_k=list(r["keys"]))
 
         def by_shard(df: DataFrame) -> DataFrame:
             return df.repartition("shard").sortWithinPartitions("shard")
 
         asked, told = "shard long, bucket long, x binary, y binary", "bucket long, shard long, x binary, types long"
-        pairs = tables.answers(by_shard(texts.mapInPandas(ask_pairs, asked)).mapInPandas(_counted, told), "pairs")
+        pairs = tables.answers(by_shard(texts.mapInPandas(_each(ask_pairs), asked)).mapInPandas(_counted, told), "pairs")
         types = pairs.agg(F.coalesce(F.sum("types_pairs"), F.lit(0))).first()[0]
         _swept(spark)
         texts = texts.join(pairs.drop("types_pairs"), "bucket", "left")
-        triples = tables.answers(by_shard(texts.mapInPandas(ask_triples, asked)).mapInPandas(_counted, told), "triples")
+        triples = tables.answers(by_shard(texts.mapInPandas(_each(ask_triples), asked)).mapInPandas(_counted, told), "triples")
         _swept(spark)
         texts = texts.join(triples.drop("types_triples"), "bucket", "left")
-        contexts = tables.answers(by_shard(texts.mapInPandas(ask_contexts, asked + ", wanted binary")).mapInPandas(_summed, told), "contexts")
+        contexts = tables.answers(by_shard(texts.mapInPandas(_each(ask_contexts), asked + ", wanted binary")).mapInPandas(_summed, told), "contexts")
         _swept(spark)
         texts = texts.join(contexts.drop("types_contexts"), "bucket", "left").join(buckets.select("bucket", "keys"), "bucket")
-        found = materialised(texts.mapInPandas(walk, f"_k {kind}, n long, known long, base double, score double"))
+        found = materialised(texts.mapInPandas(_each(walk), f"_k {kind}, n long, known long, base double, score double"))
     return found.select(
         F.col("_k").alias(key),
         F.col("n").alias("n_tokens"),
