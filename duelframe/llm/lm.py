@@ -77,17 +77,17 @@ class Automaton:
 
     width: int
     arcs: dict[int, int]  # state * width + token -> arc
-    weight: array[float]  # of an arc: log10 probability
-    target: array[int]  # of an arc: next state
-    root: array[float]  # of a token: log10 probability at the root
-    enter: array[int]  # of a token: next state from the root
+    weight: list[float]  # of an arc: log10 probability
+    target: list[int]  # of an arc: next state
+    root: list[float]  # of a token: log10 probability at the root
+    enter: list[int]  # of a token: next state from the root
     backoff: array[float]  # of a state: log10 weight of its failure arc
     fail: array[int]  # of a state: where its failure arc leads
 
     def walk(self, ids: list[int], state: int) -> float:
         """log10 probability of a token sequence from ``state`` on, in one traversal."""
         arc, width = self.arcs.get, self.width
-        weight, target, backoff, fail = self.weight, self.target, self.backoff, self.fail
+        weight, target, root, enter, backoff, fail = self.weight, self.target, self.root, self.enter, self.backoff, self.fail
         score = 0.0
         for w in ids:
             while state:
@@ -99,8 +99,8 @@ class Automaton:
                 score += backoff[state]
                 state = fail[state]
             else:
-                score += self.root[w]
-                state = self.enter[w]
+                score += root[w]
+                state = enter[w]
         return score
 
 
@@ -254,6 +254,7 @@ class _Bucket:
         self.lower = self.pair[self.deep[place]]  # the pair that a triple ends in
         self.h3 = _of_order(_mixed(self.h2[self.context] * np.uint64(0xC2B2AE3D27D4EB4F) + self.h[last]), 3)
         self.last = last
+        self.open = np.flatnonzero((self.n2[self.context] >= FLOOR) & (self.n2[self.lower] >= FLOOR))
 
     def ask_pairs(self) -> tuple[np.ndarray, np.ndarray]:
         one = np.bincount(self.ids, self.times, self.width)
@@ -267,7 +268,6 @@ class _Bucket:
     def ask_triples(self) -> tuple[np.ndarray, np.ndarray]:
         """Triples whose two pairs reach the floor; no other can."""
         self.find_triples()
-        self.open = np.flatnonzero((self.n2[self.context] >= FLOOR) & (self.n2[self.lower] >= FLOOR))
         times = np.bincount(self.triple, self.times[self.deep], len(self.h3))
         return self.h3[self.open], times[self.open].astype(np.int64)
 
@@ -321,14 +321,21 @@ class _Bucket:
         enter = np.where(self.n1 >= FLOOR, np.arange(1, self.width + 1), 0)
         pairs, triples = np.flatnonzero(self.n2 >= FLOOR), np.flatnonzero(self.n3 >= FLOOR)
         keys = np.concatenate(((1 + self.first[pairs]) * self.width + self.second[pairs], (1 + self.width + self.context[triples]) * self.width + self.last[triples]))
+        # A context without arcs costs nothing to fail from, so whatever leads to it leads on to where it fails to.
+        used = backoff != 0
+        used[keys // self.width] = True
+        used[0] = True
+        enter = np.where(used[enter], enter, 0)
+        ends = 1 + self.width + np.concatenate((pairs, self.lower[triples]))
+        ends = np.where(used[ends], ends, enter[self.second[ends - 1 - self.width]])
         p = np.concatenate(((self.n2[pairs] - DISCOUNT) / n1[self.first[pairs]], (self.n3[triples] - DISCOUNT) / self.n2[self.context[triples]]))
         return Automaton(
             width=self.width,
             arcs=dict(zip(keys.tolist(), range(len(keys)))),
-            weight=_array(_log10(p)),
-            target=_array(1 + self.width + np.concatenate((pairs, self.lower[triples]))),
-            root=_array(_log10(root)),
-            enter=_array(enter),
+            weight=_log10(p).tolist(),
+            target=ends.tolist(),
+            root=_log10(root).tolist(),
+            enter=enter.tolist(),
             backoff=_array(backoff),
             fail=_array(np.concatenate((np.zeros(1 + self.width, np.int64), enter[self.second]))),
         )
@@ -350,7 +357,7 @@ def _opened(r: pd.Series) -> _Bucket:
     if "pairs" in r:
         m.hear_pairs(r["pairs"])
     if "triples" in r:
-        m.ask_triples()
+        m.find_triples()
         m.hear_triples(r["triples"])
         m.find_failures()
     return m
