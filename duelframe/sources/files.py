@@ -33,23 +33,28 @@ def _missing_path(err: AnalysisException) -> bool:
 _NUMBER = r"^\s*[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$|^\s*[+-]?(inf|infinity|Infinity)\s*$"
 
 
+#: Cells without a point that a cast to long accepts look like this; a cast that fails costs an exception, cell by cell.
+_DIGITS = r"^[\x00-\x20\x7f]*[+-]?[0-9]+[\x00-\x20\x7f]*$"
+
+
 def infer_types(df: DataFrame) -> DataFrame:
     """Type all-text columns from one pass: long, double, boolean, else text.
 
     Missing-value texts become null first. A column without any value is double.
     """
     blanked = df.select([F.when(~c(n).isin(*MISSING_TEXTS), c(n)).alias(n) for n in df.columns])
-    checks = []
-    for i, n in enumerate(df.columns):
-        x = c(n)
-        checks += [
-            F.count(x).alias(f"n{i}"),
-            F.count(x.try_cast("long")).alias(f"l{i}"),
-            F.count_if(x.rlike(_NUMBER) & x.try_cast("double").isNotNull()).alias(f"d{i}"),
-            F.count_if(x.isin(*TRUE_TEXTS, *FALSE_TEXTS)).alias(f"b{i}"),
-            F.count_if(x.contains(".")).alias(f"p{i}"),
-        ]
-    seen = blanked.agg(*checks).first()
+    # Cells as rows: five counts in all, not five for each column, which make code too long to be compiled.
+    x = F.col("_cell")
+    cells = df.select(F.posexplode(F.array(*[c(n) for n in df.columns])).alias("_at", "_cell"))
+    counts = cells.filter(x.isNotNull() & ~x.isin(*MISSING_TEXTS)).groupBy("_at").agg(
+        F.count(x).alias("n"),
+        F.count(F.when(x.rlike(_DIGITS), x.try_cast("long"))).alias("l"),
+        F.count(F.when(x.rlike(_NUMBER), x.try_cast("double"))).alias("d"),
+        F.count_if(x.isin(*TRUE_TEXTS, *FALSE_TEXTS)).alias("b"),
+        F.count_if(x.contains(".")).alias("p"),
+    )
+    found = {r["_at"]: r for r in counts.collect()}  # a row for each column
+    seen = {f"{k}{i}": found[i][k] if i in found else 0 for i in range(len(df.columns)) for k in "nldbp"}
     out = []
     for i, n in enumerate(df.columns):
         x, total = c(n), seen[f"n{i}"]

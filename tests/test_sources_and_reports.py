@@ -195,3 +195,16 @@ def test_quality_rules(spark):
 def test_codes_with_a_letter_are_no_numbers(spark):
     df = spark.createDataFrame([("5D", "1f", "1e3", " 7 ", ".5"), ("7D", "2f", "-2.5", "8", "1.")], "a string, b string, c string, d string, e string")
     assert [t for _, t in infer_types(df).dtypes] == ["string", "string", "double", "bigint", "double"]
+
+
+def test_cells_that_are_not_cast_are_no_whole_numbers(spark):
+    from duelframe.sources.files import _DIGITS
+
+    texts = ["1", " 1", "1\n", "\t+7 ", "-0", "\x011\x7f", "1 1", "5D", "1e3", "0x1", "x", "+", "", "2020-01-01", "9" * 25, "1.0", ".5", "1."]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    x = F.col("t")
+    missed = df.filter(x.try_cast("long").isNotNull() & ~x.contains(".") & ~x.rlike(_DIGITS))
+    assert missed.collect() == [] and df.filter(x.rlike(_DIGITS)).count() == 7
+    typed = infer_types(df.withColumns({"i": F.lit(" 12"), "e": F.lit("n/a"), "m": F.when(x == "x", "1.5").otherwise("2")}))
+    assert dict(typed.dtypes) == {"t": "string", "i": "bigint", "e": "double", "m": "double"}
+    assert dict(infer_types(df.limit(0)).dtypes) == {"t": "double"}
