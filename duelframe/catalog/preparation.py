@@ -345,7 +345,7 @@ def bout_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bout_keys_repartitioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with repeated bouts, keyed under two partitionings: ``n_same`` of them get the same key both times."""
-    keyed = [C.with_bout_key(df, LAYOUT, ["l_partkey", "l_suppkey", "l_shipdate"]) for df in (_repeating(spark, sf_dir), _repeating(spark, sf_dir).repartition(5))]
+    keyed = [C.with_bout_key(df, LAYOUT, ["l_partkey", "l_suppkey", "l_shipdate"]) for df in (_repeating(spark, sf_dir), _repeating(spark, sf_dir).repartition("l_orderkey"))]
     rows = [k.select(F.col(LAYOUT.key).alias("key"), F.md5(F.to_json(F.struct("*"))).alias("line")) for k in keyed]
     both = rows[0].join(rows[1].withColumnRenamed("line", "again"), "key", "full")
     return both.agg(

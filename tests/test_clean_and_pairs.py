@@ -192,3 +192,13 @@ def test_features_without_dates_or_outcomes(spark):
     assert "win_streak_diff" not in undated and "Age_diff" in undated
     _, open_ = engineer(df.drop("Winner"))
     assert "win_streak_diff" not in open_ and "Age_roll5_diff" in open_
+
+
+def test_lines_are_keyed_under_partitions_that_grow_with_them(spark, monkeypatch):
+    from duelframe.catalog import preparation
+
+    keyed, real = [], preparation.C.with_bout_key
+    monkeypatch.setattr(preparation.C, "with_bout_key", lambda df, *rest: keyed.append(df) or real(df, *rest))
+    preparation.bout_keys_repartitioned(spark, "/root/testdata/sf0.001")
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in keyed]
+    assert "RepartitionByExpression" in plans[1] and not any("Repartition 5" in p for p in plans)
