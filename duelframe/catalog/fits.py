@@ -31,8 +31,9 @@ def _training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _engineered(C.create_target(materialised(past(drawn(bouts(spark, sf_dir)))), LAYOUT))
 
 
-def _features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, T.Preprocessor]:
-    data = materialised(_training_table(spark, sf_dir))
+def _features(spark: SparkSession, sf_dir: str, data: DataFrame | None = None) -> tuple[DataFrame, T.Preprocessor]:
+    if data is None:
+        data = materialised(_training_table(spark, sf_dir))
     prep = T.fit_preprocessor(data, exclude=_SKIP)
     return materialised(prepared(data, prep, LAYOUT)), prep
 
@@ -334,11 +335,6 @@ def gbt_stumps(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --------------------------------------------------------------------------- scoring with a fitted model
 
 
-def _fitted(spark: SparkSession, sf_dir: str) -> ModelBundle:
-    features, prep = _features(spark, sf_dir)
-    return ModelBundle(prep, fit_logreg(features))
-
-
 @query(
     with_sql(
         f"SELECT count(*) AS rows, 0::BIGINT AS differing FROM drawn WHERE NOT {_UP} AND winner IN ('Red', 'Blue')", BOUTS_SQL, DRAWN_SQL
@@ -346,11 +342,12 @@ def _fitted(spark: SparkSession, sf_dir: str) -> ModelBundle:
 )
 def model_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of a saved and reloaded model next to those of the model in memory."""
-    bundle = _fitted(spark, sf_dir)
+    data = materialised(_training_table(spark, sf_dir))  # fitted on and scored: made once
+    features, prep = _features(spark, sf_dir, data)
+    bundle = ModelBundle(prep, fit_logreg(features))
     path = shared_folder(spark)
     bundle.save(path, spark)
     again = first_loadable([f"{path}-absent", path], spark)
-    data = _training_table(spark, sf_dir)
     both = again.score(bundle.score(data, out="before"), out="after")
     return both.agg(
         F.count(F.lit(1)).alias("rows"), F.count_if(F.abs(F.col("before") - F.col("after")) > 1e-12).alias("differing")

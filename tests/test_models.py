@@ -254,3 +254,12 @@ def test_few_different_rows_are_fitted_as_few(spark, monkeypatch):
     monkeypatch.setattr("duelframe.plans.training.EQUAL_ROWS", 10**9)
     whole = fit_logreg(data, tol=1e-10).stages[-1]
     assert seen == [20, 2000] and np.allclose(model.coefficients, whole.coefficients, atol=1e-6) and abs(model.intercept - whole.intercept) < 1e-6
+
+
+def test_the_roundtrip_makes_its_table_once(spark, monkeypatch):
+    from duelframe.catalog import fits
+
+    made, real = [], fits._training_table
+    monkeypatch.setattr(fits, "_training_table", lambda *given: made.append(given) or real(*given))
+    row = fits.model_roundtrip(spark, "/root/testdata/sf0.001").first()
+    assert len(made) == 1 and row["rows"] > 0 and row["differing"] == 0
