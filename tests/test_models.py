@@ -263,3 +263,17 @@ def test_the_roundtrip_makes_its_table_once(spark, monkeypatch):
     monkeypatch.setattr(fits, "_training_table", lambda *given: made.append(given) or real(*given))
     row = fits.model_roundtrip(spark, "/root/testdata/sf0.001").first()
     assert len(made) == 1 and row["rows"] > 0 and row["differing"] == 0
+
+
+def test_tasks_of_a_fit_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    from pyspark.ml import Pipeline
+    from duelframe.plans import training
+
+    df = spark.range(900).selectExpr("id AS bout_id", "CAST(id % 2 AS int) AS target", "CAST(id * 37 % 101 AS double) AS a", "CAST(id AS double) AS b").coalesce(1)
+    data = prepared(df, T.fit_preprocessor(df, exclude=["bout_id"]), DEFAULT)
+    seen, real = [], Pipeline.fit
+    monkeypatch.setattr(Pipeline, "fit", lambda self, given: seen.append([len(p) for p in given.rdd.glom().collect()]) or real(self, given))
+    monkeypatch.setattr(training, "TASK_ROWS", 300)
+    fit_gbt(data, trees=1, depth=1)
+    fit_logreg(data)
+    assert [sum(s) for s in seen] == [900, 900] and all(len(s) == 3 and max(s) <= 330 for s in seen)
