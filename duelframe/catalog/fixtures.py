@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from duelframe.functions import r6
 from duelframe.layout import Layout
+from duelframe.operators.history import spread
 
 LAYOUT = Layout(
     red="red_", blue="blue_", entity="id", date="bout_date", outcome="winner", key="bout_id"
@@ -26,6 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bouts(spark: SparkSession, sf_dir: str, same: bool = False) -> DataFrame:
     """``same`` also keeps pairs of one supplier with itself."""
     lines = table(spark, sf_dir, "lineitem")
+    lines = spread(lines, lines.count(), "l_orderkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
     w = Window.partitionBy("l_orderkey").orderBy(
         "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
