@@ -28,9 +28,11 @@ import zlib
 from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -76,7 +78,7 @@ class Automaton:
     """States, arcs and failure arcs over token ids below ``width``. State 0 is the root, which has an arc for every token."""
 
     width: int
-    arcs: dict[int, int]  # state * width + token -> arc
+    keys: np.ndarray  # of an arc: state * width + token
     weight: list[float]  # of an arc: log10 probability
     target: list[int]  # of an arc: next state
     root: list[float]  # of a token: log10 probability at the root
@@ -84,8 +86,12 @@ class Automaton:
     backoff: array[float]  # of a state: log10 weight of its failure arc
     fail: array[int]  # of a state: where its failure arc leads
 
+    @cached_property
+    def arcs(self) -> dict[int, int]:
+        return dict(zip(self.keys.tolist(), range(len(self.keys))))
+
     def walk(self, ids: list[int], state: int) -> float:
-        """log10 probability of a token sequence from ``state`` on, in one traversal."""
+        """log10 probability of a token sequence from ``state`` on, in one traversal that looks every arc up."""
         arc, width = self.arcs.get, self.width
         weight, target, root, enter, backoff, fail = self.weight, self.target, self.root, self.enter, self.backoff, self.fail
         score = 0.0
@@ -103,6 +109,29 @@ class Automaton:
                 state = enter[w]
         return score
 
+    def follow(self, ids: list[int], after_two: list[int], after_one: list[int], state: int) -> float:
+        """The same traversal where the arcs of each token are at hand: from the state of the two tokens before it, and from that of the one; -1 is none."""
+        width = self.width
+        weight, target, root, enter, backoff, fail = self.weight, self.target, self.root, self.enter, self.backoff, self.fail
+        score = 0.0
+        for w, two, one in zip(ids, after_two, after_one):
+            if state > width:
+                if two >= 0:
+                    score += weight[two]
+                    state = target[two]
+                    continue
+                score += backoff[state]
+                state = fail[state]
+            if state:
+                if one >= 0:
+                    score += weight[one]
+                    state = target[one]
+                    continue
+                score += backoff[state]
+            score += root[w]
+            state = enter[w]
+        return score
+
 
 # --------------------------------------------------------------------------- cells of numbers
 
@@ -144,8 +173,15 @@ def _risen(cell: bytes) -> np.ndarray:
 
 def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct values, a place of each, and which of them each value is."""
-    order = np.argsort(values)
-    ordered = values[order]
+    bits = len(values).bit_length()
+    if len(values) and int(values.max()).bit_length() + bits <= 64:
+        # A value and its place in one number: sorting those is faster than looking for an order.
+        both = values.astype(np.uint64) << np.uint64(bits) | np.arange(len(values), dtype=np.uint64)
+        both.sort()
+        order, ordered = (both & np.uint64((1 << bits) - 1)).astype(np.int64), (both >> np.uint64(bits)).astype(values.dtype)
+    else:
+        order = np.argsort(values)
+        ordered = values[order]
     new = np.ones(len(values), bool)
     new[1:] = ordered[1:] != ordered[:-1]
     which = np.empty(len(values), np.int64)
@@ -190,14 +226,24 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     ``types`` adds up to the number of different tokens in training texts.
     """
     for g in runs(batches, ["shard"]):
+        # A shard is the most that a task holds: its numbers are put in order once, and go as soon as they have been used.
         keys = [_risen(k) for k in g["x"]]
-        found, place, which = _distinct(np.concatenate(keys))
-        n = np.bincount(which, np.concatenate([_values(t) for t in g["y"]]), len(found)).astype(np.int64)
-        out = n[which] * 2
-        out[place] += 1
-        types = np.zeros(len(keys), np.int64)
-        types[0] = np.count_nonzero((found & np.uint64(3) == 1) & (n > 0))
         ends = np.cumsum([len(k) for k in keys])[:-1]
+        types = np.zeros(len(keys), np.int64)
+        keys = np.concatenate(keys)
+        order = np.argsort(keys)
+        keys = keys[order]
+        starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        token = keys[starts] & np.uint64(3) == 1
+        del keys
+        times = np.concatenate([_values(t) for t in g["y"]])[order]
+        n = np.add.reduceat(times, starts)
+        types[0] = np.count_nonzero(token & (n > 0))
+        del times
+        out = np.empty(len(order), np.int64)
+        out[order] = np.repeat(n * 2, np.diff(starts, append=len(order)))
+        out[order[starts]] += 1
+        del order, starts, n, token
         yield pd.DataFrame({"bucket": g["bucket"], "shard": g["shard"], "x": [_planes(cell) for cell in np.split(out, ends)], "types": types})
 
 
@@ -331,7 +377,7 @@ class _Bucket:
         p = np.concatenate(((self.n2[pairs] - DISCOUNT) / n1[self.first[pairs]], (self.n3[triples] - DISCOUNT) / self.n2[self.context[triples]]))
         return Automaton(
             width=self.width,
-            arcs=dict(zip(keys.tolist(), range(len(keys)))),
+            keys=keys,
             weight=_log10(p).tolist(),
             target=ends.tolist(),
             root=_log10(root).tolist(),
@@ -340,11 +386,24 @@ class _Bucket:
             fail=_array(np.concatenate((np.zeros(1 + self.width, np.int64), enter[self.second]))),
         )
 
+    def arcs_at(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each position the arc of its triple and that of its pair, as ``automaton`` numbers them; -1 where there is none."""
+        numbers, before = [], 0
+        for n in (self.n2, self.n3):
+            has = n >= FLOOR
+            numbers.append(np.where(has, before + np.cumsum(has) - 1, -1))
+            before += np.count_nonzero(has)
+        two = np.full(len(self.ids), -1)
+        two[self.deep] = numbers[1][self.triple]
+        return two, numbers[0][self.pair]
+
     def scores(self, told: list[bytes] | None, total: int, types: int) -> pd.DataFrame:
         """A row for each text, which is walked once from left to right."""
         model = self.automaton(told, total, types)
         start = model.enter[self.end]
-        score = [model.walk(self.ids[i : i + n].tolist(), start) for i, n in zip(self.starts.tolist(), self.lengths.tolist())]
+        two, one = self.arcs_at()
+        ends = (self.starts + self.lengths).tolist()
+        score = [model.follow(self.ids[i:j].tolist(), two[i:j].tolist(), one[i:j].tolist(), start) for i, j in zip(self.starts.tolist(), ends)]
         n1 = self.n1[self.ids]
         plain = np.add.reduceat(np.log10((n1 + 1) / (total + types + 1)), self.starts)
         known = np.add.reduceat((n1 > 0).astype(np.int64), self.starts)
@@ -382,16 +441,17 @@ def _in_buckets(rows: DataFrame, kind: str, size: int) -> DataFrame:
         keys, trained, lengths, flat, held = [], [], [], [], 0
 
         def full() -> pd.DataFrame:
-            words = list(dict.fromkeys(flat))
+            coded = pa.concat_arrays(flat).dictionary_encode()
+            words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
             h = _hashes(words)
             order = np.argsort(h)
             rank = np.empty(len(words), np.int32)
             rank[order] = np.arange(len(words), dtype=np.int32)
-            ids = np.fromiter(map(dict(zip(words, rank.tolist())).__getitem__, flat), np.int32, len(flat))
+            ids = rank[coded.indices.to_numpy()]
             packed = zlib.compress(np.ascontiguousarray(ids.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
             own = sum(n for n, t in zip(lengths, trained) if t)
             row = {"bucket": [bucket], "keys": [keys], "trained": [trained], "lengths": [lengths], "h": [_rising(h[order])], "ids": [packed]}
-            return pd.DataFrame(row | {"n": [len(flat)], "own": [own]})
+            return pd.DataFrame(row | {"n": [len(ids)], "own": [own]})
 
         for pdf in batches:
             for k, t, own in zip(pdf["_k"], pdf["_text"], pdf["_train"]):
@@ -399,7 +459,7 @@ def _in_buckets(rows: DataFrame, kind: str, size: int) -> DataFrame:
                 keys.append(k)
                 trained.append(bool(own))
                 lengths.append(len(words))
-                flat += words
+                flat.append(pa.array(words, pa.large_binary()))
                 held += len(t)
                 if held >= size:
                     yield full()
