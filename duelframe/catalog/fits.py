@@ -42,14 +42,15 @@ def _features(spark: SparkSession, sf_dir: str, data: DataFrame | None = None) -
 _PAIR = ("qty_diff", "last3_win_rate_diff")
 
 
-def _paired_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decided bouts whose outcome follows the stats, with the two features."""
-    table = _engineered(C.create_target(materialised(past(decided(bouts(spark, sf_dir)))), LAYOUT))
+def _paired_table(spark: SparkSession, sf_dir: str, every: DataFrame | None = None) -> DataFrame:
+    """Decided bouts whose outcome follows the stats, with the two features; ``every`` is the stored table of all bouts, if there is one."""
+    earlier = materialised(past(decided(bouts(spark, sf_dir)))) if every is None else past(every)
+    table = _engineered(C.create_target(earlier, LAYOUT))
     return materialised(table.select("bout_id", "winner", "target", *_PAIR))
 
 
-def _paired_model(spark: SparkSession, sf_dir: str) -> tuple[ModelBundle, DataFrame]:
-    data = _paired_table(spark, sf_dir)
+def _paired_model(spark: SparkSession, sf_dir: str, every: DataFrame | None = None) -> tuple[ModelBundle, DataFrame]:
+    data = _paired_table(spark, sf_dir, every)
     prep = T.fit_preprocessor(data, exclude=_SKIP)
     features = materialised(prepared(data, prep, LAYOUT))
     return ModelBundle(prep, fit_logreg(features, tol=_TOL)), features
@@ -367,8 +368,8 @@ _SCORE = _logistic("(n.red_qty - n.blue_qty - aq) / sq", "(rates - al) / sl")
 )
 def score_upcoming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Undecided bouts, with the past of their competitors."""
-    bundle, _ = _paired_model(spark, sf_dir)
-    every = decided(bouts(spark, sf_dir))
+    every = materialised(decided(bouts(spark, sf_dir)))  # fitted on, looked up and scored: made once
+    bundle, _ = _paired_model(spark, sf_dir, every)
     found = score_upcoming_plan(upcoming(every), bundle, LAYOUT, history=past(every), stats=STATS)
     return found.withColumns({n: r4(F.col(n)) for n in ("prob_red_win", "confidence")})
 
