@@ -100,10 +100,10 @@ def scored(df: DataFrame) -> DataFrame:
 NAMED = Layout(red="red_", blue="blue_", entity="name", date="bout_date", outcome="winner", key="bout_id")
 
 
-def named_bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bouts with supplier names, and ``peak``, a stat many suppliers never have."""
+def named_bouts(spark: SparkSession, sf_dir: str, every: DataFrame | None = None) -> DataFrame:
+    """Bouts with supplier names, and ``peak``, a stat many suppliers never have; ``every`` is a stored table of the bouts."""
     names = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
-    out = bouts(spark, sf_dir)
+    out = bouts(spark, sf_dir) if every is None else every
     for p in ("red", "blue"):
         side = names.select(F.col("s_suppkey").alias(f"{p}_id"), F.col("s_name").alias(f"{p}_name"))
         peak = F.when((F.col(f"{p}_qty") == 50) & (F.col(f"{p}_disc") == 0), F.col(f"{p}_tax"))

@@ -59,15 +59,15 @@ ON = date(2002, 1, 1)
 _UP = f"bout_date >= TIMESTAMP '{UPCOMING_FROM}'"
 
 
-def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _requests(spark: SparkSession, sf_dir: str, named: DataFrame | None = None) -> DataFrame:
     """The pairings of upcoming bouts, asked for in upper and lower case."""
-    return upcoming(named_bouts(spark, sf_dir)).select(
+    return upcoming(named_bouts(spark, sf_dir) if named is None else named).select(
         "bout_id", F.upper("red_name").alias("red_name"), F.lower("blue_name").alias("blue_name")
     )
 
 
-def _profiles(spark: SparkSession, sf_dir: str, stats=STATS) -> DataFrame:
-    return E.entity_profile(past(named_bouts(spark, sf_dir)), NAMED, stats)
+def _profiles(spark: SparkSession, sf_dir: str, stats=STATS, named: DataFrame | None = None) -> DataFrame:
+    return E.entity_profile(past(named_bouts(spark, sf_dir) if named is None else named), NAMED, stats)
 
 
 _PROFILES_SQL = (

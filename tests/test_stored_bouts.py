@@ -5,7 +5,7 @@ import pytest
 from duelframe.catalog import QUERIES
 
 
-@pytest.mark.parametrize("name", ["score_upcoming"])
+@pytest.mark.parametrize("name", ["score_upcoming", "matchup_scores"])
 def test_bouts_are_made_once(spark, name):
     """What is returned does not put the lines together again."""
     files = QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles()
