@@ -12,8 +12,9 @@ rounds, each a shuffle by hash of what it asks and one of the answers:
 2. the counts of its trigrams whose two bigrams both reach the floor, as no other can;
 3. what the arcs of the contexts it fails from add up to, hence their backoff weights.
 
-Then it builds its states, arcs and failure arcs, and walks its texts once from left to right,
-carrying the state. Texts stay where they are: buckets and answers are stored as tables
+Then it builds its states, arcs and failure arcs, and walks its texts once. The arc that a position
+takes follows from the answers, and with it the state it leads to, so all positions are walked
+at once; what a text pays is added up from left to right. Texts stay where they are: buckets and answers are stored as tables
 bucketed alike, so that joining them moves nothing.
 
 Probabilities are smoothed by absolute discounting and sum to one over the V known tokens
@@ -79,10 +80,10 @@ class Automaton:
 
     width: int
     keys: np.ndarray  # of an arc: state * width + token
-    weight: list[float]  # of an arc: log10 probability
-    target: list[int]  # of an arc: next state
-    root: list[float]  # of a token: log10 probability at the root
-    enter: list[int]  # of a token: next state from the root
+    weight: array[float]  # of an arc: log10 probability
+    target: array[int]  # of an arc: next state
+    root: array[float]  # of a token: log10 probability at the root
+    enter: array[int]  # of a token: next state from the root
     backoff: array[float]  # of a state: log10 weight of its failure arc
     fail: array[int]  # of a state: where its failure arc leads
 
@@ -109,28 +110,29 @@ class Automaton:
                 state = enter[w]
         return score
 
-    def follow(self, ids: list[int], after_two: list[int], after_one: list[int], state: int) -> float:
-        """The same traversal where the arcs of each token are at hand: from the state of the two tokens before it, and from that of the one; -1 is none."""
-        width = self.width
-        weight, target, root, enter, backoff, fail = self.weight, self.target, self.root, self.enter, self.backoff, self.fail
-        score = 0.0
-        for w, two, one in zip(ids, after_two, after_one):
-            if state > width:
-                if two >= 0:
-                    score += weight[two]
-                    state = target[two]
-                    continue
-                score += backoff[state]
-                state = fail[state]
-            if state:
-                if one >= 0:
-                    score += weight[one]
-                    state = target[one]
-                    continue
-                score += backoff[state]
-            score += root[w]
-            state = enter[w]
-        return score
+    def follow(self, ids: np.ndarray, after_two: np.ndarray, after_one: np.ndarray, starts: np.ndarray, start: int) -> np.ndarray:
+        """What each token of some texts pays on that traversal: at most two failure arcs, then an arc; ``start`` is the state before each text.
+
+        The arcs of each token are at hand: from the state of the two tokens before it, and from that of the one; -1
+        is none. An arc that is there is taken: the states before it, which have it, were not left out. So all
+        positions know the arc they take, and with it the state after them.
+        """
+        weight, target, root, enter, backoff, fail = map(np.asarray, (self.weight, self.target, self.root, self.enter, self.backoff, self.fail))
+        arc = np.where(after_two >= 0, after_two, after_one)
+        found = arc >= 0
+        after = enter[ids]
+        after[found] = target[arc[found]]
+        state = np.concatenate(([start], after[:-1]))
+        state[starts] = start
+        paid = np.zeros((len(ids), 3))
+        paid[:, 2] = root[ids]
+        paid[found, 2] = weight[arc[found]]
+        missed = np.flatnonzero((state > self.width) & (after_two < 0))
+        paid[missed, 0] = backoff[state[missed]]
+        state[missed] = fail[state[missed]]
+        missed = np.flatnonzero((state > 0) & ~found)
+        paid[missed, 1] = backoff[state[missed]]
+        return paid
 
 
 # --------------------------------------------------------------------------- cells of numbers
@@ -244,7 +246,11 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out[order] = np.repeat(n * 2, np.diff(starts, append=len(order)))
         out[order[starts]] += 1
         del order, starts, n, token
-        yield pd.DataFrame({"bucket": g["bucket"], "shard": g["shard"], "x": [_planes(cell) for cell in np.split(out, ends)], "types": types})
+        told = pd.DataFrame({"bucket": g["bucket"], "shard": g["shard"], "x": [_planes(cell) for cell in np.split(out, ends)], "types": types})
+        # Nothing of this shard stays while the next one is read.
+        del g, out
+        yield told
+        del told
 
 
 def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -265,7 +271,10 @@ def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 at[keys[np.minimum(at, len(keys) - 1)] != wanted] = len(keys)
             buckets.append(b)
             cells.append(_planes(sums[:, at].reshape(-1)))
-        yield pd.DataFrame({"bucket": buckets, "shard": g["shard"][0], "x": cells, "types": 0})
+        told = pd.DataFrame({"bucket": buckets, "shard": g["shard"][0], "x": cells, "types": 0})
+        del g, keys, which, parts, sums, cells
+        yield told
+        del told
 
 
 # --------------------------------------------------------------------------- buckets
@@ -296,11 +305,10 @@ class _Bucket:
         deep[self.starts] = False
         self.deep = np.flatnonzero(deep)  # positions with two tokens before them
         found, place, self.triple = _distinct(self.pair[self.deep - 1] * self.width + self.ids[self.deep])
-        self.context, last = np.divmod(found, self.width)
+        self.context, self.last = np.divmod(found, self.width)
         self.lower = self.pair[self.deep[place]]  # the pair that a triple ends in
-        self.h3 = _of_order(_mixed(self.h2[self.context] * np.uint64(0xC2B2AE3D27D4EB4F) + self.h[last]), 3)
-        self.last = last
         self.open = np.flatnonzero((self.n2[self.context] >= FLOOR) & (self.n2[self.lower] >= FLOOR))
+        self.h3 = _of_order(_mixed(self.h2[self.context[self.open]] * np.uint64(0xC2B2AE3D27D4EB4F) + self.h[self.last[self.open]]), 3)  # of the open ones
 
     def ask_pairs(self) -> tuple[np.ndarray, np.ndarray]:
         one = np.bincount(self.ids, self.times, self.width)
@@ -314,12 +322,12 @@ class _Bucket:
     def ask_triples(self) -> tuple[np.ndarray, np.ndarray]:
         """Triples whose two pairs reach the floor; no other can."""
         self.find_triples()
-        times = np.bincount(self.triple, self.times[self.deep], len(self.h3))
-        return self.h3[self.open], times[self.open].astype(np.int64)
+        times = np.bincount(self.triple, self.times[self.deep], len(self.last))
+        return self.h3, times[self.open].astype(np.int64)
 
     def hear_triples(self, told: list[bytes] | None) -> None:
-        self.n3, self.mine3 = np.zeros(len(self.h3), np.int64), np.zeros(len(self.h3), bool)
-        self.n3[self.open], self.mine3[self.open] = _answers(self.h3[self.open], told)
+        self.n3, self.mine3 = np.zeros(len(self.last), np.int64), np.zeros(len(self.last), bool)
+        self.n3[self.open], self.mine3[self.open] = _answers(self.h3, told)
 
     def find_failures(self) -> None:
         """Contexts that some position fails from: pairs, then tokens. Those below the floor are no states."""
@@ -378,10 +386,10 @@ class _Bucket:
         return Automaton(
             width=self.width,
             keys=keys,
-            weight=_log10(p).tolist(),
-            target=ends.tolist(),
-            root=_log10(root).tolist(),
-            enter=enter.tolist(),
+            weight=_array(_log10(p)),
+            target=_array(ends),
+            root=_array(_log10(root)),
+            enter=_array(enter),
             backoff=_array(backoff),
             fail=_array(np.concatenate((np.zeros(1 + self.width, np.int64), enter[self.second]))),
         )
@@ -398,15 +406,14 @@ class _Bucket:
         return two, numbers[0][self.pair]
 
     def scores(self, told: list[bytes] | None, total: int, types: int) -> pd.DataFrame:
-        """A row for each text, which is walked once from left to right."""
-        model = self.automaton(told, total, types)
-        start = model.enter[self.end]
-        two, one = self.arcs_at()
-        ends = (self.starts + self.lengths).tolist()
-        score = [model.follow(self.ids[i:j].tolist(), two[i:j].tolist(), one[i:j].tolist(), start) for i, j in zip(self.starts.tolist(), ends)]
+        """A row for each text, which is walked once; what it pays is added up from left to right."""
         n1 = self.n1[self.ids]
         plain = np.add.reduceat(np.log10((n1 + 1) / (total + types + 1)), self.starts)
         known = np.add.reduceat((n1 > 0).astype(np.int64), self.starts)
+        del n1
+        model = self.automaton(told, total, types)
+        paid = model.follow(self.ids, *self.arcs_at(), self.starts, model.enter[self.end])
+        score = np.bincount(np.repeat(np.arange(len(self.lengths)), 3 * self.lengths), paid.reshape(-1), len(self.lengths))
         return pd.DataFrame({"n": self.lengths, "known": known, "base": plain, "score": score})
 
 
@@ -493,7 +500,8 @@ class _Tables:
         folder = shared_folder(self.spark)
         name = folder.rsplit("/", 1)[1].replace("-", "_")
         self.made[name] = folder
-        df.write.bucketBy(self.parts, "bucket").format("parquet").option("path", folder).saveAsTable(name)
+        # Cells have megabytes. Codecs that take a page at once, such as snappy, keep buffers of that size outside the heap; this one streams.
+        df.write.bucketBy(self.parts, "bucket").format("parquet").option("compression", "zstd").option("path", folder).saveAsTable(name)
         return self.spark.table(name)
 
     def by_bucket(self, df: DataFrame) -> DataFrame:

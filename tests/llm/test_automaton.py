@@ -1,10 +1,12 @@
 """The walk whose arcs are found beforehand against the one that looks every arc up."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 
 from duelframe.llm import lm
@@ -59,3 +61,29 @@ def test_distinct_values_of_any_size(top):
     found, place, which = lm._distinct(values)
     assert (np.diff(found) > 0).all() and (found[which] == values).all() and (values[place] == found).all()
     assert [len(x) for x in lm._distinct(values[:0])] == [0, 0, 0]
+
+
+def test_a_shard_is_gone_when_the_next_is_read():
+    """Its numbers stayed until the next shard was complete."""
+    held = []
+
+    def batches():
+        for shard in range(4):
+            held.append(tracemalloc.get_traced_memory()[0])
+            keys = np.random.default_rng(shard).integers(1 << 40, 1 << 62, 100_000).astype(np.uint64)
+            yield lm._questions(0, keys, np.ones(len(keys), np.int64), 1).assign(shard=shard)
+
+    tracemalloc.start()
+    try:
+        told = sum(len(pdf) for pdf in lm._counted(batches()))
+    finally:
+        tracemalloc.stop()
+    assert told == 4 and held[3] - held[1] < 400_000  # a cell of keys is 800,000 bytes
+
+
+def test_tables_of_buckets_are_read_without_buffers_of_a_page(spark):
+    """Buffers for whole pages of cells lie outside the heap and added up to hundreds of megabytes an executor."""
+    with lm._Tables(spark) as tables:
+        files = tables.store(spark.range(10).selectExpr("id AS bucket")).inputFiles()
+        kinds = {pq.ParquetFile(f.removeprefix("file://")).metadata.row_group(0).column(0).compression for f in files}
+    assert kinds == {"ZSTD"}
