@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from duelframe.catalog.fixtures import BOUTS_SQL, DRAWN_SQL, GAPPY_SQL, LAYOUT, STATS, bouts, drawn, gappy
 from duelframe.catalog.registry import dated, query, r6_sql, rounded, with_sql
+from duelframe.functions import r6
 from duelframe.operators import history as H
 from duelframe.plans import engineer as engineer_plan
 from duelframe.session import materialised
@@ -257,10 +258,11 @@ def _context(df: DataFrame) -> DataFrame:
 
 
 def _engineered(df: DataFrame, mode: str) -> DataFrame:
-    out, names = engineer_plan(df, LAYOUT, mode, ratio_bases=_RATIOS, physical_bases=["qty"])
+    out, names = engineer_plan(df, LAYOUT, mode, ratio_bases=_RATIOS, physical_bases=["qty"], finish=r6)
     extra = [n for n in out.columns if n.endswith(("_roll5", "_ewm10"))]
     keep = ["bout_id", *names, *[n for n in extra if n not in names]]
-    return rounded(out.select(keep), *[n for n, t in out.select(keep).dtypes if t == "double" and n != "altitude_diff"])
+    done = ("_roll5", "_ewm10", *MOMENTUM)
+    return rounded(out.select(keep), *[n for n, t in out.select(keep).dtypes if t == "double" and n != "altitude_diff" and not any(d in n for d in done)])
 
 
 @query(

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from duelframe.layout import DEFAULT, Layout, c
 from duelframe.operators import history as H
@@ -24,13 +24,16 @@ def engineer(
     span: int = H.EWMA_SPAN,
     recent: int = H.RECENT_BOUTS,
     hot_rows: int = H.HOT_ROWS,
+    finish: Callable[[Column], Column] | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """``df`` with its engineered columns, and their sorted names.
 
     ``mode="simple"`` leaves out rolling means and EWMA. ``history`` holds earlier
     bouts that count as the past of ``df`` without being part of the result, which
     is what upcoming bouts need. Raw pairs go last, so ``drop_original`` disables
-    no other feature.
+    no other feature. ``finish``, such as a rounding, is applied to every history feature
+    that is a double before it meets its bout: together with the join and all other
+    columns it would be one generated method, too long for the JVM to compile.
     """
     if mode not in ("full", "simple"):
         raise ValueError(f"mode must be 'full' or 'simple', not {mode!r}")
@@ -40,6 +43,8 @@ def engineer(
     out = P.physical_diffs(out, layout, physical_bases)
     out = P.safe_ratios(out, layout, **(ratio_bases or {}))
     features = _history(df, history, layout, mode, numeric, window, span, recent, hot_rows)
+    if features is not None and finish is not None:
+        features = features.select([finish(c(n)).alias(n) if t == "double" and n != layout.key else c(n) for n, t in features.dtypes])
     if features is not None:
         out = out.join(features, layout.key, "left")
     out = P.altitude_features(P.short_notice_flag(out, layout))
