@@ -277,3 +277,24 @@ def test_tasks_of_a_fit_hold_a_bounded_number_of_rows(spark, monkeypatch):
     fit_gbt(data, trees=1, depth=1)
     fit_logreg(data)
     assert [sum(s) for s in seen] == [900, 900] and all(len(s) == 3 and max(s) <= 330 for s in seen)
+
+
+def test_rows_of_a_fold_travel_as_blocks(spark):
+    """A pass over the rows reads few blocks, of the same labels, weights and features; every row is scored by the fits that did not see it."""
+    from duelframe.operators.logistic import packed, scored_by_fits
+
+    rows = [(i % 3, i % 2, [float(i), float(-i)], 1.0 + i) for i in range(300)]
+    blocks = packed(spark.createDataFrame(rows, "fold int, target int, x array<double>, n double").coalesce(1))
+    found = []
+    for r in blocks.collect():
+        y, n, x = (np.frombuffer(r[c]) for c in ("y", "n", "x"))
+        found += [(r["fold"], int(a), list(b), w) for a, b, w in zip(y, x.reshape(2, -1).T, n)]
+    assert blocks.count() == 3 and sorted(found) == sorted(rows)
+    fits = {(p, f): [0.01 * p, 0.02, float(f)] for p in (1.0, 2.0) for f in range(3)} | {(2.0, 1): [0.0, 0.0, float("-inf")]}
+    scored = {(r["penalty"], r["n"]): (r["fold"], r["target"], r["prob_red_win"]) for r in scored_by_fits(blocks, 2, fits).collect()}
+    assert len(scored) == 600
+    for f, y, x, n in rows:
+        for p in (1.0, 2.0):
+            a, b, c = fits[p, f]
+            fold, target, score = scored[p, n]
+            assert (fold, target) == (f, y) and abs(score - (0.0 if c == float("-inf") else 1 / (1 + np.exp(-(a * x[0] + b * x[1] + c))))) < 1e-12

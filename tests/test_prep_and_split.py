@@ -179,3 +179,37 @@ def test_wide_vocabularies_fit(spark):
     df = spark.range(60_000).selectExpr("id AS bout_id", "CAST(id % 2 AS INT) AS target", "concat('v', id) AS word", "CAST(id AS DOUBLE) AS x")
     prep = T.fit_preprocessor(df, exclude=["bout_id"], max_categories=None)
     assert len(prep.names) == 60_001
+
+
+def test_areas_of_scores_that_differ_take_one_shuffle(spark, capsys, monkeypatch):
+    """Rows are sent by bucket and not by score before; the area is that of all pairs, ties counted half."""
+    from duelframe.operators import metrics as M
+
+    monkeypatch.setattr(M, "_BUCKET_SCORES", 50)
+    rows = [(g, i * 7 % 5 % 2, (i * 37 % 301) / 301, 1.0 + i % 3) for g in range(2) for i in range(400)]
+    df = spark.createDataFrame(rows, "g int, target int, prob_red_win double, n double")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        out = M.roc_auc(df, by=["g"], weight="n")
+        out.explain()
+        sent = [line for line in capsys.readouterr().out.splitlines() if "Exchange" in line]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert sent and not [line for line in sent if "_score" in line.split("hashpartitioning(")[-1].split(")")[0]]
+    for r in out.collect():
+        part = [x for x in rows if x[0] == r["g"]]
+        won = sum(a[3] * b[3] * (1.0 if a[2] > b[2] else 0.5 if a[2] == b[2] else 0.0) for a in part for b in part if a[1] == 1 and b[1] == 0)
+        assert abs(r["roc_auc"] - won / sum(a[3] for a in part if a[1]) / sum(b[3] for b in part if not b[1])) < 1e-12
+
+
+def test_features_of_few_values_are_made_dense(spark):
+    """No row goes through JSON text; a value that was not seen has no slot."""
+    from pyspark.ml.linalg import DenseVector
+
+    df = spark.createDataFrame([(i, i % 2, "ab"[i % 2], "xyz"[i % 3], float(i)) for i in range(12)], "bout_id long, target int, t string, u string, v double")
+    prep = T.fit_preprocessor(df, exclude=["bout_id"], max_categories=None)
+    rows = spark.createDataFrame([(0, "b", "q", 3.0), (1, None, "y", None)], "bout_id long, t string, u string, v double")
+    found = {r["bout_id"]: r["features"] for r in prep.transform(rows).collect()}
+    assert all(isinstance(v, DenseVector) for v in found.values()) and prep.names == ["v", "t=a", "t=b", "u=x", "u=y", "u=z"]
+    assert [list(found[i])[1:] for i in (0, 1)] == [[0, 1, 0, 0, 0], [1, 0, 0, 1, 0]]
