@@ -4,6 +4,7 @@ from duelframe.functions.expressions import (
     confidence_tier,
     gap_days,
     is_below,
+    millionths,
     predicted_winner,
     r6,
     safe_ratio,
@@ -15,6 +16,7 @@ __all__ = [
     "confidence_tier",
     "gap_days",
     "is_below",
+    "millionths",
     "predicted_winner",
     "r6",
     "safe_ratio",
