@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from duelframe.operators import metrics as M, prep as T, scoring as R
@@ -298,3 +298,18 @@ def test_rows_of_a_fold_travel_as_blocks(spark):
             a, b, c = fits[p, f]
             fold, target, score = scored[p, n]
             assert (fold, target) == (f, y) and abs(score - (0.0 if c == float("-inf") else 1 / (1 + np.exp(-(a * x[0] + b * x[1] + c))))) < 1e-12
+
+
+def test_rows_walk_the_trees_without_copies(spark):
+    """No row is exploded to a row for each tree; thresholds, categories, leaves at any depth and missing numbers lead where they should."""
+    nodes = [
+        (0, 0, 0, 1.5, None, 1, 2, 0.0, 1.0), (0, 1, -1, None, None, -1, -1, -1.0, 1.0), (0, 2, 1, None, [0.0, 2.0], 3, 4, 0.0, 1.0),
+        (0, 3, -1, None, None, -1, -1, 0.5, 1.0), (0, 4, -1, None, None, -1, -1, 2.0, 1.0), (1, 0, -1, None, None, -1, -1, 3.0, 0.1),
+    ]
+    table = spark.createDataFrame(nodes, "tree int, node int, feature int, threshold double, categories array<double>, left int, right int, prediction double, weight double")
+    rows = {"a": ([1.5, 0.0], -1.0), "b": ([1.6, 2.0], 0.5), "c": ([2.0, 1.0], 2.0), "d": ([float("nan"), 0.0], 0.5)}
+    df = spark.createDataFrame([(k, x) for k, (x, _) in rows.items()], "k string, x array<double>").select("k", array_to_vector("x").alias("features"))
+    found = R.score_by_nodes(df, table, 2, 3, "k", "p")
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    for r in found.collect():
+        assert abs(r["p"] - 1 / (1 + np.exp(-2 * (rows[r["k"]][1] + 0.3)))) < 1e-15
